@@ -8,8 +8,9 @@ so only ranks are needed.  They come from two levels: counts of cells (source,
 size class, salt), summed over the few cells of a source, plus the row number
 in the cell.  No task ever holds a source, however hot.
 
-The order goes by size class first, so the words taken from a source stay
-within about one document of its target.
+The order goes by size class first, so the words taken from a source vary by
+about one document.  Of OFFSETS evenly spaced places after the source's random
+offset, the one that takes nearest to the target is used.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from segmill.llm.common import documents, n_words_of, shared_table, text_of
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
+OFFSETS = 32
 
 
 def _source_key(source: Column) -> Column:
@@ -94,14 +96,16 @@ def mix(docs: DataFrame, size: str = "size", weights: Sequence[int] = WEIGHTS, s
     )
     rank = F.col("__ahead") + F.row_number().over(Window.partitionBy(*cell).orderBy(size, "doc_id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = _offset(F.col("__key"), seed)
-    crossed = lambda r: F.floor(r * rate + offset)
-    return (
-        keyed.join(cells, cell)
-        .withColumn("__rank", rank)
-        .withColumn("copies", (crossed(F.col("__rank")) - crossed(F.col("__rank") - 1)).cast("long"))
-        .drop(*cell, "__ahead", "__rank")
-    )
+    ranked = keyed.join(cells, cell).withColumn("__rank", rank).withColumn("__rate", rate).withColumn("__start", _offset(F.col("__key"), seed))
+
+    def copies(start: Column) -> Column:
+        crossed = lambda r: F.floor(r * F.col("__rate") + start)
+        return (crossed(F.col("__rank")) - crossed(F.col("__rank") - 1)).cast("long")
+
+    places = [F.col("__start") + F.lit(j / OFFSETS) for j in range(OFFSETS)]
+    miss = [F.struct(F.abs(F.sum(copies(p) * F.col(size)) - F.first("target")), F.lit(j / OFFSETS).alias("step")) for j, p in enumerate(places)]
+    steps = ranked.groupBy("__key").agg(F.array_min(F.array(*miss))["step"].alias("__step"))
+    return ranked.join(steps, "__key").withColumn("copies", copies(F.col("__start") + F.col("__step"))).drop(*cell, "__ahead", "__rank", "__rate", "__start", "__step")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
@@ -143,7 +147,12 @@ ranked AS (
          row_number() OVER (PARTITION BY s.source ORDER BY length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT,
                             substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 1), size, doc_id NULLS FIRST) AS k
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+tried AS (
+  SELECT source, j, abs(sum((floor(k * rate + (u + j / 32.0::DOUBLE)) - floor((k - 1) * rate + (u + j / 32.0::DOUBLE)))::BIGINT * size) - any_value(target)) AS miss
+  FROM ranked, (SELECT unnest(range(32)) AS j) GROUP BY source, j),
+best AS (SELECT source, j FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, j) = 1),
 counted AS (
-  SELECT *, CAST(floor(k * rate + u) - floor((k - 1) * rate + u) AS BIGINT) AS copies FROM ranked)
+  SELECT r.*, CAST(floor(k * rate + (u + j / 32.0::DOUBLE)) - floor((k - 1) * rate + (u + j / 32.0::DOUBLE)) AS BIGINT) AS copies
+  FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM counted
 """
