@@ -112,7 +112,7 @@ def passing(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
     out = judge(docs, **options).filter("NOT kept").select(F.col("__host").alias("__h"), F.col("__text").alias("__t")).distinct()
     host = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
-    return docs.join(shared_table(out, "quality-rejects"), (host == F.col("__h")) & (F.xxhash64(text_of()) == F.col("__t")), "left_anti")
+    return docs.join(shared_table(out, "quality-rejects").hint("merge"), (host == F.col("__h")) & (F.xxhash64(text_of()) == F.col("__t")), "left_anti")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def similar_groups(docs: DataFrame, prints: int = PRINTS, shingle: int = SIMILAR
     index = signed.select("id", F.explode(F.concat(*[variants(F.get("prints", F.lit(k)), k) for k in range(prints)])).alias("v")).select("id", F.col("v.at").alias("at"), F.col("v.key").alias("key"))
     shared = index.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     index = shared_table(index.join(shared, ["at", "key"], "left_semi"), "similar-index")
-    asked = texts.join(index.select("id").distinct(), "id", "left_semi")
+    asked = texts.join(index.select("id").distinct().hint("merge"), "id", "left_semi")
     sets = shared_table(shingle_sets(asked, shingle).dropDuplicates(["id"]), "similar-sets")
     links, roots = None, None
     for turn in range(rounds):
@@ -217,7 +217,7 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     ids = docs.select(text.alias("node"), F.col("doc_id").alias("__id")).join(roots, "node").groupBy("root", "node").agg(F.min("__id").alias("first_id"))
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node"))["node"].alias("stays"))
     gone = shared_table(roots.join(best, "root").filter("node != stays").select(F.col("node").alias("__gone")), "similar-gone")
-    return docs.join(gone, text == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), text == F.col("__gone"), "left_anti")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
