@@ -7,11 +7,11 @@ those over capacity by some more bits, until all fit or a bucket is one single
 key, which no further bit can split.  Directory and entries are tables in the
 shared folder, so any task can be redone from them.
 
-Entries are laid out by bucket, each owner task taking a range of keys.  Only
-rows whose key occurs again can have copies: their texts are compared byte for
-byte as grouping keys, pre-aggregated before they are exchanged, so a hot text
-costs one row per task.  Different texts under one key form a chain, one link
-for each text.
+Entries are laid out by bucket, each owner task taking a range of keys.  Texts
+are compared byte for byte as grouping keys under their key, pre-aggregated
+before they are exchanged, so a hot text costs one row per task.  Different
+texts under one key form a chain, one link for each text.  The exchange of the
+texts is made at every size, never a broadcast of keys at small ones only.
 """
 
 from __future__ import annotations
@@ -84,12 +84,11 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     Other columns of docs are not looked at.
     """
     index = build_index(docs, capacity)
-    again = index.groupBy("__bucket", "__key").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__key")
     texts = docs.select("doc_id", text_of().alias("__text"), F.xxhash64(text_of()).alias("__key"))
     chains = (
-        texts.join(again, "__key", "left_semi")
-        .groupBy("__key", "__text")
+        texts.groupBy("__key", "__text")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .filter("group_size > 1")
         .select("__key", F.unhex(F.sha2("__text", 256)).alias("__sha"), "keep_id", "group_size")
     )
     found = index.join(chains, ["__key", "__sha"], "left")
@@ -111,7 +110,7 @@ def drop_copies(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     id_, key = F.col("__id"), F.col("__hash")
     gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__hash")).distinct()
     here = lambda df: F.col("doc_id").eqNullSafe(id_) & (F.xxhash64(text_of()) == key)
-    left = docs.join(gone, here(docs), "left_anti")
+    left = docs.join(gone.hint("merge"), here(docs), "left_anti")  # the same plan at every size
     tied = groups.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__hash")).distinct()
     if tied.isEmpty():
         return left
