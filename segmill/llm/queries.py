@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from segmill.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from segmill.llm.language_id import op5_language_id
 from segmill.llm.licenses import op10_license_scans
 from segmill.llm.mixing import OP1_SQL, op1_mixing
 from segmill.llm.packing import op9_packing
 from segmill.llm.quality import OP8_SQL, op8_quality_rules
+from segmill.llm.secrets import op3_secret_scans
 from segmill.llm.sharding import op2_sharding
 from segmill.llm.simhash import op6_simhash_near_dedup
 from segmill.llm.substring_dedup import op4_substring_dedup
@@ -14,7 +16,9 @@ from segmill.llm.substring_dedup import op4_substring_dedup
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
+    "op3_secret_scans": op3_secret_scans,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
