@@ -13,6 +13,7 @@ no padding.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ LENGTH = 2048
 END_ID = 1
 DIMENSIONS = 4
 BITS = 10
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker remembers, and as many that it remembered before.
+CACHE_WORDS = 500_000
+#: Marks behind a word of letters that are split off.
+TAILS = b".,!*#&%$|;:?"
 #: A partition of the packed table gets about so many token bytes.
 PARTITION_BYTES = 24 << 20
 
@@ -50,6 +53,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,60 +62,57 @@ class WordEncoder:
             raise ValueError("ids must fit in two bytes")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn_plain(self, words: list[bytes]) -> None:
         """Letter-only words go in joined: each is one run of ids up to a word end."""
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        plain, rest, stems = [], [], []
-        for w in words:
-            text = w.decode("utf-8")
-            if text.isalpha():
+        for i in range(0, len(words), 1024):
+            part = words[i : i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, "<u2")
+            stops = (np.flatnonzero(self.ends[ids]) * 2 + 2).tolist()
+            if len(stops) == len(part):
+                raw, starts = ids.tobytes(), [0, *stops[:-1]]
+                self.known.update({w: raw[a:b] for w, a, b in zip(part, starts, stops, strict=True)})
+            else:
+                self.known.update({w: self._ids(w.decode("utf-8")) for w in part})
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember all of these words.  A full memory becomes the old one, from which words in use come back."""
+        if len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        plain, stems = [], []
+        missing = list(words.difference(known))
+        for w, text in zip(missing, b" ".join(missing).decode("utf-8").split(" "), strict=False):
+            if w in old:
+                known[w] = old[w]
+            elif text.isalpha():
                 plain.append(w)
             else:
-                stem = w.rstrip(b".,!*#&%$|;:?")
-                if stem and len(stem) < len(w) and stem.decode("utf-8").isalpha():
-                    stems.append((w, stem))
-                    if stem not in self.known:
-                        plain.append(stem)
+                stem = w.rstrip(TAILS)
+                if stem and len(stem) < len(w) and text[: len(stem) - len(w)].isalpha():
+                    stems.append((w, stem, w[len(stem) :]))
                 else:
-                    rest.append(w)
-        plain = list(dict.fromkeys(plain))
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode("utf-8"), add_special_tokens=False).ids, "<u2")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                start = 0
-                for w, stop in zip(part, stops.tolist(), strict=True):
-                    self.known[w] = ids[start:stop].tobytes()
-                    start = stop
-            else:
-                rest += part
-        for w in rest:
-            self.known[w] = self._ids(w.decode("utf-8"))
-        for w, stem in stems:
-            tail = w[len(stem) :]
-            if tail not in self.known:
-                self.known[tail] = self._ids(tail.decode("utf-8"))
-            self.known[w] = self.known[stem] + self.known[tail]
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._ids(text)
-        words = text.encode("utf-8").lower().split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in known})
-        known = self.known
-        if len(known) >= CACHE_WORDS or any(w not in known for w in words):  # the memory was emptied under this text
-            self._learn(set(words))
-        return b"".join([self.known[w] for w in words])
+                    known[w] = self._ids(text)
+        parts = {x for _, stem, tail in stems for x in (stem, tail) if x not in known}
+        known.update({x: old[x] for x in parts if x in old})
+        tails = [x for x in parts if x not in old and x[:1] in TAILS]
+        known.update({x: self._ids(x.decode("utf-8")) for x in tails})
+        self._learn_plain(list({*plain, *(x for x in parts if x not in known)}))
+        known.update({w: known[stem] + known[tail] for w, stem, tail in stems})
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        found = []
+        for at in range(0, len(texts), 64):
+            part = texts[at : at + 64]
+            split = [None if "<|" in t else t.encode("utf-8").lower().split() for t in part]
+            self._learn(set().union(*[w for w in split if w]))
+            known = self.known
+            found += [self._ids(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(part, split, strict=True)]
+        return found
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -169,7 +170,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, signs, end = _encoder(path), _signs(DIMENSIONS), np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            ids = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]
             lengths = np.array([len(x) // 2 for x in ids])
             sums = np.array([signs[np.frombuffer(x, "<u2")].sum(0, dtype=np.int64) for x in ids]).reshape(len(ids), DIMENSIONS)
             curve = hilbert_keys(_cells(sums, lengths, BITS), BITS)

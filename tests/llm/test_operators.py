@@ -370,17 +370,20 @@ def test_hilbert_keys_visit_neighbours():
         assert set(np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(1).tolist()) == {1}
 
 
-def test_word_encoder_equals_the_tokenizer():
+def test_word_encoder_equals_the_tokenizer(monkeypatch):
     encoder = packing.WordEncoder(packing.tokenizer_path())
     texts = ["a<|endoftext|>b", "ΑΣ ΑΣ. don't It's  ..x,y \"q\" 3a5b é́ É", "　 x y", "İstanbul ǅ ﬁ ﬁ.", "<|ENDOFTEXT|>", "Å Å. á. x̸ ≮", "ß. ẞ!", "word, word. Word!? 12a", ""]
-    for t in texts * 2:
-        assert np.frombuffer(encoder.encode(t), "<u2").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    texts += [f"w{k}x, word{chr(97 + k % 26)}{chr(97 + k // 26)}. ({k}) .,; ..." for k in range(300)]
+    for cap in (50, packing.CACHE_WORDS):
+        monkeypatch.setattr(packing, "CACHE_WORDS", cap)
+        for t, found in zip(texts * 2, encoder.encode_all(texts * 2), strict=True):
+            assert np.frombuffer(found, "<u2").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(docs, rows):
     found = take(packing.pack(docs))
     encoder = packing.WordEncoder(packing.tokenizer_path())
-    ids = {(r[0], len(x)): x for r in rows for x in [np.frombuffer(encoder.encode(r[1] or ""), "<u2").tolist() + [1]]}
+    ids = {(r[0], len(x)): x for r in rows for x in [encoder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1]]}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for p in found:
         pieces[p["doc_id"], p["doc_tokens"]].append(p)
