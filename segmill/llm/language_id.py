@@ -13,8 +13,8 @@ which phrases also end, and all blocks of a batch walk together.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,9 +81,14 @@ class SuffixAutomaton:
 
 
 class Model:
-    """languages, and a walk table for each."""
+    """languages, and a walk table for each.
+
+    It travels as its training text, which is some thousandths of its tables;
+    a Python worker makes those once.
+    """
 
     def __init__(self, texts: dict[str, str]):
+        self.texts = texts
         self.languages = sorted(texts)
         characters, counts = np.unique(np.frombuffer("".join(texts.values()).lower().encode("utf-32-le"), np.uint32), return_counts=True)
         letters = [(-n, c) for c, n in zip(characters.tolist(), counts.tolist(), strict=True) if chr(c).isalpha()]
@@ -91,6 +96,9 @@ class Model:
         self.codes = len(self.own) + 3
         self.tables = {name: SuffixAutomaton(self.encode(text)).table(self.codes) for name, text in texts.items()}
 
+    def __reduce__(self):
+        return _made, (tuple(sorted(self.texts.items())),)
+
     def lookup(self) -> np.ndarray:
         """uint8 by code point: letters known, other letters, and all else as one space."""
         found = np.full(0x110000, SPACE_CODE, np.uint8)
@@ -137,6 +145,11 @@ class Model:
         return counts, lengths
 
 
+@lru_cache(maxsize=2)
+def _made(texts: tuple[tuple[str, str], ...]) -> Model:
+    return Model(dict(texts))
+
+
 def train(docs: DataFrame, total: int = TRAIN_CHARS, each: int = TRAIN_CHARS_LANGUAGE) -> Model | None:
     """A model of the labelled rows of docs (text, lang); None if there are none.
 
