@@ -1 +1 @@
-"""Sources of the corpus engine."""
+"""Readers and writers of corpora."""
