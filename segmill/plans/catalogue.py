@@ -12,7 +12,10 @@ from segmill.functions import characters as ch
 from segmill.functions import text as tx
 from segmill.functions import tokens as tk
 from segmill.operators import align as al
+from segmill.operators import quotes as qu
 from segmill.operators import rows as ro
+from segmill.operators import scripture as sc
+from segmill.operators import sequences as sq
 from segmill.operators import statistics as st
 from segmill.operators import word_alignment as wa
 from segmill.plans.views import LINES_SQL, TURNS_SQL, lines, table, turns
@@ -687,6 +690,146 @@ def phrase_table(spark, sf_dir):
     return wa.extract_phrases(_two_ways(spark, sf_dir).withColumn("pairs", wa.symmetrize(F.col("forward"), F.col("backward"), "intersection")), longest=4)
 
 
+# --- scripture ---------------------------------------------------------------------------
+
+REFS_SQL = "refs AS (SELECT doc_id, source, doc_id % 66 + 1 AS b, n_chars % 150 + 1 AS c, doc_id % 176 + 1 AS v FROM documents)"
+
+
+def _refs(spark, sf_dir):
+    """References made of documents' numbers."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", (F.col("doc_id") % 66 + 1).alias("b"), (F.col("n_chars") % 150 + 1).alias("c"), (F.col("doc_id") % 176 + 1).alias("v"))
+
+
+BOOKS_SQL = "[" + ", ".join(f"'{b}'" for b in sc.BOOKS) + "]"
+
+
+@query(
+    "verse_numbers",
+    f"WITH {REFS_SQL} SELECT doc_id, b * 1000000 + c * 1000 + v AS number, {BOOKS_SQL}[b] || ' ' || c || ':' || v AS ref, b AS book_num, c AS chapter, v AS verse, b < 40 AS old FROM refs",
+)
+def verse_numbers(spark, sf_dir):
+    rows = _refs(spark, sf_dir).withColumn("ref", F.concat(sc.book_id(F.col("b").cast("int")), F.lit(" "), F.col("c"), F.lit(":"), F.col("v")))
+    parsed = rows.withColumn("p", sc.parse(F.col("ref"))).withColumn("number", sc.pack(F.col("p.book_num"), F.col("p.chapter"), F.col("p.verse_num")).cast("long"))
+    books = F.broadcast(sc.canon(spark).select(F.col("book_num").alias("n"), (F.col("testament") == "OT").alias("old")))
+    place = sc.unpack(F.col("number"))
+    return parsed.join(books, F.col("p.book_num") == F.col("n")).select("doc_id", "number", "ref", place["book_num"].cast("long").alias("book_num"), place["chapter"].cast("long").alias("chapter"), place["verse"].cast("long").alias("verse"), "old")
+
+
+@query(
+    "bridge_expand",
+    f"WITH {REFS_SQL} SELECT doc_id, v || '-' || (v + 2) || 'a,' || (v + 5) AS verse, array_to_string(list_transform([v, v + 1, v + 2, v + 5], lambda x: x::VARCHAR), ' ') AS verses, v || '-' || (v + 3) || ',' || (v + 5) AS merged, true AS overlaps FROM refs",
+)
+def bridge_expand(spark, sf_dir):
+    rows = _refs(spark, sf_dir).withColumn("verse", F.concat(F.col("v"), F.lit("-"), F.col("v") + 2, F.lit("a,"), F.col("v") + 5))
+    other = F.concat(F.col("v") + 2, F.lit("-"), F.col("v") + 3)
+    listed = F.array_join(F.transform(sc.all_verses(F.col("verse")), lambda x: x.cast("string")), " ")
+    return rows.select("doc_id", "verse", listed.alias("verses"), sc.merged_verses(F.col("verse"), other).alias("merged"), sc.overlapping(F.col("verse"), other).alias("overlaps"))
+
+
+@query(
+    "vref_extract",
+    f"""
+WITH {LINES_SQL},
+verses AS (SELECT DISTINCT row_ord AS number FROM lines),
+held AS (SELECT row_ord, line % 4 IN (1, 2) AS rng, line % 4 = 1 AS beg, CASE WHEN line % 4 = 2 THEN '' ELSE line_text END AS txt FROM lines WHERE line % 5 <> 3)
+SELECT number, CASE WHEN rng AND NOT beg AND txt = '' THEN '<range>' ELSE coalesce(txt, '') END AS line FROM verses LEFT JOIN held ON number = row_ord
+""",
+)
+def vref_extract(spark, sf_dir):
+    rows = lines(spark, sf_dir).df.select(F.col("row_ord").alias("number"), "row_ord", "line", joined("segment").alias("text"))
+    place = F.col("line") % 4
+    held = rows.where("line % 5 <> 3").select("number", "row_ord", F.when(place == 2, "").otherwise(F.col("text")).alias("text"), place.isin(1, 2).alias("in_range"), (place == 1).alias("range_start"))
+    return sc.verse_lines(rows.select("number").distinct(), held)
+
+
+@query(
+    "verse_diagnostics",
+    f"""
+WITH {LINES_SQL},
+e AS (SELECT row_ord AS number FROM lines WHERE line % 6 <> 2), o AS (SELECT row_ord AS number FROM lines WHERE line % 4 <> 1),
+odd AS (SELECT coalesce(e.number, o.number) AS number, CASE WHEN o.number IS NULL THEN 'missing' ELSE 'extra' END AS kind FROM e FULL JOIN o ON e.number = o.number WHERE e.number IS NULL OR o.number IS NULL),
+run AS (SELECT *, number - row_number() OVER (PARTITION BY kind, number // 1000 ORDER BY number) AS r FROM odd)
+SELECT kind, min(number) AS first, max(number) AS last FROM run GROUP BY kind, number // 1000, r
+""",
+)
+def verse_diagnostics(spark, sf_dir):
+    rows = lines(spark, sf_dir).df.select(F.col("row_ord").alias("number"), "line")
+    return sc.diagnose(rows.where("line % 6 <> 2"), rows.where("line % 4 <> 1"))
+
+
+# --- quotation marks ---------------------------------------------------------------------
+
+
+def _quoted(spark, sf_dir):
+    """Documents with marks put around every third word, so that there is something to find."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"([a-z]+) ([a-z]+) ([a-z]+)", "$1 “$2” ‘$3’")
+    return qu.find_marks(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), F.col("text"), "doc_id")
+
+
+QUOTED_SQL = f"""
+WITH q AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '([a-z]+) ([a-z]+) ([a-z]+)', '\\1 “\\2” ‘\\3’', 'g') AS t FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '{qu.PATTERN}')) AS mark FROM q)
+"""
+
+
+@query("quote_marks", f"{QUOTED_SQL} SELECT mark, count(*) AS n, count(DISTINCT doc_id) AS docs FROM m GROUP BY mark")
+def quote_marks(spark, sf_dir):
+    return _quoted(spark, sf_dir).groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("quote_conventions")
+def quote_conventions(spark, sf_dir):
+    placed = qu.nested(qu.marked_context(_quoted(spark, sf_dir)), "doc_id")
+    return rounded(qu.detect(qu.similarities(qu.tabulate(placed, "doc_id"), "doc_id"), "doc_id"), "score")
+
+
+# --- sequences -----------------------------------------------------------------------------
+
+
+@query("edit_distance", "SELECT doc_id, levenshtein(coalesce(source, ''), coalesce(lang, '')) AS distance FROM documents")
+def edit_distance(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sq.edit_distance(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).cast("long").alias("distance"))
+
+
+@query("edit_operations")
+def edit_operations(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "https?://([^/]+)", 1)
+    found = sq.edit_operations(host, F.regexp_extract("url", "https?://[^/]+/(.*)", 1))
+    return pages.withColumn("e", found).select("page_id", F.col("e.cost").alias("cost"), F.col("e.operations").alias("operations"))
+
+
+@query("pairwise_alignment")
+def pairwise_alignment(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    letters = lambda c: F.split(c, "")
+    found = sq.aligned(letters(F.regexp_extract("url", "https?://([^/]+)", 1)), letters(F.regexp_extract("url", "https?://[^/]+/(.*)", 1)), "local", sq.Scores(mismatch=-50))
+    return pages.withColumn("x", found).select("page_id", F.col("x.score").alias("score"), F.col("x.normalized").alias("normalized"), F.size("x.columns").alias("columns"))
+
+
+def _distances(spark, sf_dir):
+    """Between the sources of each language, how far their mean text lengths are apart."""
+    means = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.avg(F.length("text")).alias("m"))
+    other = means.select(F.col("lang").alias("l"), F.col("source").alias("b"), F.col("m").alias("o"))
+    return means.join(other, (F.col("lang") == F.col("l")) & (F.col("source") < F.col("b"))).select("lang", F.col("source").alias("a"), "b", F.abs(F.col("m") - F.col("o")).alias("distance"))
+
+
+@query("cluster_upgma")
+def cluster_upgma(spark, sf_dir):
+    return rounded(sq.cluster_trees(_distances(spark, sf_dir), "lang"), "length")
+
+
+@query("cluster_neighbor_joining")
+def cluster_neighbor_joining(spark, sf_dir):
+    return rounded(sq.cluster_trees(_distances(spark, sf_dir), "lang", "neighbor_joining"), "length")
+
+
+@query("cluster_flat")
+def cluster_flat(spark, sf_dir):
+    return sq.flat_clusters(_distances(spark, sf_dir), "lang", 300.0)
+
+
 # --- flagship ----------------------------------------------------------------------------
 
 
