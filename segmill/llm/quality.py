@@ -19,8 +19,7 @@ WINDOW = 8
 #: A line is boilerplate when over LINE_DOCS texts of its host hold it, and over LINE_SHARE of them.
 LINE_DOCS = 20
 LINE_SHARE = 0.05
-#: A document is depleted when it keeps fewer words than MIN_WORDS, or less than MIN_KEPT of them.
-MIN_WORDS = 20
+#: A document is depleted when less than this share of its words is left.
 MIN_KEPT = 0.5
 
 
@@ -97,7 +96,7 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
     lost = lines.join(common, ["__host", "line"], "left_semi").groupBy("__host", "__text").agg(F.sum("words").alias("__lost"))
     n, repeated, gone = F.col("n_words"), F.col("n_repeat_words"), F.col("n_boilerplate_words")
     failed = (n < 20) | (100 * repeated > 30 * n)
-    depleted = (gone > 0) & ((n - gone < MIN_WORDS) | (n - gone < min_kept * n))
+    depleted = n - gone < min_kept * n
     return (
         facts.drop("__lines")
         .join(lost, ["__host", "__text"], "left")
@@ -149,6 +148,6 @@ f AS (
   FROM d LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN lost ON lost.host = d.host AND lost.text = d.text)
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-       AND NOT (n_boilerplate_words > 0 AND (n_words - n_boilerplate_words < 20 OR n_words - n_boilerplate_words < 0.5 * n_words)) AS kept
+       AND NOT (n_words - n_boilerplate_words < 0.5 * n_words) AS kept
 FROM f
 """
