@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ DIMENSIONS = 4
 BITS = 10
 #: Words whose ids a Python worker remembers, and as many that it remembered before.
 CACHE_WORDS = 500_000
+#: Of these so many go on to a worker's next task.
+KEPT_WORDS = 150_000
 #: Marks behind a word of letters that are split off.
 TAILS = b".,!*#&%$|;:?"
 #: A partition of the packed table gets about so many token bytes.
@@ -104,6 +107,10 @@ class WordEncoder:
         self._learn_plain(list({*plain, *(x for x in parts if x not in known)}))
         known.update({w: known[stem] + known[tail] for w, stem, tail in stems})
 
+    def trim(self, keep: int) -> None:
+        """Forget all but the words met first, which are the frequent ones."""
+        self.known, self.old = dict(islice(self.known.items(), keep)), {}
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         found = []
         for at in range(0, len(texts), 64):
@@ -175,6 +182,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             sums = np.array([signs[np.frombuffer(x, "<u2")].sum(0, dtype=np.int64) for x in ids]).reshape(len(ids), DIMENSIONS)
             curve = hilbert_keys(_cells(sums, lengths, BITS), BITS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(lengths, pa.int64()), pa.array(curve, pa.int64())], ["doc_id", "ids", "n", "curve"])
+        encoder.trim(KEPT_WORDS)
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(rows, "doc_id long, ids binary, n long, curve long")
 
