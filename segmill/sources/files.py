@@ -58,7 +58,7 @@ def read_text(spark: SparkSession, *patterns: str, content_types: Sequence[str]
         columns = F.split("line", "\t")
         n = F.size(columns)
         text = F.trim(F.when(n >= 2, F.get(columns, F.lit(1))).otherwise(F.get(columns, F.lit(0))))
-        flags = F.transform(F.split(F.get(columns, F.lit(2)), ","), F.trim)
+        flags = F.transform(F.split(F.get(columns, F.lit(2)), ","), lambda x: F.trim(x))
         has = lambda long, short: F.arrays_overlap(flags, F.array(F.lit(long), F.lit(short)))
         flagged = n == 3
         corpora.append(
