@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmill.llm.common import documents, shared_table, text_of
@@ -100,7 +100,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     smaller neighbours to the smallest it knows.  The number of edges never
     grows, and the rounds about with the logarithm of a component's size.
     """
+    mark = lambda table: table.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     edges = shared_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
+    state = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -108,7 +110,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         after = shared_table(small, name)
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        before, state = state, mark(after)
+        if before == state:  # as many edges as before, and the same
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         edges = after
 
@@ -143,6 +146,8 @@ PRINTS = 3
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 ROUNDS = 2
+#: Texts whose variants one task makes.
+INDEX_DOCS = 8000
 
 
 def word_prints(docs: DataFrame, prints: int = PRINTS) -> DataFrame:
@@ -176,38 +181,51 @@ def similar_groups(docs: DataFrame, prints: int = PRINTS, shingle: int = SIMILAR
     Texts whose sets of `shingle`-word shingles have Jaccard similarity of
     `similarity` or more are linked.  Candidates come from several fingerprints
     over the distinct words, which edits move less than shingles, through the
-    variants of all their segments.  In each bucket of a variant one leader,
-    by a hash order of its own for each segment and round, is compared with the
-    others; with dozens of buckets for a similar pair this leaves no pair of a
-    small group out, and a hot group costs rows in proportion to its size.  In
-    later rounds buckets hold one text of each component found so far.
+    variants of all their segments.  In each bucket of a variant one leader, by
+    an order of its own for each segment and round, is compared with the others:
+    a pair alone in a bucket is always compared, and a hot group costs rows in
+    proportion to its size.  In later rounds buckets hold one text of each
+    component found so far.  Candidates are a matter of chance: about nineteen in
+    twenty pairs at the threshold share a bucket, and nearly all well above it.
     """
     texts = docs.select(F.xxhash64(text_of()).alias("id"), text_of().alias("text"))
     signed = shared_table(word_prints(texts, prints).dropDuplicates(["id"]), "similar-prints")
-    index = signed.select("id", F.explode(F.concat(*[variants(F.get("prints", F.lit(k)), k) for k in range(prints)])).alias("v")).select("id", F.col("v.at").alias("at"), F.col("v.key").alias("key"))
-    shared = index.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    index = shared_table(index.join(shared, ["at", "key"], "left_semi"), "similar-index")
-    asked = texts.join(index.select("id").distinct().hint("merge"), "id", "left_semi")
-    sets = shared_table(shingle_sets(asked, shingle).dropDuplicates(["id"]), "similar-sets")
-    links, roots = None, None
-    for turn in range(rounds):
-        rows = index
-        if roots is not None:
-            rows = index.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            rows = rows.groupBy("at", "key", "root").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id"))["id"].alias("id"))
-        order = F.struct(F.xxhash64("id", F.floor(F.col("at") / SEGMENT), F.lit(turn)), F.col("id"))
-        leaders = rows.groupBy("at", "key").agg(F.min(order)["id"].alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        pairs = rows.join(leaders, ["at", "key"]).filter("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        a, b = F.col("x.shingles"), F.col("y.shingles")
-        long_enough = F.least(F.size(a), F.size(b)) >= similarity * F.greatest(F.size(a), F.size(b))
-        both = F.size(F.array_intersect(a, b))
-        alike = long_enough & (both >= similarity * (F.size(a) + F.size(b) - both))
-        found = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).select("a", "b", F.col("shingles").alias("left"))
-        found = found.alias("p").join(sets.alias("y"), F.col("b") == F.col("y.id")).select("a", "b", F.struct(F.col("left").alias("shingles")).alias("x"), F.struct("y.shingles").alias("y")).filter(alike).select("a", "b")
-        found = shared_table(found, f"similar-links-{turn}")
-        links = found if links is None else links.unionByName(found)
+    tasks = max(signed.sparkSession.sparkContext.defaultParallelism, -(-signed.count() // INDEX_DOCS))
+    pairs = shared_table(_led(signed.repartition(tasks, "id").withColumn("root", F.col("id")), prints, 0), "similar-pairs-0")
+    members = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-members")
+    sets = shared_table(shingle_sets(texts.join(members.hint("merge"), "id", "left_semi"), shingle).dropDuplicates(["id"]), "similar-sets")
+    links = _alike(pairs, sets, similarity, 0)
+    for turn in range(1, rounds):
         roots = shared_table(components(links, "similar-components"), "similar-roots")
-    return roots
+        rooted = signed.join(members, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        links = links.unionByName(_alike(shared_table(_led(rooted.repartition(tasks, "id"), prints, turn), f"similar-pairs-{turn}"), sets, similarity, turn))
+    return shared_table(components(links, "similar-components"), "similar-roots")
+
+
+def _led(signed: DataFrame, prints: int, turn: int) -> DataFrame:
+    """a, b: in every bucket of a variant, its leader and each other text; of a component (root) one text stands for all.
+
+    The leader has the smallest id after an exclusive or that differs by segment and turn.
+    """
+    at, key = F.col("v.at").cast("long"), F.col("v.key")
+    index = signed.select("id", "root", F.explode(F.concat(*[variants(F.get("prints", F.lit(k)), k) for k in range(prints)])).alias("v")).select("id", "root", F.shiftleft(at, 32).bitwiseOR(key).alias("key"))
+    veil = F.xxhash64(F.shiftright("key", 37), F.lit(turn))
+    veiled = index.select("key", "root", F.col("id").bitwiseXOR(veil).alias("m"))
+    if turn:
+        veiled = veiled.groupBy("key", "root").agg(F.min("m").alias("m"))
+    led = veiled.select("key", "m").withColumn("leader", F.min("m").over(Window.partitionBy("key"))).filter("m != leader")
+    x, y = F.col("m").bitwiseXOR(veil), F.col("leader").bitwiseXOR(veil)
+    return led.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """The pairs whose sets have at least that Jaccard similarity."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("__x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("__y"))
+    x, y = F.size("__x"), F.size("__y")
+    both = F.size(F.array_intersect("__x", "__y"))
+    alike = (F.least(x, y) >= similarity * F.greatest(x, y)) & (both >= similarity * (x + y - both))
+    return shared_table(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(alike).select("a", "b"), f"similar-links-{turn}")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
