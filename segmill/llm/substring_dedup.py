@@ -10,8 +10,10 @@ words.  Those are the nodes of depth WINDOW in the group's suffix tree, and a
 node with two leaves is a repeat: going through a group in the order of
 (doc_id, start), a window is a repeat when its node was seen before.
 
-Groups come sorted from Spark, which spills where it must, and are streamed, so
-a task holds the distinct nodes of one anchor and never a group's records.
+Repeats within a chunk of documents are found before the exchange, so a passage
+that stands everywhere sends one record a chunk.  Groups come sorted from Spark,
+which spills where it must, and are streamed: a task holds the distinct nodes of
+one anchor and never a group's records.
 """
 
 from __future__ import annotations
@@ -32,7 +34,11 @@ ANCHOR = 6
 NODE_BYTES = 6
 #: A record holds so many windows at most.
 RUN = 16
-#: Odd multipliers of the rolling hashes.
+#: Windows that are compared before the exchange.
+CHUNK = 1 << 21
+#: Stands for a null doc_id, and sorts first as that does.
+NO_ID = -(2**63)
+#: Odd multiplier of the rolling hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,81 +107,120 @@ def _tag(text: str) -> int:
 RECORD = "anchor long, doc_id long, place long, nodes binary"
 
 
+def _place(start: np.ndarray, bits: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """First window, which windows from it on, and the text's tag in one number that sorts by the first."""
+    return (start << 36) | (bits << 20) | tag
+
+
+def _first(node: np.ndarray, doc: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each window the place of the first one with its node; order sorts by node, then doc and at."""
+    ranked = node[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    found = np.empty(len(order), np.int64)
+    found[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    return found
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of texts; place is first window << 28 | windows << 20 | tag."""
+    """Records of texts; of CHUNK windows at a time, only the first with a node goes on to be compared.
+
+    The others are repeats for certain, and go on as bits only, in records
+    without nodes, which any task may get.
+    """
+    held, windows = [], 0
     for batch in batches:
-        anchors, docs, places, counts, nodes = [], [], [], [], []
-        ids = batch.column("doc_id")
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            a, s, c, h = records(text)
-            if len(a):
-                anchors.append(a)
-                docs.append(np.full(len(a), i))
-                places.append((s << 28) | (c << 20) | _tag(text))
-                counts.append(c)
-                nodes.append(h)
-            if sum(map(len, nodes[-64:])) > 1 << 18 or len(nodes) >= 512:
-                yield _batch(ids, anchors, docs, places, counts, nodes)
-                anchors, docs, places, counts, nodes = [], [], [], [], []
-        if nodes:
-            yield _batch(ids, anchors, docs, places, counts, nodes)
-
-
-def _batch(ids, anchors, docs, places, counts, nodes) -> pa.RecordBatch:
-    flat = np.ascontiguousarray(np.concatenate(nodes)).view(np.uint8).reshape(-1, 8)[:, :NODE_BYTES].tobytes()
-    ends = np.concatenate([[0], np.cumsum(np.concatenate(counts)) * NODE_BYTES]).astype(np.int32)
-    binary = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), ids.take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(places)), binary], ["anchor", "doc_id", "place", "nodes"])
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            anchors, starts, counts, nodes = records(text)
+            if len(anchors):
+                held.append((NO_ID if doc is None else doc, _tag(text), anchors, starts, counts, nodes))
+                windows += len(nodes)
+            if windows >= CHUNK:
+                yield from _chunk(held)
+                held, windows = [], 0
+    if held:
+        yield from _chunk(held)
+
+
+def _chunk(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    held.sort(key=lambda h: h[0])
+    sizes = [len(h[2]) for h in held]
+    doc, tag = np.repeat([h[0] for h in held], sizes), np.repeat([h[1] for h in held], sizes)
+    anchor, start, count = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
+    node = np.concatenate([h[5] for h in held])
+    row = np.repeat(np.arange(len(doc)), count)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    own_doc, at = doc[row], start[row] + step
+    first = _first(node, own_doc, at, np.argsort(node, kind="stable"))  # documents come in order
+    repeat = (own_doc[first] != own_doc) | (at[first] != at)
+    sent = np.bincount(row, np.where(repeat, 0, 1 << step), len(doc)).astype(np.int64)
+    gone = np.bincount(row, np.where(repeat, 1 << step, 0), len(doc)).astype(np.int64)
+    flat = np.ascontiguousarray(node[~repeat]).view(np.uint8).reshape(-1, 8)[:, :NODE_BYTES].tobytes()
+    lengths = np.bincount(row, ~repeat, len(doc)).astype(np.int64) * NODE_BYTES
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    nodes = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+    ids = lambda x: pa.array(x, mask=x == NO_ID)
+    some = np.flatnonzero(sent)
+    for i in range(0, len(some), 20_000):
+        part = some[i : i + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), ids(doc[part]), pa.array(_place(start, sent, tag)[part]), nodes.take(pa.array(part))], RECORD_NAMES)
+    known = np.flatnonzero(gone)
+    for i in range(0, len(known), 20_000):
+        part = known[i : i + 20_000]
+        anywhere = _mix(doc[part].view(np.uint64) * BASE + start[part].view(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(anywhere), ids(doc[part]), pa.array(_place(start, gone, tag)[part]), pa.nulls(len(part), pa.binary())], RECORD_NAMES)
+
+
+RECORD_NAMES = ["anchor", "doc_id", "place", "nodes"]
+RUNS = ["doc_id", "tag", "run"]
+
+
+def _runs(doc: np.ndarray, place: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """doc_id, tag, run = first window << 16 | bits of the repeated ones."""
+    return pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(place & 0xFFFFF), pa.array(((place >> 36) << 16) | bits)], RUNS)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tag, run = first window << 16 | bits of the repeated windows, from records sorted by anchor, doc_id, place.
+    """Repeated windows from records sorted by anchor, doc_id and place.
 
     Windows met first in a batch are held against those of the anchor that goes
     on from the batch before.  Equal (doc_id, start) is no earlier start.
     """
     open_anchor, seen = None, {}
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        anchor = batch.column("anchor").to_numpy()
-        null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-        doc = batch.column("doc_id").fill_null(-(2**63)).to_numpy()
+        bare = batch.column("nodes").is_null().to_numpy(zero_copy_only=False)
+        doc = batch.column("doc_id").fill_null(NO_ID).to_numpy()
         place = batch.column("place").to_numpy()
-        start, count = place >> 28, (place >> 20) & 0xFF
-        raw = batch.column("nodes")
-        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + n + 1]
-        data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, NODE_BYTES)
-        wide = np.zeros((len(data), 8), np.uint8)
-        wide[:, :NODE_BYTES] = data
-        row = np.repeat(np.arange(n), count)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        if bare.any():
+            yield _runs(doc[bare], place[bare], (place[bare] >> 20) & 0xFFFF)
+        full = np.flatnonzero(~bare)
+        if not len(full):
+            continue
+        anchor, doc, place = batch.column("anchor").to_numpy()[full], doc[full], place[full]
+        start, bits = place >> 36, ((place >> 20) & 0xFFFF).astype(np.uint16)
+        raw = b"".join(batch.column("nodes").take(pa.array(full)).to_pylist())
+        wide = np.zeros((len(raw) // NODE_BYTES, 8), np.uint8)
+        wide[:, :NODE_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, NODE_BYTES)
         node = wide.view(np.uint64).ravel()
-        at = start[row] + step
-        key = np.stack([anchor[row].view(np.uint64), node], 1)
-        key = np.ascontiguousarray(key).view([("a", np.uint64), ("n", np.uint64)]).ravel()
-        order = np.lexsort((at, doc[row], node, anchor[row]))
-        same = np.concatenate([[False], key[order[1:]] == key[order[:-1]]])
-        lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        first = np.empty(len(order), np.int64)
-        first[order] = lead
-        first_doc, first_at = doc[row[first]], at[first]
-        if open_anchor is not None and anchor[0] == open_anchor:
-            for j in np.flatnonzero((anchor[row] == open_anchor)).tolist():
+        row, step = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little"))
+        own_doc, own_anchor, at = doc[row], anchor[row], start[row] + step
+        both = _mix(own_anchor.view(np.uint64)) ^ node
+        first = _first(both, own_doc, at, np.lexsort((at, own_doc, both)))
+        first_doc, first_at = own_doc[first], at[first]
+        carried = own_anchor == open_anchor
+        if carried.any():
+            for j in np.flatnonzero(carried).tolist():
                 was = seen.get(int(node[j]))
                 if was is not None:
                     first_doc[j], first_at[j] = was
-        repeat = (first_doc != doc[row]) | (first_at != at)
+        repeat = (first_doc != own_doc) | (first_at != at)
         if anchor[-1] != open_anchor:
             open_anchor, seen = anchor[-1], {}
-        for j in np.flatnonzero((anchor[row] == open_anchor) & ~repeat).tolist():
-            seen.setdefault(int(node[j]), (int(doc[row[j]]), int(at[j])))
-        bits = np.bincount(row, np.where(repeat, 1 << step, 0), n).astype(np.int64)
-        hit = np.flatnonzero(bits)
+        for j in np.flatnonzero((own_anchor == open_anchor) & ~repeat).tolist():
+            seen.setdefault(int(node[j]), (int(own_doc[j]), int(at[j])))
+        found = np.bincount(row, np.where(repeat, 1 << step, 0), len(full)).astype(np.int64)
+        hit = np.flatnonzero(found)
         if len(hit):
-            ids = pa.array(doc[hit], mask=null[hit])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(place[hit] & 0xFFFFF), pa.array((start[hit] << 16) | bits[hit])], ["doc_id", "tag", "run"])
+            yield _runs(doc[hit], place[hit], found[hit])
 
 
 def kept_words(text: str, runs: np.ndarray, window: int = WINDOW) -> tuple[int, list[bytes]]:
