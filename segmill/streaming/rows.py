@@ -15,5 +15,5 @@ def tokenized_stream(stream: DataFrame, text: str = "text", tokenizer: str = "wh
 
 def windowed_frequency(stream: DataFrame, time: str, window: str = "5 minutes", late: str = "10 minutes", segment: str = "segment") -> DataFrame:
     """window, token, n: counts of tokens by window of event time; rows later than the watermark are dropped by Spark."""
-    tokens = stream.withWatermark(time, late).select(time, F.explode(segment).alias("token"))
+    tokens = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).select(time, F.explode(segment).alias("token"))
     return tokens.groupBy(F.window(time, window).alias("window"), "token").agg(F.count(F.lit(1)).alias("n"))
