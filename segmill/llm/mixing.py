@@ -94,18 +94,22 @@ def mix(docs: DataFrame, size: str = "size", weights: Sequence[int] = WEIGHTS, s
         .withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)))
         .drop("__rows", "__words")
     )
-    rank = F.col("__ahead") + F.row_number().over(Window.partitionBy(*cell).orderBy(size, "doc_id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = keyed.join(cells, cell).withColumn("__rank", rank).withColumn("__rate", rate).withColumn("__start", _offset(F.col("__key"), seed))
+    cells = cells.withColumns({"__rate": rate, "__start": _offset(F.col("__key"), seed)})
+    rank = F.col("__ahead") + F.row_number().over(Window.partitionBy(*cell).orderBy(size, "doc_id"))
 
     def copies(start: Column) -> Column:
         crossed = lambda r: F.floor(r * F.col("__rate") + start)
         return (crossed(F.col("__rank")) - crossed(F.col("__rank") - 1)).cast("long")
 
+    # The best offset of each source is found over sizes alone and goes to the cells, so rows meet small cells only.
+    tried = keyed.select(*cell, "doc_id", size).join(cells, cell).withColumn("__rank", rank)
     places = [F.col("__start") + F.lit(j / OFFSETS) for j in range(OFFSETS)]
     miss = [F.struct(F.abs(F.sum(copies(p) * F.col(size)) - F.first("target")), F.lit(j / OFFSETS).alias("step")) for j, p in enumerate(places)]
-    steps = ranked.groupBy("__key").agg(F.array_min(F.array(*miss))["step"].alias("__step"))
-    return ranked.join(steps, "__key").withColumn("copies", copies(F.col("__start") + F.col("__step"))).drop(*cell, "__ahead", "__rank", "__rate", "__start", "__step")
+    steps = tried.groupBy("__key").agg(F.array_min(F.array(*miss))["step"].alias("__step"))
+    placed = cells.join(steps, "__key").withColumn("__start", F.col("__start") + F.col("__step")).drop("__step")
+    ranked = keyed.join(placed, cell).withColumn("__rank", rank)
+    return ranked.withColumn("copies", copies(F.col("__start"))).drop(*cell, "__ahead", "__rank", "__rate", "__start")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
