@@ -91,14 +91,15 @@ def exact_groups(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
         .filter("group_size > 1")
         .select("__key", F.unhex(F.sha2("__text", 256)).alias("__sha"), "keep_id", "group_size")
     )
-    found = index.join(chains, ["__key", "__sha"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    # Rows that repeat a doc_id are numbered first: the join is last, so that Spark may split a hot key in it.
     nth = F.row_number().over(Window.partitionBy("doc_id", "__key", "__sha").orderBy("__bytes"))
+    found = index.withColumn("__nth", nth).join(chains, ["__key", "__sha"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.withColumn("keep_id", keep).select(
         "doc_id",
         "keep_id",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__nth") == 1)).alias("kept"),
         F.lower(F.hex("__sha")).alias("text_sha256"),
         "__key",
     )
