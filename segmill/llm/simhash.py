@@ -15,7 +15,6 @@ and small-star, each round written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -142,26 +141,53 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 # --- near copies by similarity -------------------------------------------------
 
-PRINTS = 3
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 ROUNDS = 2
-#: Texts whose variants one task makes.
-INDEX_DOCS = 8000
+#: One text in so many is looked at for common shingles, and so many of these are put last at most.
+COMMON_SHARE, COMMON = 16, 300_000
+#: Orders of leaders by key.
+VEILS = 4
+#: Against rounding in bounds.
+SLACK = 1e-9
 
 
-def word_prints(docs: DataFrame, prints: int = PRINTS) -> DataFrame:
-    """id, prints array<long> over the distinct words of a text, one by seed."""
+def common_shingles(texts: DataFrame, size: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and ranks of shingles that several of the sampled texts have.
+
+    They only say which shingles come last in the order of prefixes: any order
+    finds the same pairs, a better one with fewer candidates.
+    """
+    sample = shingle_sets(texts.filter(F.pmod("id", F.lit(COMMON_SHARE)) == 0), size)
+    counted = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1")
+    found = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    keys, ranks = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], ranks[order]
+
+
+def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id, size (of the set of shingles), prefix array<long> of every row.
+
+    The prefix has the first shingles in one order for all texts (by rank, then
+    hash), so many that sets of that similarity have one in common there.
+    """
+    keys, ranks = common
+
+    def first(text: str) -> tuple[int, np.ndarray]:
+        found = np.unique(shingle_hashes(text, size, SEED))
+        n = len(found)
+        if n and len(keys):
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            found = found[np.argsort(np.where(keys[at] == found, ranks[at], 0), kind="stable")]
+        return n, found[: n - int(np.ceil(similarity * n - SLACK)) + 1].view(np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column("text").to_pylist():
-                words = list(set(text.encode("utf-8").lower().split()))
-                found.append([fingerprint(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), words), np.uint64, len(words))) for seed in range(prints)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "prints"])
+            found = [first(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["id", "size", "prefix"])
 
-    return docs.select("id", text_of().alias("text")).mapInArrow(rows, "id long, prints array<long>")
+    return docs.select("id", text_of().alias("text")).mapInArrow(rows, "id long, size int, prefix array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -175,51 +201,91 @@ def shingle_sets(docs: DataFrame, size: int = SIMILAR_SHINGLE) -> DataFrame:
     return docs.select("id", text_of().alias("text")).mapInArrow(rows, "id long, shingles array<long>")
 
 
-def similar_groups(docs: DataFrame, prints: int = PRINTS, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """node, root (hashes of texts) of the texts that are near copies of others.
 
     Texts whose sets of `shingle`-word shingles have Jaccard similarity of
-    `similarity` or more are linked.  Candidates come from several fingerprints
-    over the distinct words, which edits move less than shingles, through the
-    variants of all their segments.  In each bucket of a variant one leader, by
-    an order of its own for each segment and round, is compared with the others:
-    a pair alone in a bucket is always compared, and a hot group costs rows in
-    proportion to its size.  In later rounds buckets hold one text of each
-    component found so far.  Candidates are a matter of chance: about nineteen in
-    twenty pairs at the threshold share a bucket, and nearly all well above it.
+    `similarity` or more are linked, all of them: such sets have a shingle of
+    their prefixes in common, so the texts under one shingle are candidates, and
+    similarity is verified on whole sets.  In the first rounds only a leader of
+    each shingle is compared with the others (later with one text of each
+    component found so far), which links most of a hot group in rows that grow
+    with its size.  Then every pair under a shingle that is in different
+    components is compared; pairs within one can't change it.
     """
     texts = docs.select(F.xxhash64(text_of()).alias("id"), text_of().alias("text"))
-    signed = shared_table(word_prints(texts, prints).dropDuplicates(["id"]), "similar-prints")
-    tasks = max(signed.sparkSession.sparkContext.defaultParallelism, -(-signed.count() // INDEX_DOCS))
-    pairs = shared_table(_led(signed.repartition(tasks, "id").withColumn("root", F.col("id")), prints, 0), "similar-pairs-0")
-    members = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "similar-members")
-    sets = shared_table(shingle_sets(texts.join(members.hint("merge"), "id", "left_semi"), shingle).dropDuplicates(["id"]), "similar-sets")
-    links = _alike(pairs, sets, similarity, 0)
-    for turn in range(1, rounds):
+    signed = shared_table(prefixes(texts, common_shingles(texts, shingle), shingle, similarity).dropDuplicates(["id"]), "similar-prefixes")
+    index = signed.select("id", "size", F.posexplode("prefix").alias("at", "key"))
+    together = Window.partitionBy("key")
+    index = shared_table(index.withColumn("n", F.count(F.lit(1)).over(together)).filter("n > 1").drop("n"), "similar-index")
+    pairs = shared_table(_led(index.withColumn("root", F.col("id")), similarity, 0), "similar-pairs-0")
+    links = _alike(pairs, texts, shingle, similarity, 0)
+    for turn in range(1, rounds + 1):
         roots = shared_table(components(links, "similar-components"), "similar-roots")
-        rooted = signed.join(members, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        links = links.unionByName(_alike(shared_table(_led(rooted.repartition(tasks, "id"), prints, turn), f"similar-pairs-{turn}"), sets, similarity, turn))
+        rooted = index.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        found = _led(rooted, similarity, turn) if turn < rounds else _across(rooted, similarity)
+        found = shared_table(found.join(pairs, ["a", "b"], "left_anti"), f"similar-pairs-{turn}")
+        links = links.unionByName(_alike(found, texts, shingle, similarity, turn))
+        pairs = pairs.unionByName(found)
     return shared_table(components(links, "similar-components"), "similar-roots")
 
 
-def _led(signed: DataFrame, prints: int, turn: int) -> DataFrame:
-    """a, b: in every bucket of a variant, its leader and each other text; of a component (root) one text stands for all.
+def _sizes_fit(x: Column, y: Column, similarity: float) -> Column:
+    return F.least(x, y) >= similarity * F.greatest(x, y) - SLACK
 
-    The leader has the smallest id after an exclusive or that differs by segment and turn.
+
+def _enough(both: Column, x: Column, y: Column, similarity: float) -> Column:
+    """Whether `both` shingles in common make sets of x and y shingles similar."""
+    return both >= similarity / (1 + similarity) * (x + y) - SLACK
+
+
+def _led(index: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """a, b: under every key its leader and each other text; of a component (root) one text stands for all.
+
+    The leader has the smallest id after an exclusive or that differs by turn and
+    some bits of the key.  Of the keys that two texts share, after the first no
+    more are in common than the shorter rest has: pairs without such a key go.
     """
-    at, key = F.col("v.at").cast("long"), F.col("v.key")
-    index = signed.select("id", "root", F.explode(F.concat(*[variants(F.get("prints", F.lit(k)), k) for k in range(prints)])).alias("v")).select("id", "root", F.shiftleft(at, 32).bitwiseOR(key).alias("key"))
-    veil = F.xxhash64(F.shiftright("key", 37), F.lit(turn))
-    veiled = index.select("key", "root", F.col("id").bitwiseXOR(veil).alias("m"))
+    veil = F.xxhash64(F.pmod("key", F.lit(VEILS)), F.lit(turn))
+    veiled = index.select("key", "root", F.struct(F.col("id").bitwiseXOR(veil).alias("m"), "size", "at").alias("x"))
     if turn:
-        veiled = veiled.groupBy("key", "root").agg(F.min("m").alias("m"))
-    led = veiled.select("key", "m").withColumn("leader", F.min("m").over(Window.partitionBy("key"))).filter("m != leader")
-    x, y = F.col("m").bitwiseXOR(veil), F.col("leader").bitwiseXOR(veil)
-    return led.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        veiled = veiled.groupBy("key", "root").agg(F.min("x").alias("x"))
+    led = veiled.select("key", "x", F.min("x").over(Window.partitionBy("key")).alias("y")).filter("x.m != y.m")
+    x, y = F.col("x.size"), F.col("y.size")
+    led = led.filter(_sizes_fit(x, y, similarity) & _enough(F.least(x - F.col("x.at"), y - F.col("y.at")), x, y, similarity))
+    one, two = F.col("x.m").bitwiseXOR(veil), F.col("y.m").bitwiseXOR(veil)
+    return led.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """The pairs whose sets have at least that Jaccard similarity."""
+def _across(index: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of texts that share a key, are in different components and can be similar.
+
+    Components are paired first, so that no two texts of one component meet.  A
+    pair's keys up to the last shared one are all known; beyond it no more are in
+    common than the shorter rest has.
+    """
+    together = Window.partitionBy("key")
+    crowded = index.withColumns({"low": F.min("root").over(together), "high": F.max("root").over(together)}).filter("low != high").drop("low", "high")
+    crowded = shared_table(crowded, "similar-crowded")
+    roots = crowded.select("key", "root").distinct()
+    couples = roots.withColumnRenamed("root", "r").join(roots.withColumnRenamed("root", "s"), "key").filter("r < s")
+    left = crowded.select("key", F.col("root").alias("r"), F.col("id").alias("i"), F.col("size").alias("x"), F.col("at").alias("p"))
+    right = crowded.select("key", F.col("root").alias("s"), F.col("id").alias("j"), F.col("size").alias("y"), F.col("at").alias("q"))
+    met = couples.join(left, ["key", "r"]).join(right, ["key", "s"]).filter(_sizes_fit(F.col("x"), F.col("y"), similarity))
+    met = met.groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"), F.max("q").alias("q"))
+    able = met.filter(_enough(F.expr("n + least(x - p, y - q) - 1"), F.col("x"), F.col("y"), similarity))
+    return able.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, turn: int) -> DataFrame:
+    """The pairs whose texts' sets have at least that Jaccard similarity.
+
+    Only texts of pairs are cut into shingles.  What was exchanged before is let
+    go first, as Spark clears such files only when its driver collects garbage.
+    """
+    pairs.sparkSession._jvm.System.gc()
+    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = shared_table(shingle_sets(texts.join(members.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), shingle), f"similar-sets-{turn}")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("__x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("__y"))
     x, y = F.size("__x"), F.size("__y")

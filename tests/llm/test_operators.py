@@ -296,6 +296,33 @@ def test_near_copies_are_dropped(spark, docs, empty):
     assert simhash.drop_near_copies(docs).columns == docs.columns and simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_are_found_for_every_kind_of_edit(spark):
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for k in range(90):
+        w = [word() for _ in range(rng.randint(40, 200))]
+        n = round(len(w) * rng.uniform(0.08, 0.24))
+        edited = [w + [word() for _ in range(n)], w[: len(w) - n], w[:9] + [word() for _ in range(n // 2)] + w[9 + n // 2 :]][k % 3]
+        texts += [" ".join(w), " ".join(edited)]
+    passage = [word() for _ in range(100)]
+    for _ in range(40):  # one crowded passage, at and below the threshold
+        texts.append(" ".join(passage + [word() for _ in range(rng.randint(8, 16))]))
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in map(str.split, texts)]
+    group = list(range(len(texts)))
+    find = lambda x: x if group[x] == x else find(group[x])
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                pairs += 1
+                group[max(find(i), find(j))] = min(find(i), find(j))
+    assert pairs > 60
+    kept = take(simhash.drop_near_copies(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")))
+    assert sorted(r["doc_id"] for r in kept) == sorted({find(i) for i in range(len(texts))})
+
+
 # 7
 
 
