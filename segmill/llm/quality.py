@@ -2,8 +2,8 @@
 
 Base rules look at one document.  The method looks across them: lines are
 normalised and hashed, each (host, line) gets the number of distinct texts it
-stands in, lines above the limit are boilerplate, and a document that loses too
-much with them is rejected.  Copies of one text count once, else a text copied
+stands in, lines above the limit are boilerplate and are removed, and a document
+that loses too much with them is rejected.  Copies of one text count once, else a text copied
 often would condemn itself.  One scan turns texts into a narrow table of
 counts and line hashes; all exchanges move that.
 """
@@ -23,6 +23,11 @@ LINE_SHARE = 0.05
 MIN_KEPT = 0.5
 
 
+def line_hash(line: Column) -> Column:
+    """Of the normalised line."""
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))), "[0-9]+", "0"), r"[^\x20\p{L}\p{N}]", ""))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and __lines to docs.
 
@@ -33,7 +38,6 @@ def statistics(docs: DataFrame) -> DataFrame:
     """
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    normal = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(x, SPACE, " "))), "[0-9]+", "0"), r"[^\x20\p{L}\p{N}]", "")
     get = lambda a, i: F.get(F.col(a), i)
 
     def doubled(name: str, step: int) -> Column:
@@ -50,7 +54,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
                 "n_dup_lines": (F.size("__all_lines") - F.size(F.array_distinct("__all_lines"))).cast("long"),
                 "__h1": F.transform("__words", lambda w: F.xxhash64(w)),
-                "__lines": F.transform(F.array_distinct("__all_lines"), lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))),
+                "__lines": F.transform("__all_lines", lambda x: F.struct(line_hash(x).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))),
             }
         )
         .drop("__words", "__all_lines")
@@ -77,11 +81,14 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
-    """One row per row of docs: doc_id, the statistics, n_boilerplate_words, base_failed, kept, __text, __host.
+    """One row per row of docs: doc_id, the statistics, n_boilerplate_words, base_failed, kept, __text, __host, __cut.
+
+    __cut has the hashes of the boilerplate lines of the text, null for none.
 
     The host is the source; a null one is a host of its own.  A null text is an
     empty one and fails the base rules.  Blank lines count nowhere.  Equal rows
-    get equal verdicts.  An empty table gives an empty one.  Other columns of
+    get equal verdicts.  Every occurrence of a boilerplate line loses its words,
+    while texts, not occurrences, count for the limit.  An empty table gives an empty one.  Other columns of
     docs are not looked at.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -93,7 +100,7 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
     lines = per_text.select("__host", "__text", F.explode("__lines").alias("__l")).groupBy("__host", "__text", "__l.line").agg(F.sum("__l.words").alias("words"))
     limits = per_text.groupBy("__host").agg(F.greatest(F.lit(float(line_docs)), F.count(F.lit(1)) * line_share).alias("__limit"))
     common = lines.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") > line_docs).join(limits, "__host").filter("__docs > __limit").select("__host", "line")
-    lost = lines.join(common, ["__host", "line"], "left_semi").groupBy("__host", "__text").agg(F.sum("words").alias("__lost"))
+    lost = lines.join(common, ["__host", "line"], "left_semi").groupBy("__host", "__text").agg(F.sum("words").alias("__lost"), F.collect_list("line").alias("__cut"))
     n, repeated, gone = F.col("n_words"), F.col("n_repeat_words"), F.col("n_boilerplate_words")
     failed = (n < 20) | (100 * repeated > 30 * n)
     depleted = n - gone < min_kept * n
@@ -103,19 +110,25 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
         .withColumn("n_boilerplate_words", F.coalesce("__lost", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & ~depleted)
-        .select("doc_id", *names, "n_boilerplate_words", "base_failed", "kept", "__text", "__host")
+        .select("doc_id", *names, "n_boilerplate_words", "base_failed", "kept", "__text", "__host", "__cut")
     )
 
 
 def passing(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
-    out = judge(docs, **options).filter("NOT kept").select(F.col("__host").alias("__h"), F.col("__text").alias("__t")).distinct()
+    """The rows of docs that are kept, with the columns of docs; text has no boilerplate lines, and n_chars, if there, follows."""
+    out = judge(docs, **options).filter("NOT kept OR __cut IS NOT NULL").groupBy(F.col("__host").alias("__h"), F.col("__text").alias("__t")).agg(F.first("kept").alias("__kept"), F.first("__cut").alias("__cut"))
     host = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
-    return docs.join(shared_table(out, "quality-rejects").hint("merge"), (host == F.col("__h")) & (F.xxhash64(text_of()) == F.col("__t")), "left_anti")
+    met = docs.join(shared_table(out, "quality-changes").hint("merge"), (host == F.col("__h")) & (F.xxhash64(text_of()) == F.col("__t")), "left").filter(F.coalesce("__kept", F.lit(True)))
+    blank = lambda x: F.length(F.translate(x, SPACE_CHARS, "")) == 0
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: blank(x) | ~F.array_contains("__cut", line_hash(x))), "\n")
+    met = met.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(rest))
+    if "n_chars" in docs.columns:
+        met = met.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return met.select(docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir)).drop("__text", "__host")
+    return judge(documents(spark, sf_dir)).drop("__text", "__host", "__cut")
 
 
 OP8_SQL = r"""

@@ -386,6 +386,19 @@ def test_common_lines_deplete(spark):
     assert found[101]["n_boilerplate_words"] == 0 and found[400]["kept"] and found[400]["n_boilerplate_words"] == 0
 
 
+def test_lines_repeated_in_a_document_lose_all_their_words(spark):
+    own = lambda i, n: "\n".join(f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 2}{chr(97 + k % 26)}{chr(97 + k // 26)} own" for k in range(n))
+    often = own(60, 120).replace("\n", "\nReply Share Report\n") + "\nReply Share Report"
+    rows = [(i, own(i, 30) + "\n\nReply, share report", "h", 0) for i in range(40)] + [(100, often, "h", 0), (101, often, "other", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    found = {r["doc_id"]: r for r in take(quality.judge(docs))}
+    assert found[100]["n_words"] == 600 and found[100]["n_boilerplate_words"] == 360
+    assert not found[100]["base_failed"] and not found[100]["kept"] and found[101]["kept"]
+    left = {r["doc_id"]: r for r in take(quality.passing(docs))}
+    assert sorted(left) == [*range(40), 101] and left[101]["text"] == often
+    assert all(left[i]["text"] == own(i, 30) + "\n" and left[i]["n_chars"] == len(left[i]["text"]) for i in range(40))
+
+
 # 9
 
 
