@@ -326,31 +326,53 @@ def test_near_copies_are_found_for_every_kind_of_edit(spark):
 # 7
 
 
-def test_exact_dedup(docs, rows):
-    found = take(exact_dedup.exact_groups(docs, capacity=2000))
+def exact_by_hand(rows):
     groups = defaultdict(list)
-    for r in rows:
-        groups[r[1] or ""].append(r[0])
-    assert len(found) == len(rows)
-    keep = lambda ids: max((i for i in ids if i is not None), default=None)
+    for d, text, *_ in rows:
+        groups[text or ""].append(d)
     want = Counter()
     for text, ids in groups.items():
-        first = True
+        keep, first = max((i for i in ids if i is not None), default=None), True
         for d in ids:
-            kept = d == keep(ids) and first
+            kept = d == keep and first
             first = first and not kept
-            want[d, keep(ids), len(ids), kept, hashlib.sha256(text.encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in found) == want
-    left = take(exact_dedup.drop_copies(docs))
-    assert sorted((r["text"] or "") for r in left) == sorted(groups)
+            want[d, keep, len(ids), kept, hashlib.sha256(text.encode()).hexdigest()] += 1
+    return want
+
+
+def exact_rows(frame):
+    return Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in take(frame))
+
+
+@pytest.mark.parametrize("options", [{}, {"capacity": 2000}, {"capacity": 300, "key_bits": 2}, {"key_bits": 9}])
+def test_exact_dedup(docs, rows, options):
+    """Small capacities make pages, few key bits make chains of different texts under one key."""
+    assert exact_rows(exact_dedup.exact_groups(docs, **options)) == exact_by_hand(rows)
+    left = take(exact_dedup.drop_copies(docs, **options))
+    assert sorted((r["text"] or "") for r in left) == sorted({r[1] or "" for r in rows})
+
+
+def test_exact_dedup_of_hot_texts_and_tied_nulls(spark):
+    rows = [(i, "hot " * 20 if i % 3 else f"own {i}") for i in range(3000)] + [(5, None), (5, ""), (7, "own 0"), (7, "own 0"), (None, "own 3"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert exact_rows(exact_dedup.exact_groups(docs, capacity=4000)) == exact_by_hand(rows)
+    assert Counter(r["text"] or "" for r in take(exact_dedup.drop_copies(docs, capacity=4000))) == Counter({t or "" for _, t in rows})
+
+
+def test_results_come_from_the_directory(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 50}") for i in range(200)], "doc_id long, text string")
+    whole = exact_dedup.build_directory
+    monkeypatch.setattr(exact_dedup, "build_directory", lambda *a: whole(*a).filter("prefix % 2 = 0"))
+    assert 0 < exact_dedup.exact_groups(docs).count() < 200
 
 
 def test_directory_covers_all_keys_once(spark):
-    entries = spark.range(5000).selectExpr("xxhash64(id) AS __key", "100L AS __bytes").unionAll(spark.range(900).selectExpr("77L AS __key", "100L AS __bytes"))
-    directory = take(exact_dedup.build_directory(entries, capacity=20_000))
-    assert sum(r["n_bytes"] for r in directory) == 590_000
+    entries = spark.range(20_000).selectExpr("xxhash64(id) AS __key", "100L AS __bytes").unionAll(spark.range(900).selectExpr("77L AS __key", "100L AS __bytes"))
+    directory = take(exact_dedup.build_directory(entries, 4_000))
+    assert sum(r["n_bytes"] for r in directory) == 2_090_000
     for r in directory:
-        assert r["n_bytes"] <= 20_000 or r["n_bytes"] >= 90_000
+        assert r["n_bytes"] <= 4_000 or r["n_bytes"] >= 90_000
+        assert r["pages"] == max(1, math.ceil(r["n_bytes"] / 4_000))
     assert sum(2.0 ** -r["depth"] for r in directory) <= 1
 
 
