@@ -4,13 +4,14 @@ Within a source, documents are put in a fixed order; each adds its expected
 number of copies to a running sum, one offset per source is added, and a
 document is emitted once per integer that the sum crosses.  As all documents of
 a source expect the same number of copies, the running sum is rank times rate,
-so only ranks are needed.  They come from two levels: counts of cells (source,
-size class, salt), summed over the few cells of a source, plus the row number
-in the cell.  No task ever holds a source, however hot.
-
-The order goes by size class first, so the words taken from a source vary by
-about one document.  Of OFFSETS evenly spaced places after the source's random
-offset, the one that takes nearest to the target is used.
+so only ranks are needed.  They come from three levels: rows in the size classes
+before, rows in the salts of the class before, and the row number in the cell
+(source, side, class, salt).  Salts grow with the table, so no task ever holds a
+source or a class, however hot.
+
+The order goes up by size through one half of a source's documents and down
+through the other, so what the offset adds on one side it takes on the other,
+and the words taken stay near the target.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from segmill.llm.common import documents, n_words_of, shared_table, text_of
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-OFFSETS = 32
+#: Rows of a source and class under one salt, about, where one source has them all; 16 salts at least.
+SALT_ROWS, LEAST_SALTS = 100_000, 16
+#: Classes of the side that goes up are less by this, so they come first; those of the other side are negative.
+TURN = 10_000
 
 
 def _source_key(source: Column) -> Column:
@@ -39,8 +43,9 @@ def _size_class(size: Column) -> Column:
     return F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")
 
 
-def _salt(doc_id: Column) -> Column:
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 1)
+def _hashed(doc_id: Column) -> Column:
+    """32 random bits of an id, as a long."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def _offset(key: Column, seed: int) -> Column:
@@ -80,36 +85,31 @@ def mix(docs: DataFrame, size: str = "size", weights: Sequence[int] = WEIGHTS, s
     """docs with source_size, target and copies (long); every row is kept.
 
     docs has doc_id, source and the non-negative size column; any other columns
-    pass through.  A null source is a source of its own, the last.  Rows that
-    repeat a doc_id are separate documents.  An empty table gives an empty one;
-    sources without words get target 0 and no copies.  No document gets more
-    than ceil(cap) copies.  The same input and seed give the same copies.
+    pass through, but for source_size, target and copies, which are replaced.  A
+    null source is a source of its own, the last.  Rows that repeat a doc_id are
+    separate documents.  An empty table gives an empty one; sources without words
+    get target 0 and no copies.  No document gets more than ceil(cap) copies.  The
+    same input and seed give the same copies.
     """
-    keyed = docs.withColumns({"__key": _source_key(F.col("source")), "__class": _size_class(F.col(size)), "__salt": _salt(F.col("doc_id"))})
+    docs = docs.drop(*[c for c in ("source_size", "target", "copies") if c != size])
+    salts = max(LEAST_SALTS, -(-docs.count() // SALT_ROWS))
+    hashed = _hashed(F.col("doc_id"))
+    down = F.pmod(hashed, F.lit(2)) == 1
+    rows = docs.withColumns({"__key": _source_key(F.col("source")), "__class": F.when(down, -_size_class(F.col(size))).otherwise(_size_class(F.col(size)) - TURN), "__salt": F.pmod(F.floor(hashed / 2), F.lit(salts))})
     cell = ["__key", "__class", "__salt"]
-    cells = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("__rows"), F.sum(size).alias("__words"))
-    ahead = Window.partitionBy("__key").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        cells.join(source_targets(cells, weights, share, cap), "__key")
-        .withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)))
-        .drop("__rows", "__words")
-    )
+    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__rows"), F.sum(size).alias("__words"))
+    classes = cells.groupBy("__key", "__class").agg(F.sum("__rows").alias("__rows"), F.sum("__words").alias("__words"))
+    before = lambda w: F.coalesce(F.sum("__rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = classes.join(source_targets(classes, weights, share, cap), "__key").withColumn("__before", before(Window.partitionBy("__key").orderBy("__class")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    cells = cells.withColumns({"__rate": rate, "__start": _offset(F.col("__key"), seed)})
-    rank = F.col("__ahead") + F.row_number().over(Window.partitionBy(*cell).orderBy(size, "doc_id"))
-
-    def copies(start: Column) -> Column:
-        crossed = lambda r: F.floor(r * F.col("__rate") + start)
-        return (crossed(F.col("__rank")) - crossed(F.col("__rank") - 1)).cast("long")
-
-    # The best offset of each source is found over sizes alone and goes to the cells, so rows meet small cells only.
-    tried = keyed.select(*cell, "doc_id", size).join(cells, cell).withColumn("__rank", rank)
-    places = [F.col("__start") + F.lit(j / OFFSETS) for j in range(OFFSETS)]
-    miss = [F.struct(F.abs(F.sum(copies(p) * F.col(size)) - F.first("target")), F.lit(j / OFFSETS).alias("step")) for j, p in enumerate(places)]
-    steps = tried.groupBy("__key").agg(F.array_min(F.array(*miss))["step"].alias("__step"))
-    placed = cells.join(steps, "__key").withColumn("__start", F.col("__start") + F.col("__step")).drop("__step")
-    ranked = keyed.join(placed, cell).withColumn("__rank", rank)
-    return ranked.withColumn("copies", copies(F.col("__start"))).drop(*cell, "__ahead", "__rank", "__rate", "__start")
+    inside = before(Window.partitionBy("__key", "__class").orderBy("__salt"))
+    cells = cells.withColumn("__inside", inside).drop("__rows", "__words").join(classes.drop("__rows", "__words"), ["__key", "__class"])
+    cells = cells.select(*cell, "source_size", "target", (F.col("__before") + F.col("__inside")).alias("__ahead"), rate.alias("__rate"), _offset(F.col("__key"), seed).alias("__start"))
+    within = Window.partitionBy(*cell).orderBy(F.when(F.col("__class") > -TURN / 2, -F.col(size)).otherwise(F.col(size)), "doc_id")
+    rank = F.col("__ahead") + F.row_number().over(within)
+    crossed = lambda r: F.floor(r * F.col("__rate") + F.col("__start"))
+    copies = crossed(F.col("__rank")) - crossed(F.col("__rank") - 1)
+    return rows.join(cells, cell).withColumn("__rank", rank).withColumn("copies", copies.cast("long")).drop(*cell, "__ahead", "__rank", "__rate", "__start")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
@@ -144,19 +144,16 @@ levels AS (
 targets AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT lvl FROM levels WHERE lvl <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1) * w, 2.0::DOUBLE * source_size)) AS target
   FROM levels),
+hashed AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS x, length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT AS class FROM sizes),
 ranked AS (
-  SELECT s.*, t.source_size, t.target,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
          ('0x' || substr(md5(coalesce('0' || s.source, '1') || ':1'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
-         row_number() OVER (PARTITION BY s.source ORDER BY length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT,
-                            substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 1), size, doc_id NULLS FIRST) AS k
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-tried AS (
-  SELECT source, j, abs(sum((floor(k * rate + (u + j / 32.0::DOUBLE)) - floor((k - 1) * rate + (u + j / 32.0::DOUBLE)))::BIGINT * size) - any_value(target)) AS miss
-  FROM ranked, (SELECT unnest(range(32)) AS j) GROUP BY source, j),
-best AS (SELECT source, j FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, j) = 1),
-counted AS (
-  SELECT r.*, CAST(floor(k * rate + (u + j / 32.0::DOUBLE)) - floor((k - 1) * rate + (u + j / 32.0::DOUBLE)) AS BIGINT) AS copies
-  FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM counted
+         row_number() OVER (PARTITION BY s.source ORDER BY x % 2, CASE WHEN x % 2 = 1 THEN -class ELSE class END,
+                            (x // 2) % (SELECT greatest(16, (count(*) + 99999) // 100000) FROM sizes),
+                            CASE WHEN x % 2 = 1 THEN -size ELSE size END, doc_id NULLS FIRST) AS k
+  FROM hashed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(floor(k * rate + u) - floor((k - 1) * rate + u) AS BIGINT) * size AS taken, source,
+       CAST(floor(k * rate + u) - floor((k - 1) * rate + u) AS BIGINT) AS copies
+FROM ranked
 """

@@ -1,11 +1,12 @@
 """Quality rules: per-document statistics and cross-document line frequency.
 
 Base rules look at one document.  The method looks across them: lines are
-normalised and hashed, each (host, line) gets the number of distinct texts it
-stands in, lines above the limit are boilerplate and are removed, and a document
-that loses too much with them is rejected.  Copies of one text count once, else a text copied
-often would condemn itself.  One scan turns texts into a narrow table of
-counts and line hashes; all exchanges move that.
+normalised and hashed, each (host, line) gets the number of documents it stands
+in, lines above the limit are boilerplate and are removed, and a document that
+loses too much with them is rejected.  A document counts once for a line, however
+often it holds it; copies are documents of their own.  One scan turns texts into a
+narrow table of counts and line hashes; copies are counted together before lines
+are exchanged.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from segmill.llm.common import SPACE, SPACE_CHARS, documents, shared_table, text_of, words_of
 
 WINDOW = 8
-#: A line is boilerplate when over LINE_DOCS texts of its host hold it, and over LINE_SHARE of them.
+#: A line is boilerplate when over LINE_DOCS documents of its host hold it, and over LINE_SHARE of them.
 LINE_DOCS = 20
 LINE_SHARE = 0.05
 #: A document is depleted when less than this share of its words is left.
@@ -86,20 +87,20 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
     __cut has the hashes of the boilerplate lines of the text, null for none.
 
     The host is the source; a null one is a host of its own.  A null text is an
-    empty one and fails the base rules.  Blank lines count nowhere.  Equal rows
-    get equal verdicts.  Every occurrence of a boilerplate line loses its words,
-    while texts, not occurrences, count for the limit.  An empty table gives an empty one.  Other columns of
-    docs are not looked at.
+    empty one and fails the base rules.  Blank lines count nowhere.  Each row is a
+    document, and counts once for a line; equal rows get equal verdicts.  Every
+    occurrence of a boilerplate line loses its words.  An empty table gives an empty
+    one.  Other columns of docs are not looked at.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     source = docs.select("doc_id", "text", F.col("source").alias("__host"))
     facts = statistics(source).withColumn("__text", F.xxhash64(text_of())).select("doc_id", "__host", "__text", *names, "__lines")
     facts = shared_table(facts.withColumn("__host", F.coalesce(F.concat(F.lit("0"), F.col("__host")), F.lit("1"))), "quality-facts")
-    # A text's lines and their words, once per host and text: copies count once.
-    per_text = facts.groupBy("__host", "__text").agg(F.first("__lines").alias("__lines"))
-    lines = per_text.select("__host", "__text", F.explode("__lines").alias("__l")).groupBy("__host", "__text", "__l.line").agg(F.sum("__l.words").alias("words"))
-    limits = per_text.groupBy("__host").agg(F.greatest(F.lit(float(line_docs)), F.count(F.lit(1)) * line_share).alias("__limit"))
-    common = lines.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") > line_docs).join(limits, "__host").filter("__docs > __limit").select("__host", "line")
+    # A text's lines and their words, once per host and text, with the documents that have it.
+    per_text = facts.groupBy("__host", "__text").agg(F.first("__lines").alias("__lines"), F.count(F.lit(1)).alias("__copies"))
+    lines = per_text.select("__host", "__text", "__copies", F.explode("__lines").alias("__l")).groupBy("__host", "__text", "__l.line").agg(F.sum("__l.words").alias("words"), F.first("__copies").alias("__copies"))
+    limits = per_text.groupBy("__host").agg(F.greatest(F.lit(float(line_docs)), F.sum("__copies") * line_share).alias("__limit"))
+    common = lines.groupBy("__host", "line").agg(F.sum("__copies").alias("__docs")).filter(F.col("__docs") > line_docs).join(limits, "__host").filter("__docs > __limit").select("__host", "line")
     lost = lines.join(common, ["__host", "line"], "left_semi").groupBy("__host", "__text").agg(F.sum("words").alias("__lost"), F.collect_list("line").alias("__cut"))
     n, repeated, gone = F.col("n_words"), F.col("n_repeat_words"), F.col("n_boilerplate_words")
     failed = (n < 20) | (100 * repeated > 30 * n)
@@ -141,24 +142,24 @@ win AS (
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM win) WHERE n > 1),
 cov AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS j FROM rep, (SELECT unnest(range(0, 8)) AS k)) GROUP BY rid),
 ln AS (
-  SELECT rid, host, text, x FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS x FROM d)
+  SELECT rid, host, x FROM (SELECT rid, host, unnest(string_split(text, chr(10))) AS x FROM d)
   WHERE length(translate(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13), '')) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM ln GROUP BY rid),
 norm AS (
-  SELECT host, text, nx, sum(words) AS words FROM (
-    SELECT DISTINCT host, text, x, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS words,
+  SELECT rid, host, nx, sum(words) AS words FROM (
+    SELECT rid, host, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS words,
            regexp_replace(regexp_replace(lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g'), '[^\x20\p{L}\p{N}]', '', 'g') AS nx FROM ln)
-  GROUP BY host, text, nx),
-lim AS (SELECT host, greatest(20.0, count(DISTINCT text) * 0.05) AS lim FROM d GROUP BY host),
+  GROUP BY rid, host, nx),
+lim AS (SELECT host, greatest(20.0, count(*) * 0.05) AS lim FROM d GROUP BY host),
 common AS (SELECT n.host, nx FROM (SELECT host, nx, count(*) AS c FROM norm GROUP BY host, nx) n JOIN lim USING (host) WHERE c > lim),
-lost AS (SELECT host, text, sum(words) AS n FROM norm JOIN common USING (host, nx) GROUP BY host, text),
+lost AS (SELECT rid, sum(words) AS n FROM norm JOIN common USING (host, nx) GROUP BY rid),
 f AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(translate(d.text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
          CAST(length(d.text) - length(translate(d.text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
          CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(coalesce(lost.n, 0) AS BIGINT) AS n_boilerplate_words
-  FROM d LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN lost ON lost.host = d.host AND lost.text = d.text)
+  FROM d LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN lost USING (rid))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
        AND NOT (n_words - n_boilerplate_words < 0.5 * n_words) AS kept

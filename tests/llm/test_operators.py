@@ -41,7 +41,8 @@ def targets_by_hand(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
 
 
 def test_mixing(docs, rows):
-    sized = docs.select("doc_id", "source", "target", "copies", n_words_of(text_of()).alias("size")).drop("target", "copies")
+    sized = docs.select("doc_id", "source", "target", "copies", n_words_of(text_of()).alias("size"))  # two names clash
+    assert mixing.mix(sized).columns == ["doc_id", "source", "size", "source_size", "target", "copies"]
     found = take(mixing.mix(sized))
     assert sorted(map(str, found)) == sorted(map(str, take(mixing.mix(sized))))
     assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((r[0], len(words(r[1]))) for r in rows)
@@ -401,11 +402,13 @@ def test_common_lines_deplete(spark):
     line = "subscribe to our newsletter and accept all cookies before you go on reading here today"
     own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n))
     rows = [(i, f"{line.upper() if i % 2 else line}\n{own(40)}", "h") for i in range(40)] + [(100, f"{line}!\n{own(8)}", "h"), (101, f"{line}\n{own(30)}", "other")]
-    rows += [(200 + i, own(30), "h") for i in range(100)] + [(400 + i, "copy\n" + " ".join(chr(97 + k % 26) * 3 for k in range(30)), "h") for i in range(60)]
+    rows += [(200 + i, own(30), "h") for i in range(100)] + [(400 + i, "copy\n" + " ".join(chr(97 + k % 26) * 3 for k in range(30)), "h") for i in range(60)] + [(600, "copy\n" * 30 + own(40), "h"), (601, "copy\n" * 30 + own(40), "third")]
     found = {r["doc_id"]: r for r in take(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")))}
     assert found[0]["n_boilerplate_words"] == found[1]["n_boilerplate_words"] == 15 and found[0]["kept"]
     assert not found[100]["kept"] and not found[100]["base_failed"]
-    assert found[101]["n_boilerplate_words"] == 0 and found[400]["kept"] and found[400]["n_boilerplate_words"] == 0
+    assert found[101]["n_boilerplate_words"] == 0 and found[601]["n_boilerplate_words"] == 0
+    assert found[600]["n_boilerplate_words"] == 30  # copies are documents of their own
+    assert found[400]["n_boilerplate_words"] == 31 and not found[400]["kept"]
 
 
 def test_lines_repeated_in_a_document_lose_all_their_words(spark):
