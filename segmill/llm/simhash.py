@@ -14,6 +14,7 @@ and small-star, each round written to the shared folder.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -143,7 +144,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-ROUNDS = 2
+#: Bits in which fingerprints of candidates differ at most.
+SIMILAR_BITS = 3
 #: One text in so many is looked at for common shingles, and so many of these are put last at most.
 COMMON_SHARE, COMMON = 16, 300_000
 #: Orders of leaders by key.
@@ -152,84 +154,109 @@ VEILS = 4
 SLACK = 1e-9
 
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size, SEED))
+
+
 def common_shingles(texts: DataFrame, size: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and ranks of shingles that several of the sampled texts have.
 
     They only say which shingles come last in the order of prefixes: any order
     finds the same pairs, a better one with fewer candidates.
     """
-    sample = shingle_sets(texts.filter(F.pmod("id", F.lit(COMMON_SHARE)) == 0), size)
-    counted = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, size).view(np.int64))], ["key"])
+
+    sample = texts.filter(F.pmod("id", F.lit(COMMON_SHARE)) == 0).select("text").mapInArrow(rows, "key long")
+    counted = sample.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1")
     found = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     keys, ranks = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], ranks[order]
 
 
-def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id, size (of the set of shingles), prefix array<long> of every row.
+def signatures(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id, size (of the set of shingles), print (their fingerprint), prefix array<long> of every row.
 
     The prefix has the first shingles in one order for all texts (by rank, then
     hash), so many that sets of that similarity have one in common there.
     """
     keys, ranks = common
 
-    def first(text: str) -> tuple[int, np.ndarray]:
-        found = np.unique(shingle_hashes(text, size, SEED))
-        n = len(found)
+    def sign(text: str) -> tuple[int, int, np.ndarray]:
+        found = shingle_set(text, size)
+        n, mark = len(found), fingerprint(found)
         if n and len(keys):
             at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
             found = found[np.argsort(np.where(keys[at] == found, ranks[at], 0), kind="stable")]
-        return n, found[: n - int(np.ceil(similarity * n - SLACK)) + 1].view(np.int64)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [first(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["id", "size", "prefix"])
-
-    return docs.select("id", text_of().alias("text")).mapInArrow(rows, "id long, size int, prefix array<long>")
-
-
-def shingle_sets(docs: DataFrame, size: int = SIMILAR_SHINGLE) -> DataFrame:
-    """id, shingles array<long> (distinct) of every row."""
+        return n, mark, found[: n - int(np.ceil(similarity * n - SLACK)) + 1].view(np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, size, SEED)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [sign(t) for t in part.column("text").to_pylist()]
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "size", "print", "prefix"])
 
-    return docs.select("id", text_of().alias("text")).mapInArrow(rows, "id long, shingles array<long>")
+    return texts.mapInArrow(rows, "id long, size int, print long, prefix array<long>")
 
 
-def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """node, root (hashes of texts) of the texts that are near copies of others.
 
     Texts whose sets of `shingle`-word shingles have Jaccard similarity of
-    `similarity` or more are linked, all of them: such sets have a shingle of
-    their prefixes in common, so the texts under one shingle are candidates, and
-    similarity is verified on whole sets.  In the first rounds only a leader of
-    each shingle is compared with the others (later with one text of each
-    component found so far), which links most of a hot group in rows that grow
-    with its size.  Then every pair under a shingle that is in different
-    components is compared; pairs within one can't change it.
+    `similarity` or more are linked, all of them, and similarity is verified on
+    whole texts.  Candidates come in three turns.  First fingerprints of the
+    sets, by their deletion variants, each bucket against its leader.  What they
+    miss is found exactly: sets that similar have a shingle of their prefixes in
+    common, so the texts under one shingle are candidates.  The second turn
+    compares a leader of each shingle with one text of each component found so
+    far, which links most of a hot group in rows that grow with its size.  Then
+    every pair under a shingle that is in different components is compared;
+    pairs within one can't change it.
     """
     texts = docs.select(F.xxhash64(text_of()).alias("id"), text_of().alias("text"))
-    signed = shared_table(prefixes(texts, common_shingles(texts, shingle), shingle, similarity).dropDuplicates(["id"]), "similar-prefixes")
+    signed = shared_table(signatures(texts, common_shingles(texts, shingle), shingle, similarity).dropDuplicates(["id"]), "similar-signatures")
+    alike = shared_table(_printed(signed, similarity), "similar-pairs-0")
     index = signed.select("id", "size", F.posexplode("prefix").alias("at", "key"))
-    together = Window.partitionBy("key")
-    index = shared_table(index.withColumn("n", F.count(F.lit(1)).over(together)).filter("n > 1").drop("n"), "similar-index")
-    pairs = shared_table(_led(index.withColumn("root", F.col("id")), similarity, 0), "similar-pairs-0")
-    links = _alike(pairs, texts, shingle, similarity, 0)
-    for turn in range(1, rounds + 1):
+    index = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").drop("n")
+    index = shared_table(index, "similar-index")
+    _release(docs)
+    members = index.select("id").unionAll(alike.select(F.explode(F.array("a", "b")))).distinct()
+    bodies = shared_table(_squeezed(texts.join(members.hint("merge"), "id", "left_semi")).dropDuplicates(["id"]), "similar-bodies")
+    pairs, links = alike, _verified(alike, bodies, shingle, similarity, 0)
+    for turn, candidates in ((1, _led), (2, _across)):
         roots = shared_table(components(links, "similar-components"), "similar-roots")
         rooted = index.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        found = _led(rooted, similarity, turn) if turn < rounds else _across(rooted, similarity)
-        found = shared_table(found.join(pairs, ["a", "b"], "left_anti"), f"similar-pairs-{turn}")
-        links = links.unionByName(_alike(found, texts, shingle, similarity, turn))
+        found = shared_table(candidates(rooted, similarity).join(pairs, ["a", "b"], "left_anti"), f"similar-pairs-{turn}")
+        links = links.unionByName(_verified(found, bodies, shingle, similarity, turn))
         pairs = pairs.unionByName(found)
     return shared_table(components(links, "similar-components"), "similar-roots")
 
 
+def _release(frame: DataFrame) -> None:
+    """Let go what was exchanged before: Spark clears such files only when both collectors have run."""
+    gc.collect()
+    frame.sparkSession._jvm.System.gc()
+
+
+def _squeezed(texts: DataFrame) -> DataFrame:
+    """id, body: texts compressed for the exchanges."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([squeeze.compress(t.encode("utf-8")) for t in batch.column("text").to_pylist()], pa.binary())], ["id", "body"])
+
+    return texts.mapInArrow(rows, "id long, body binary")
+
+
 def _sizes_fit(x: Column, y: Column, similarity: float) -> Column:
     return F.least(x, y) >= similarity * F.greatest(x, y) - SLACK
 
@@ -239,17 +266,28 @@ def _enough(both: Column, x: Column, y: Column, similarity: float) -> Column:
     return both >= similarity / (1 + similarity) * (x + y) - SLACK
 
 
-def _led(index: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """a, b: under every key its leader and each other text; of a component (root) one text stands for all.
+def _printed(signed: DataFrame, similarity: float) -> DataFrame:
+    """a, b: texts of one fingerprint with the first of them, and under each deletion variant the firsts with the least of them."""
+    first = F.min(F.struct("id", "size")).over(Window.partitionBy("print"))
+    classed = shared_table(signed.select("id", "size", "print", first.alias("y")), "similar-classes")
+    same = classed.filter("id != y.id").select("id", "size", "y")
+    index = classed.filter("id = y.id").select(F.struct("id", "size", "print").alias("x"), F.explode(variants(F.col("print"))).alias("v"))
+    led = index.withColumn("y", F.min("x").over(Window.partitionBy("v"))).filter("x.id != y.id")
+    led = led.filter(F.bit_count(F.col("x.print").bitwiseXOR(F.col("y.print"))) <= SIMILAR_BITS)
+    both = same.select("id", "size", "y.*").toDF("i", "x", "j", "y").unionAll(led.select("x.id", "x.size", "y.id", "y.size"))
+    return both.filter(_sizes_fit(F.col("x"), F.col("y"), similarity)).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def _led(index: DataFrame, similarity: float) -> DataFrame:
+    """a, b: under every key its leader and one text of each other component (root).
 
-    The leader has the smallest id after an exclusive or that differs by turn and
-    some bits of the key.  Of the keys that two texts share, after the first no
-    more are in common than the shorter rest has: pairs without such a key go.
+    The leader has the smallest id after an exclusive or that differs by some
+    bits of the key.  Of the keys that two texts share, after the first no more
+    are in common than the shorter rest has: pairs without such a key go.
     """
-    veil = F.xxhash64(F.pmod("key", F.lit(VEILS)), F.lit(turn))
+    veil = F.xxhash64(F.pmod("key", F.lit(VEILS)), F.lit(0))
     veiled = index.select("key", "root", F.struct(F.col("id").bitwiseXOR(veil).alias("m"), "size", "at").alias("x"))
-    if turn:
-        veiled = veiled.groupBy("key", "root").agg(F.min("x").alias("x"))
+    veiled = veiled.groupBy("key", "root").agg(F.min("x").alias("x"))
     led = veiled.select("key", "x", F.min("x").over(Window.partitionBy("key")).alias("y")).filter("x.m != y.m")
     x, y = F.col("x.size"), F.col("y.size")
     led = led.filter(_sizes_fit(x, y, similarity) & _enough(F.least(x - F.col("x.at"), y - F.col("y.at")), x, y, similarity))
@@ -277,30 +315,45 @@ def _across(index: DataFrame, similarity: float) -> DataFrame:
     return able.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, turn: int) -> DataFrame:
-    """The pairs whose texts' sets have at least that Jaccard similarity.
+def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: float, turn: int) -> DataFrame:
+    """The pairs whose texts' sets have at least that Jaccard similarity."""
 
-    Only texts of pairs are cut into shingles.  What was exchanged before is let
-    go first, as Spark clears such files only when its driver collects garbage.
-    """
-    pairs.sparkSession._jvm.System.gc()
-    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = shared_table(shingle_sets(texts.join(members.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), shingle), f"similar-sets-{turn}")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("__x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("__y"))
-    x, y = F.size("__x"), F.size("__y")
-    both = F.size(F.array_intersect("__x", "__y"))
-    alike = (F.least(x, y) >= similarity * F.greatest(x, y)) & (both >= similarity * (x + y - both))
-    return shared_table(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(alike).select("a", "b"), f"similar-links-{turn}")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        whole = zstandard.ZstdDecompressor()
+        of = lambda body: shingle_set(whole.decompress(body).decode("utf-8"), shingle)
+        held, mine = None, None  # pairs come sorted by a
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True)):
+                if a != held:
+                    held, mine = a, of(x.as_py())
+                other = of(y.as_py())
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                keep[i] = both >= similarity * (len(mine) + len(other) - both) - SLACK
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    _release(pairs)
+    met = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")).hint("merge"), "b")
+    met = met.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")).hint("merge"), "a")
+    return shared_table(met.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long"), f"similar-links-{turn}")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near copies: of a group the text with the smallest doc_id stays (null last), with all its rows."""
+    """The rows of docs without near copies: of a group the text with the smallest doc_id stays (null last), with all its rows.
+
+    Groups are those of similar_groups().  A null text is an empty one; texts
+    without words are near copies of each other.  Repeated rows and
+    equal texts are one text here and stay or go together.  An empty table gives an
+    empty one; the columns are those of docs.
+    """
     roots = similar_groups(docs, **options)
     text = F.xxhash64(text_of())
     ids = docs.select(text.alias("node"), F.col("doc_id").alias("__id")).join(roots, "node").groupBy("root", "node").agg(F.min("__id").alias("first_id"))
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "node"))["node"].alias("stays"))
     gone = shared_table(roots.join(best, "root").filter("node != stays").select(F.col("node").alias("__gone")), "similar-gone")
+    _release(docs)
     return docs.join(gone.hint("merge"), text == F.col("__gone"), "left_anti")
 
 
