@@ -1,45 +1,61 @@
 """Removal of repeated passages: every word in a WINDOW-word window that also starts earlier.
 
-Suffixes of the corpus are grouped by a prefix and each group is searched by
-itself.  To keep the groups few and small, a window is filed under its anchor,
-the smallest hash of the ANCHOR-word runs inside it: equal windows have equal
-anchors, and neighbouring windows mostly share theirs, so one record holds a
-run of them.  Records with one anchor are the suffixes with one short prefix;
-each carries, for its windows, the hash of the longer prefix of all WINDOW
-words.  Those are the nodes of depth WINDOW in the group's suffix tree, and a
-node with two leaves is a repeat: going through a group in the order of
-(doc_id, start), a window is a repeat when its node was seen before.
-
-Repeats within a chunk of documents are found before the exchange, so a passage
-that stands everywhere sends one record a chunk.  Groups come sorted from Spark,
-which spills where it must, and are streamed: a task holds the distinct nodes of
-one anchor and never a group's records.
+The corpus' suffixes, each cut to WINDOW words, are split by prefixes into
+groups that fit memory, and each group's suffix tree is built by itself: a node
+of depth WINDOW with more than one leaf is a repeat, and all its leaves but the
+first in the order of (doc_id, start) are repeated windows.
+
+Neighbouring suffixes overlap in all but a word, so they are not sent one by
+one.  A suffix is read from its anchor on, the ANCHOR words inside it with the
+smallest hash: equal suffixes have equal anchors, and neighbours mostly share
+theirs, so one record holds a run of them.  The anchor is the prefix by which
+they are grouped.  Where a group is too large, the prefix is lengthened to all
+WINDOW words, and each suffix of it is a record of its own; such a group has one
+node, goes through memory in pieces, and needs no more than its first leaf.
+
+Three passes:
+
+1. Records are cut from texts, by chunks of documents.  A window that stands
+   earlier in its chunk is a repeat for certain and needs no comparison, so a
+   passage that stands everywhere sends one record a chunk; an anchor that is
+   frequent in its chunk is only told of, once.  An anchor's records are counted:
+   single ones are dropped, as nothing equals them.
+2. For the others, the words themselves are cut from texts and grouped.
+3. Repeated windows go back to their documents.
+
+Hashes only say what is compared: windows are equal when all words are.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segmill.llm.common import documents, text_of
+from segmill.llm.common import documents, shared_table, text_of
 
 WINDOW = 20
 ANCHOR = 6
-#: Bytes kept of a window's hash, beside its anchor's eight.
-NODE_BYTES = 6
 #: A record holds so many windows at most.
 RUN = 16
-#: Windows that are compared before the exchange.
-CHUNK = 1 << 21
+#: Words that are compared before the exchange.
+CHUNK = 1 << 20
+#: An anchor with more records than this in a chunk counts as frequent everywhere.
+OFTEN = 64
+#: Records of a group whose tree is built at once; groups of more have their prefix lengthened.
+GROUP = 20_000
 #: Stands for a null doc_id, and sorts first as that does.
 NO_ID = -(2**63)
 #: Odd multiplier of the rolling hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of records: to be compared, the same under a frequent anchor, known repeats, and word of a frequent anchor.
+SENT, FREQUENT, KNOWN, NOTICE = range(4)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,151 +96,229 @@ def words_of_text(text: str) -> list[bytes]:
     return text.encode("utf-8").split()
 
 
-def records(text: str, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: anchors, first windows and numbers of windows of its records, and all windows' hashes."""
-    words = words_of_text(text)
-    if len(words) < window:
-        none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, np.uint64)
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    nodes = run_hashes(hashed, window)
-    anchors = sliding_min(run_hashes(hashed, anchor), window - anchor + 1)
-    starts = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
-    counts = np.diff(np.append(starts, len(anchors)))
-    if counts.max() > RUN:  # a run of many equal words
-        parts = -(-counts // RUN)
-        which = np.repeat(np.arange(len(starts)), parts)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, counts = starts[which] + nth * RUN, np.minimum(RUN, counts[which] - nth * RUN)
-    return anchors[starts].view(np.int64), starts, counts, nodes
+def _interned(words: list[bytes], known: defaultdict) -> np.ndarray:
+    """A number for each word, equal for equal words only; known grows by those not met before."""
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def _numbers() -> defaultdict:
+    known: defaultdict = defaultdict()
+    known.default_factory = known.__len__
+    return known
 
 
 def _tag(text: str) -> int:
     """Tells texts that share a doc_id apart."""
-    return xxhash.xxh32_intdigest(text.encode("utf-8")) & 0xFFFFF
+    return xxhash.xxh32_intdigest(text.encode("utf-8"))
+
+
+MARK = "anchor long, doc_id long, tag long, place long"
+MARK_NAMES = ["anchor", "doc_id", "tag", "place"]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], window: int, key_bits: int) -> Iterator[pa.RecordBatch]:
+    """Records of texts, see _chunk()."""
+    held, known, size = [], _numbers(), 0
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = words_of_text(text)
+            if len(words) >= window:
+                held.append((doc, _tag(text), _interned(words, known)))
+                size += len(words)
+            if size >= CHUNK:
+                yield from _chunk(held, known, window, key_bits)
+                held, known, size = [], _numbers(), 0
+    if held:
+        yield from _chunk(held, known, window, key_bits)
 
 
-RECORD = "anchor long, doc_id long, place long, nodes binary"
+def _chunk(held: list[tuple], known: defaultdict, window: int, key_bits: int) -> Iterator[pa.RecordBatch]:
+    """anchor, doc_id, tag, place: start of the first window << 20, which windows from it on << 4, kind.
 
+    Of equal windows in the chunk, compared by their words, only the first is to
+    be compared further; the others are known repeats.
+    """
+    held.sort(key=lambda h: h[0])
+    ids, tags = (np.array([h[i] for h in held], np.int64) for i in (0, 1))
+    sizes = np.array([len(h[2]) for h in held])
+    ends = np.cumsum(sizes)
+    words = np.concatenate([h[2] for h in held])
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[words]
+    cut = np.uint64(64 - key_bits)
+    nodes = run_hashes(hashed, window) >> cut
+    anchors = sliding_min(run_hashes(hashed, ANCHOR) >> cut, window - ANCHOR + 1)
+    owner = np.repeat(np.arange(len(held)), sizes)
+    at = np.flatnonzero(owner[: len(nodes)] == owner[window - 1 :])  # windows inside one document
+    owner, node, anchor = owner[at], nodes[at], anchors[at]
+    doc, start = ids[owner], at - (ends - sizes)[owner]
+
+    order = np.argsort(node, kind="stable")
+    fresh = np.concatenate([[True], node[order][1:] != node[order][:-1]])
+    first = np.empty(len(at), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+    known_repeat = (doc[first] != doc) | (start[first] != start)
+    for k in range(window):
+        like = np.flatnonzero(known_repeat)
+        known_repeat[like] = words[at[like] + k] == words[at[first[like]] + k]
+
+    heads = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])
+    run = np.cumsum(heads) - 1
+    step = np.arange(len(at)) - np.flatnonzero(heads)[run]
+    heads |= step % RUN == 0
+    run, step, head = np.cumsum(heads) - 1, step % RUN, np.flatnonzero(heads)
+    bits = [np.bincount(run, np.where(which, 1 << step, 0), len(head)).astype(np.int64) for which in (~known_repeat, known_repeat)]
+    anchor, owner, start = anchor[head].view(np.int64), owner[head], start[head]
+    anywhere = _mix(owner.astype(np.uint64) * BASE + start.astype(np.uint64)).view(np.int64)
+    sent = bits[0] > 0
+    names, which, counts = np.unique(anchor[sent], return_inverse=True, return_counts=True)
+    often = np.zeros(len(head), bool)
+    often[sent] = counts[which] > OFTEN
+
+    def rows(some: np.ndarray, key: np.ndarray, held_bits: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(some), 20_000):
+            part = some[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(ids[owner[part]]), pa.array(tags[owner[part]]), pa.array((start[part] << 20) | (held_bits[part] << 4) | kind)], MARK_NAMES)
+
+    yield from rows(np.flatnonzero(sent & ~often), anchor, bits[0], SENT)
+    yield from rows(np.flatnonzero(sent & often), anywhere, bits[0], FREQUENT)
+    yield from rows(np.flatnonzero(bits[1] > 0), anywhere, bits[1], KNOWN)
+    told = names[counts > OFTEN]
+    none = np.zeros(len(told), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(told), pa.array(none), pa.array(none), pa.array(none | NOTICE)], MARK_NAMES)
+
+
+def marked(texts: DataFrame, window: int, key_bits: int, group: int) -> DataFrame:
+    """anchor, doc_id, tag, place, level: 0 for known repeats, 1 to be grouped by anchor, 2 by all words."""
+    cut = texts.mapInArrow(lambda b: _cut(b, window, key_bits), MARK)
+    kind = F.col("place").bitwiseAND(F.lit(15))
+    same = Window.partitionBy("anchor")
+    counted = cut.withColumns({"n": F.count(F.lit(1)).over(same), "told": F.max(kind == NOTICE).over(same)})
+    level = F.when(kind == KNOWN, 0).when((kind == FREQUENT) | F.col("told") | (F.col("n") > group), 2).otherwise(1)
+    some = counted.filter((kind == KNOWN) | (kind == FREQUENT) | ((kind == SENT) & (F.col("n") > 1)))
+    return shared_table(some.select(*MARK_NAMES, level.cast("byte").alias("level")), "repeat-marks")
+
+
+SHIPPED = "key long, doc_id long, tag long, place long, words binary"
+SHIPPED_NAMES = ["key", "doc_id", "tag", "place", "words"]
+
+
+def _ship(batches: Iterator[pa.RecordBatch], window: int, key_bits: int) -> Iterator[pa.RecordBatch]:
+    """The records' words, cut from the documents' texts; place is start << 16 | windows."""
+    import zstandard
 
-def _place(start: np.ndarray, bits: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """First window, which windows from it on, and the text's tag in one number that sorts by the first."""
-    return (start << 36) | (bits << 20) | tag
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, tag, body, records in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "body", "records")), strict=True):
+            words = unpack.decompress(body).split()
+            for record in records:
+                start, bits = record["place"] >> 20, (record["place"] >> 4) & 0xFFFF
+                if record["level"] == 1:
+                    out.append((record["anchor"], doc, tag, (start << 16) | bits, b" ".join(words[start : start + bits.bit_length() - 1 + window])))
+                    continue
+                for b in range(bits.bit_length()):
+                    if bits >> b & 1:
+                        own = b" ".join(words[start + b : start + b + window])
+                        out.append((xxhash.xxh64_intdigest(own) >> (64 - key_bits + 1), doc, tag, ((start + b) << 16) | 1, own))
+            if len(out) > 20_000:
+                yield _shipped(out)
+                out = []
+        yield _shipped(out)
+
+
+def _shipped(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], SHIPPED_NAMES)
+
+
+def tree_nodes(words: np.ndarray, depth: int) -> np.ndarray:
+    """For each place the node of depth `depth` of the suffix tree, on the way to the suffix that starts there.
+
+    words holds numbers of words.  A node is the class of the suffixes with the
+    same first words; nodes are made from the root down, those of twice the depth
+    from a node and the node behind it, so no two classes share a number.
+    """
+    node, level, span, found, have = words, None, 1, None, 0
+    left = depth
+    while True:
+        if left & 1:
+            found = node if found is None else _children(found, node[have:])
+            have += span
+        left >>= 1
+        if not left:
+            return found[: len(words) - depth + 1]
+        level = node
+        node = _children(level, level[span:])
+        span *= 2
 
 
-def _first(node: np.ndarray, doc: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each window the place of the first one with its node; order sorts by node, then doc and at."""
-    ranked = node[order]
-    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    found = np.empty(len(order), np.int64)
-    found[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
-    return found
+def _children(above: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Nodes below `above`, told apart by what follows."""
+    n = min(len(above), len(behind))
+    if not n:
+        return np.empty(0, np.int64)
+    return pd.factorize(above[:n] * (int(behind.max()) + 1) + behind[:n])[0]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of texts; of CHUNK windows at a time, only the first with a node goes on to be compared.
+def subtree_repeats(key: np.ndarray, doc: np.ndarray, place: np.ndarray, words: list[bytes], window: int) -> np.ndarray:
+    """For each record of whole groups, sorted by key, doc and place, which of its windows are repeats, as bits.
 
-    The others are repeats for certain, and go on as bits only, in records
-    without nodes, which any task may get.
+    A leaf is a window; the node of depth `window` above it is internal where it
+    has other leaves, of which the first stays.
     """
-    held, windows = [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            anchors, starts, counts, nodes = records(text)
-            if len(anchors):
-                held.append((NO_ID if doc is None else doc, _tag(text), anchors, starts, counts, nodes))
-                windows += len(nodes)
-            if windows >= CHUNK:
-                yield from _chunk(held)
-                held, windows = [], 0
-    if held:
-        yield from _chunk(held)
+    bits = (place & 0xFFFF).astype(np.uint16)
+    row, step = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little"))
+    last = np.zeros(len(bits), np.int64)
+    last[row] = step  # the largest comes last
+    flat = b" ".join(words).split(b" ")
+    sizes = last + window
+    nodes = tree_nodes(_interned(flat, _numbers()), window)
+    leaf = nodes[(np.cumsum(sizes) - sizes)[row] + step]
+    _, first, node = np.unique(leaf, return_index=True, return_inverse=True)
+    first = first[node]
+    own, at = doc[row], (place >> 16)[row] + step
+    repeat = (own[first] != own) | (at[first] != at)
+    return np.bincount(row, np.where(repeat, 1 << step, 0), len(bits)).astype(np.int64)
 
 
-def _chunk(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    held.sort(key=lambda h: h[0])
-    sizes = [len(h[2]) for h in held]
-    doc, tag = np.repeat([h[0] for h in held], sizes), np.repeat([h[1] for h in held], sizes)
-    anchor, start, count = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
-    node = np.concatenate([h[5] for h in held])
-    row = np.repeat(np.arange(len(doc)), count)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    own_doc, at = doc[row], start[row] + step
-    first = _first(node, own_doc, at, np.argsort(node, kind="stable"))  # documents come in order
-    repeat = (own_doc[first] != own_doc) | (at[first] != at)
-    sent = np.bincount(row, np.where(repeat, 0, 1 << step), len(doc)).astype(np.int64)
-    gone = np.bincount(row, np.where(repeat, 1 << step, 0), len(doc)).astype(np.int64)
-    flat = np.ascontiguousarray(node[~repeat]).view(np.uint8).reshape(-1, 8)[:, :NODE_BYTES].tobytes()
-    lengths = np.bincount(row, ~repeat, len(doc)).astype(np.int64) * NODE_BYTES
-    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    nodes = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-    ids = lambda x: pa.array(x, mask=x == NO_ID)
-    some = np.flatnonzero(sent)
-    for i in range(0, len(some), 20_000):
-        part = some[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[part]), ids(doc[part]), pa.array(_place(start, sent, tag)[part]), nodes.take(pa.array(part))], RECORD_NAMES)
-    known = np.flatnonzero(gone)
-    for i in range(0, len(known), 20_000):
-        part = known[i : i + 20_000]
-        anywhere = _mix(doc[part].view(np.uint64) * BASE + start[part].view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(anywhere), ids(doc[part]), pa.array(_place(start, gone, tag)[part]), pa.nulls(len(part), pa.binary())], RECORD_NAMES)
-
-
-RECORD_NAMES = ["anchor", "doc_id", "place", "nodes"]
 RUNS = ["doc_id", "tag", "run"]
 
 
-def _runs(doc: np.ndarray, place: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    """doc_id, tag, run = first window << 16 | bits of the repeated ones."""
-    return pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(place & 0xFFFFF), pa.array(((place >> 36) << 16) | bits)], RUNS)
+def _trees(batches: Iterator[pa.RecordBatch], window: int, group: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, tag, run = start << 16 | repeated windows, from records sorted by key, doc_id and place.
 
+    Whole groups are searched together.  A group that outgrows memory is one of
+    equal windows: what has come of it is searched, and its first leaves are kept.
+    """
+    held = None  # the open group, with what of it was searched before
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated windows from records sorted by anchor, doc_id and place.
+    def search(table: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+        key, doc, place = (table.column(c).to_numpy() for c in ("key", "doc_id", "place"))
+        found = subtree_repeats(key, doc, place, table.column("words").to_pylist(), window)
+        hit = np.flatnonzero((found > 0) & ~table.column("old").to_numpy())
+        runs = pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(table.column("tag").to_numpy()[hit]), pa.array((place[hit] >> 16 << 16) | found[hit])], RUNS)
+        stay = table.filter(pa.array(found != (place & 0xFFFF)))
+        return runs, stay.set_column(5, "old", pa.array(np.ones(len(stay), bool)))
 
-    Windows met first in a batch are held against those of the anchor that goes
-    on from the batch before.  Equal (doc_id, start) is no earlier start.
-    """
-    open_anchor, seen = None, {}
     for batch in batches:
-        bare = batch.column("nodes").is_null().to_numpy(zero_copy_only=False)
-        doc = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-        place = batch.column("place").to_numpy()
-        if bare.any():
-            yield _runs(doc[bare], place[bare], (place[bare] >> 20) & 0xFFFF)
-        full = np.flatnonzero(~bare)
-        if not len(full):
+        if not batch.num_rows:
             continue
-        anchor, doc, place = batch.column("anchor").to_numpy()[full], doc[full], place[full]
-        start, bits = place >> 36, ((place >> 20) & 0xFFFF).astype(np.uint16)
-        raw = b"".join(batch.column("nodes").take(pa.array(full)).to_pylist())
-        wide = np.zeros((len(raw) // NODE_BYTES, 8), np.uint8)
-        wide[:, :NODE_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, NODE_BYTES)
-        node = wide.view(np.uint64).ravel()
-        row, step = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little"))
-        own_doc, own_anchor, at = doc[row], anchor[row], start[row] + step
-        both = _mix(own_anchor.view(np.uint64)) ^ node
-        first = _first(both, own_doc, at, np.lexsort((at, own_doc, both)))
-        first_doc, first_at = own_doc[first], at[first]
-        carried = own_anchor == open_anchor
-        if carried.any():
-            for j in np.flatnonzero(carried).tolist():
-                was = seen.get(int(node[j]))
-                if was is not None:
-                    first_doc[j], first_at[j] = was
-        repeat = (first_doc != own_doc) | (first_at != at)
-        if anchor[-1] != open_anchor:
-            open_anchor, seen = anchor[-1], {}
-        for j in np.flatnonzero((own_anchor == open_anchor) & ~repeat).tolist():
-            seen.setdefault(int(node[j]), (int(own_doc[j]), int(at[j])))
-        found = np.bincount(row, np.where(repeat, 1 << step, 0), len(full)).astype(np.int64)
-        hit = np.flatnonzero(found)
-        if len(hit):
-            yield _runs(doc[hit], place[hit], found[hit])
+        new = pa.Table.from_batches([batch]).append_column("old", pa.array(np.zeros(batch.num_rows, bool)))
+        table = new if held is None else pa.concat_tables([held, new])
+        key = table.column("key").to_numpy()
+        whole = int(np.searchsorted(key, key[-1]))
+        if whole:
+            yield search(table.slice(0, whole))[0]
+        held = table.slice(whole)
+        if len(held) > group:
+            runs, held = search(held)
+            yield runs
+    if held is not None and len(held):
+        yield search(held)[0]
 
 
 def kept_words(text: str, runs: np.ndarray, window: int = WINDOW) -> tuple[int, list[bytes]]:
-    """Number of words, and the words outside repeated windows; runs as from _repeats."""
+    """Number of words, and the words outside repeated windows; runs as from _trees."""
     words = words_of_text(text)
     if not len(runs):
         return len(words), words
@@ -238,14 +332,7 @@ def kept_words(text: str, runs: np.ndarray, window: int = WINDOW) -> tuple[int,
     return len(words), [words[i] for i in np.flatnonzero(keep).tolist()]
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, runs: the repeated windows of every document that has any."""
-    cut = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_cut, RECORD)
-    groups = cut.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place")
-    return groups.mapInArrow(_repeats, "doc_id long, tag long, run long").groupBy("doc_id", "tag").agg(F.collect_list("run").alias("runs"))
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, key_bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text.
 
     A null text has no words.  Of equal windows the one with the smallest
@@ -253,12 +340,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     start of rows that share a doc_id do not remove each other.  Texts of fewer
     words than a window keep all.  kept_text has the kept words joined by single
     spaces.  An empty table gives an empty one.  Other columns of docs are not
-    looked at.
+    looked at.  Fewer key_bits make hashes collide, for tests.
     """
-    tagged = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_squeeze, "doc_id long, tag long, body binary")
-    found = repeated_windows(docs).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "runs")
-    joined = tagged.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag")), "left")
-    return joined.select("doc_id", "body", "runs").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
+    marks = marked(texts, window, key_bits, group)
+    owner = ["doc_id", "tag"]
+    tagged = texts.mapInArrow(_squeeze, "doc_id long, tag long, body binary")
+    records = marks.filter("level > 0").groupBy(*owner).agg(F.collect_list(F.struct("anchor", "place", "level")).alias("records"))
+    shipped = tagged.join(records.hint("merge"), owner).select("doc_id", "tag", "body", "records").mapInArrow(lambda b: _ship(b, window, key_bits), SHIPPED)
+    grouped = shipped.repartition("key").sortWithinPartitions("key", "doc_id", "place")
+    found = grouped.mapInArrow(lambda b: _trees(b, window, group), "doc_id long, tag long, run long")
+    known = marks.filter("level = 0").select("doc_id", "tag", F.expr("(shiftright(place, 20) << 16) | (shiftright(place, 4) & 65535)").alias("run"))
+    runs = found.unionAll(known).groupBy(*owner).agg(F.collect_list("run").alias("runs"))
+    kept = tagged.join(runs.hint("merge"), owner, "left").select("doc_id", "body", "runs").mapInArrow(lambda b: _keep(b, window), "doc_id long, n_words long, n_removed long, kept_text string")
+    return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +368,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
@@ -282,7 +377,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             words, removed, kept = [], [], []
             for body, runs in zip(part.column("body").to_pylist(), part.column("runs"), strict=True):
-                n, left = kept_words(unpack.decompress(body).decode("utf-8"), np.array(runs.as_py() or [], np.int64))
+                n, left = kept_words(unpack.decompress(body).decode("utf-8"), np.array(runs.as_py() or [], np.int64), window)
                 words.append(n)
                 removed.append(n - len(left))
                 kept.append(b" ".join(left).decode("utf-8"))

@@ -163,12 +163,21 @@ def repeats_by_hand(rows, window=20):
     return found
 
 
-def test_substring_dedup(docs, rows):
-    found = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in take(substring_dedup.without_repeats(docs)))
-    assert found == Counter(repeats_by_hand([(r[0], words(r[1])) for r in rows]))
+def repeats(docs, **options):
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in take(substring_dedup.without_repeats(docs, **options)))
 
 
-def test_substring_dedup_random(spark):
+#: Plain; every group with its prefix lengthened and searched in pieces; and with hashes of few bits, which only words can tell apart.
+TREES = [{}, {"group": 2}, {"key_bits": 7}, {"key_bits": 5, "group": 3}]
+
+
+@pytest.mark.parametrize("options", TREES)
+def test_substring_dedup(docs, rows, options):
+    assert repeats(docs, **options) == Counter(repeats_by_hand([(r[0], words(r[1])) for r in rows]))
+
+
+@pytest.mark.parametrize("options", TREES)
+def test_substring_dedup_random(spark, options):
     rng = random.Random(9)
     base = [rng.choice("abcdefgh") for _ in range(400)]
     rows = []
@@ -180,8 +189,29 @@ def test_substring_dedup_random(spark):
         rows.append((i, w))
     rng.shuffle(rows)
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(5)
-    found = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in take(substring_dedup.without_repeats(docs)))
-    assert found == Counter(repeats_by_hand(rows))
+    assert repeats(docs, **options) == Counter(repeats_by_hand(rows))
+
+
+def test_frequent_phrases_with_other_neighbours(spark):
+    """One anchor in every document, more often than OFTEN in a chunk, and some whole passages."""
+    rng = random.Random(10)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    phrase, passages = "in the event of any such".split(), [[word() for _ in range(30)] for _ in range(3)]
+    rows = []
+    for i in range(300):
+        w = [word() for _ in range(rng.randint(5, 25))] + phrase + [word() for _ in range(rng.randint(5, 25))]
+        rows.append((i, w + rng.choice(passages) if i % 4 == 0 else w))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+    assert repeats(docs) == Counter(repeats_by_hand(rows))
+
+
+def test_tree_nodes_are_classes_of_equal_prefixes():
+    rng = np.random.default_rng(3)
+    for depth in (1, 2, 3, 5, 7, 20):
+        flat = rng.integers(0, 2, 300)
+        nodes = substring_dedup.tree_nodes(flat, depth).tolist()
+        own = [tuple(flat[i : i + depth]) for i in range(len(flat) - depth + 1)]
+        assert len(nodes) == len(own) and len(set(zip(nodes, own))) == len(set(nodes)) == len(set(own))
 
 
 # 5
