@@ -2,16 +2,19 @@
 
 Base spans come from three patterns.  The method looks at every other token
 that could be encoded bytes: its alphabet is inferred (hex, base32, base64),
-and its symbols are tested for uniformity (chi-squared), for runs above and
-below the middle of the alphabet, and for serial correlation.  A random token
-passes the last two, and has fewer equal symbols than structured text would; the
-chance of so few in structured text of that length is its p-value.  As short
-tokens look random by chance more often, false discoveries are controlled in
-each class of lengths by itself (Benjamini and Hochberg), over all documents:
-p-values are counted in fixed bins, whose sums give each class its threshold.
-
-All of it is built from SQL functions; texts are read once and only spans and
-test results go on.
+and its symbols are tested against what random bytes would give: chi-squared
+for uniform use of the alphabet, runs above and below its middle, and serial
+correlation.  The least of the three p-values, corrected for being that, is the
+token's.  Random tokens have every p alike often, structured ones small ones.
+
+Short tokens tell less, so a bound for all would let words through or lose keys.
+Tokens are therefore judged among those of their encoding and class of lengths,
+over all documents: p-values are counted in fixed bins, those above a half give
+the number of random tokens in a class, and the bound is the least that keeps
+the share of others among the reported within the rate.
+
+All of it is built from SQL functions, each linear in the text; texts are read
+once and only spans and test results go on.
 """
 
 from __future__ import annotations
@@ -24,137 +27,160 @@ from segmill.llm.common import documents, shared_table, text_of
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: What the battery looks at: a token of 20 symbols or more with a digit among them.
-TOKEN = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: What the battery looks at.
+TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Share of false discoveries allowed in a class of lengths.
-RATE = 0.01
+#: Share of other tokens allowed among those reported, in a class.
+RATE = 0.05
 #: Classes of lengths start here.
 LENGTHS = (20, 32, 64)
-#: Limit of the runs and serial tests: three standard deviations.
-LIMIT = 3.0
-#: p-values are binned by their negative logarithm, a bin a STEP, the last open.
-STEP, BINS = 0.1, 200
-#: Sums of squares and cubes of symbol shares in structured text, by inferred encoding.
+#: p-values are counted in so many bins; from the middle one on they are taken for random tokens.
+BINS = 100
+#: Alphabet and pattern of each encoding, the first that fits is inferred.  Hex in capitals is lower-cased first.
 ENCODINGS = {
-    "hex": ("0123456789abcdef", r"^([0-9a-f]+|[0-9A-F]+)$", 0.14, 0.028),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+=*$", 0.08, 0.0095),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", r"", 0.065, 0.0055),
+    "hex": ("0123456789abcdef", r"^([0-9a-f]+|[0-9A-F]+)$"),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+$"),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r""),
 }
+#: Matches whose places are summed at once.
+BLOCK = 256
 
 
-def _spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, found>>: leftmost matches that do not overlap, in code points.
-
-    What lies between matches comes from split() by the same pattern, so places
-    are running sums of lengths.  found is the asked group of each match.
-    """
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<gap, whole, part>>: each match, what lies before it, and one of its groups; at last what lies behind (whole is null)."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    cut = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.split(text, pattern, -1).alias("gap"))
-    start = lambda done: F.when(F.size(done) == 0, F.lit(0)).otherwise(F.element_at(done, -1)["end"])
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,found:string>>)")
+    return F.when(F.size(whole) > 0, F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part")))
+
+
+SPAN = "array<struct<start:int,end:int,found:string>>"
+
+
+def _spans(matches: Column) -> Column:
+    """array<struct<start, end, found>> of the matches in an array column, in code points.
+
+    Places are running sums of lengths.  They are summed in blocks, first over
+    blocks and then inside each, so that no long array is copied for each match.
+    """
+    length = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["whole"]), F.lit(0))
+    block = lambda i: F.slice(matches, i * BLOCK + 1, F.lit(BLOCK))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+    ahead = F.aggregate(
+        F.transform(blocks, lambda i: F.aggregate(block(i), F.lit(0), lambda a, x: a + length(x))),
+        F.array(F.lit(0)),
+        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)),
+    )
 
     def step(done: Column, x: Column) -> Column:
-        at = start(done) + F.length(x["gap"])
-        return F.when(x["whole"].isNull(), done).otherwise(F.concat(done, F.array(F.struct(at.alias("start"), (at + F.length(x["whole"])).alias("end"), x["part"].alias("found")))))
+        start = done["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
+        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["part"].alias("found")))).alias("spans"))
+
+    inside = F.zip_with(blocks, F.slice(ahead, F.lit(1), F.size(blocks)), lambda i, at: F.aggregate(block(i), F.struct(at.alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("spans")), step)["spans"])
+    return F.coalesce(F.when(matches.isNotNull(), F.filter(F.flatten(inside), lambda x: x["found"].isNotNull())), F.expr(f"CAST(array() AS {SPAN})"))
+
 
-    return F.when(F.size(whole) > 0, F.aggregate(cut, empty, step)).otherwise(empty)
+def _blanked(text: Column, matches: Column, counts) -> Column:
+    """The text with the matches that count replaced by as many spaces."""
+    piece = lambda x: F.concat(x["gap"], F.coalesce(F.when(counts(x), F.repeat(F.lit(" "), F.length(x["whole"]))).otherwise(x["whole"]), F.lit("")))
+    return F.when(matches.isNull(), text).otherwise(F.array_join(F.transform(matches, piece), ""))
 
 
 def _tail(z: Column) -> Column:
-    """Chance of a standard normal at most z, for z <= 0 (else 1): a rational approximation of erfc."""
+    """Chance that a standard normal is over |z|: a rational approximation of erfc."""
     x = F.abs(z) / F.lit(2**0.5)
     t = 1 / (1 + 0.3275911 * x)
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.when(z <= 0, 0.5 * poly * F.exp(-x * x)).otherwise(F.lit(1.0))
+    return 0.5 * poly * F.exp(-x * x)
 
 
 def battery(tokens: Column) -> Column:
     """Adds the tests' results to an array of struct<start, end, found>.
 
-    Gives struct<start, end, n, chi2, z_runs, z_serial, p>: p is the chance of
-    so few equal symbols in structured text, 1 if runs or serial correlation
-    are out of bounds.  Steps are nested so that each is computed once a token.
+    Gives struct<start, end, kind (number of the encoding), n, chi2, z_runs,
+    z_serial, p>.  Padding (=) is no symbol; - and _ stand for + and /.  Means and
+    variances are those of n symbols drawn alike: of chi-squared k - 1 and
+    2 (k - 1) (n - 1) / n, of the runs given how many symbols are high, of the
+    serial correlation -1 / n and 1 / n.  Chi-squared counts where it is too
+    large, the others on both sides.  Steps are nested so that each is computed
+    once a token.
     """
-
-    def by_encoding(value, found: Column) -> Column:
-        kind = F.when(found.rlike(ENCODINGS["hex"][1]), F.lit(value("hex"))).when(found.rlike(ENCODINGS["base32"][1]), F.lit(value("base32")))
-        return kind.otherwise(F.lit(value("base64")))
-
-    alphabet = lambda x: by_encoding(lambda k: ENCODINGS[k][0], x)
-    first = F.transform(
-        tokens,
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-            by_encoding(lambda k: float(len(ENCODINGS[k][0])), x["found"]).alias("k"),
-            by_encoding(lambda k: ENCODINGS[k][2], x["found"]).alias("s2"),
-            by_encoding(lambda k: ENCODINGS[k][3], x["found"]).alias("s3"),
-            F.transform(F.filter(F.split(F.when(x["found"].rlike(r"^[0-9A-F]+$"), F.lower(x["found"])).otherwise(x["found"]), ""), lambda c: (c != "") & (c != "=")), lambda c: F.instr(alphabet(x["found"]), c).cast("double")).alias("v"),
-        ),
-    )
-    numbers = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
+    def by_kind(kind: Column, value) -> Column:
+        return F.when(kind == 0, F.lit(value("hex"))).when(kind == 1, F.lit(value("base32"))).otherwise(F.lit(value("base64")))
+
+    size = lambda k: float(len(ENCODINGS[k][0]))
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
+    kind = lambda x: F.when(x.rlike(ENCODINGS["hex"][1]), 0).when(x.rlike(ENCODINGS["base32"][1]), 1).otherwise(2)
+    plain = lambda x: F.translate(F.when(x.rlike("^[0-9A-F]+$"), F.lower(x)).otherwise(x), "-_=", "+/")
+    first = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), plain(x["found"]).alias("found")))
+    first = F.transform(F.filter(first, lambda x: F.length(x["found"]) >= LENGTHS[0] - 4), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), kind(x["found"]).alias("kind")))
     second = F.transform(
         first,
         lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["k"].alias("k"), x["s2"].alias("s2"), x["s3"].alias("s3"), x["v"].alias("v"),
-            F.size(x["v"]).cast("double").alias("n"),
-            (numbers(x["v"]) / F.size(x["v"])).alias("mean"),
-            numbers(F.transform(F.array_distinct(x["v"]), lambda c: F.pow(F.size(F.filter(x["v"], lambda y: y == c)), F.lit(2.0)))).alias("squares"),
-            F.size(F.filter(x["v"], lambda y: y > x["k"] / 2)).cast("double").alias("high"),
-            numbers(F.transform(x["v"], lambda y, i: F.when((i > 0) & ((y > x["k"] / 2) != (F.get(x["v"], i - 1) > x["k"] / 2)), 1.0).otherwise(0.0))).alias("turns"),
+            x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"),
+            F.length(x["found"]).cast("double").alias("n"),
+            by_kind(x["kind"], size).alias("k"),
+            # of each symbol, how often it stands there
+            F.transform(F.split(by_kind(x["kind"], lambda k: ENCODINGS[k][0]), ""), lambda c: (F.length(x["found"]) - F.length(F.replace(x["found"], c, F.lit("")))).cast("double")).alias("counts"),
+            F.when(x["kind"] == 0, F.translate(x["found"], ENCODINGS["hex"][0], "l" * 8 + "h" * 8)).when(x["kind"] == 1, F.translate(x["found"], ENCODINGS["base32"][0], "l" * 16 + "h" * 16)).otherwise(F.translate(x["found"], ENCODINGS["base64"][0], "l" * 32 + "h" * 32)).alias("halves"),
+            F.transform(F.split(x["found"], ""), lambda c: F.instr(by_kind(x["kind"], lambda k: ENCODINGS[k][0]), c).cast("double")).alias("v"),
         ),
     )
     third = F.transform(
         second,
         lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), x["s2"].alias("s2"), x["s3"].alias("s3"), x["squares"].alias("squares"), x["high"].alias("high"), x["turns"].alias("turns"),
-            (x["squares"] * x["k"] / x["n"] - x["n"]).alias("chi2"),
-            (2 * x["high"] * (x["n"] - x["high"]) / x["n"]).alias("mu"),
-            numbers(F.transform(x["v"], lambda y: F.pow(y - x["mean"], F.lit(2.0)))).alias("spread"),
-            numbers(F.transform(x["v"], lambda y, i: F.when(i > 0, (y - x["mean"]) * (F.get(x["v"], i - 1) - x["mean"])).otherwise(0.0))).alias("lagged"),
+            x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["n"].alias("n"), x["k"].alias("k"),
+            (add(F.transform(x["counts"], lambda c: c * c)) * x["k"] / x["n"] - x["n"]).alias("chi2"),
+            F.length(F.replace(x["halves"], F.lit("l"), F.lit(""))).cast("double").alias("high"),
+            F.regexp_count(x["halves"], F.lit("h+|l+")).cast("double").alias("runs"),
+            (add(x["v"]) / x["n"]).alias("mean"),
+            add(F.transform(x["v"], lambda y: y * y)).alias("squares"),
+            add(F.zip_with(F.slice(x["v"], F.lit(2), F.size(x["v"]) - 1), F.slice(x["v"], F.lit(1), F.size(x["v"]) - 1), lambda a, b: a * b)).alias("lagged"),
+            (F.get(x["v"], 0) + F.element_at(x["v"], -1)).alias("ends"),
         ),
     )
-    runs_sd = lambda x: F.sqrt(F.greatest(x["mu"] * (x["mu"] - 1) / (x["n"] - 1), F.lit(1e-9)))
-    z_runs = lambda x: F.when((x["high"] == 0) | (x["high"] == x["n"]), F.lit(9.0)).otherwise((x["turns"] - x["mu"]) / runs_sd(x))
-    z_serial = lambda x: F.when(x["spread"] == 0, F.lit(9.0)).otherwise((x["lagged"] / x["spread"] + 1 / x["n"]) * F.sqrt(x["n"]))
+    spread = lambda x: x["squares"] - x["n"] * x["mean"] * x["mean"]
+    lagged = lambda x: x["lagged"] - x["mean"] * (2 * x["n"] * x["mean"] - x["ends"]) + (x["n"] - 1) * x["mean"] * x["mean"]
+    turns = lambda x: 2 * x["high"] * (x["n"] - x["high"]) / x["n"]
     fourth = F.transform(
         third,
         lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), x["chi2"].alias("chi2"), z_runs(x).alias("z_runs"), z_serial(x).alias("z_serial"),
-            ((x["squares"] - x["n"] - x["n"] * (x["n"] - 1) * x["s2"])
-             / F.sqrt(4 * x["n"] * (x["n"] - 1) * (x["n"] - 2) * (x["s3"] - x["s2"] * x["s2"]) + 2 * x["n"] * (x["n"] - 1) * (x["s2"] - x["s2"] * x["s2"]))).alias("z"),
+            x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["n"].alias("n"), x["chi2"].alias("chi2"),
+            ((x["chi2"] - x["k"] + 1) / F.sqrt(2 * (x["k"] - 1) * (x["n"] - 1) / x["n"])).alias("z_chi2"),
+            F.when(turns(x) <= 1, 99.0).otherwise((x["runs"] - 1 - turns(x)) / F.sqrt(turns(x) * (turns(x) - 1) / (x["n"] - 1))).alias("z_runs"),
+            F.when(spread(x) <= 1e-9, 99.0).otherwise((lagged(x) / spread(x) + 1 / x["n"]) * F.sqrt(x["n"])).alias("z_serial"),
         ),
     )
-    fits = lambda x: (F.abs(x["z_runs"]) <= LIMIT) & (F.abs(x["z_serial"]) <= LIMIT)
+    upper = lambda z: F.when(z >= 0, _tail(z)).otherwise(1 - _tail(z))
+    least = lambda x: F.least(upper(x["z_chi2"]), 2 * _tail(x["z_runs"]), 2 * _tail(x["z_serial"]))
     return F.transform(
-        F.filter(fourth, lambda x: x["n"] >= LENGTHS[0] - 2),
-        lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("n"), x["chi2"].alias("chi2"), x["z_runs"].alias("z_runs"), x["z_serial"].alias("z_serial"), F.when(fits(x), _tail(x["z"])).otherwise(F.lit(1.0)).alias("p")),
+        fourth,
+        lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "kind", "n", "chi2", "z_runs", "z_serial")], (1 - F.pow(1 - least(x), F.lit(3.0))).alias("p")),
     )
 
 
-def _length_class(n: Column) -> Column:
-    return sum((F.when(n >= at, 1).otherwise(0) for at in LENGTHS[1:]), F.lit(0))
+def _class(x: Column) -> Column:
+    """The number of encoding and length."""
+    return x["kind"] * len(LENGTHS) + sum((F.when(x["n"] >= at, 1).otherwise(0) for at in LENGTHS[1:]), F.lit(0))
 
 
 def _bin(p: Column) -> Column:
-    return F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) / STEP)).cast("int")
+    return F.least(F.lit(BINS - 1), F.floor(p * BINS)).cast("int")
 
 
 def thresholds(tests: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """The smallest bin of each class of lengths whose p-values count as discoveries.
+    """The least bin of each class from which on tokens are reported; none for a class without tokens above a half.
 
-    tests: class, bin.  A bin passes if its largest p, times all tests of the
-    class, over the tests with p in this bin or smaller, is at most the rate.
+    tests: class, bin.  Random tokens fill bins evenly, so twice those above a
+    half are random; what else stands above a bound should be within the rate.
     """
-    smaller = Window.partitionBy("class").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.partitionBy("class").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = tests.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))  # classes times bins rows at most
     passed = (
-        counted.withColumn("so_far", F.sum("n").over(smaller))
-        .withColumn("all", F.sum("n").over(Window.partitionBy("class")))
-        .filter(F.pow(F.lit(10.0), -F.col("bin") * STEP) * F.col("all") <= rate * F.col("so_far"))
+        counted.withColumn("so_far", F.sum("n").over(above))
+        .withColumn("random", 2 * F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).over(Window.partitionBy("class")))
+        .filter((F.col("random") > 0) & (F.col("so_far") - F.col("random") * (1 - F.col("bin") / BINS) <= rate * F.col("so_far")))
     )
     return {r["class"]: r["bin"] for r in passed.groupBy("class").agg(F.min("bin").alias("bin")).collect()}  # a row a class
 
@@ -163,29 +189,41 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """One row per row of docs: doc_id, base array and random array of spans (start, end, and kind for base).
 
     Places are code points of the whole text, ends exclusive; a null text is an
-    empty one and has none.  Random spans lie outside base spans.  Repeated rows
-    are searched alike, and each of their tokens counts as a test.  An empty
-    table gives an empty one.  Other columns of docs are not looked at.
+    empty one and has none.  Random spans are found in what is left when base
+    spans are blanked out, kind by kind.  Repeated rows are searched alike, and
+    each of their tokens counts as a test.  An empty table gives an empty one.
+    Other columns of docs are not looked at.
     """
-    text = F.col("__text")
-    kind = lambda spans, k: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+    found = tested(docs)
+    one = F.col("t")
+    passed = thresholds(found.select(F.explode("tests").alias("t")).select(_class(one).alias("class"), _bin(one["p"]).alias("bin")), rate)
+    chosen = F.filter("tests", lambda x: _bin(x["p"]) >= _limit(_class(x), passed))
+    return found.select("doc_id", "base", chosen.alias("random"))
+
+
+def tested(docs: DataFrame) -> DataFrame:
+    """doc_id, base and tests (battery() of all tokens) of every row, as a table."""
+    text, left = F.col("__text"), F.col("__left")
+    kind = lambda name, k: F.transform(_spans(F.col(name)), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["found"].alias("found")))
+    long_enough = lambda x: F.length(x["part"]) >= 6
+    any_ = lambda x: F.lit(True)
     found = (
         docs.select("doc_id", text_of().alias("__text"))
-        .withColumns({"assign": F.filter(_spans(text, ASSIGN, 2), lambda x: F.length(x["found"]) >= 6), "access": _spans(text, ACCESS), "hex": _spans(text, HEX), "token": _spans(text, TOKEN)})
-        .drop("__text")
-        .withColumn("base", F.sort_array(F.concat(kind(F.col("assign"), 0), kind(F.col("access"), 1), kind(F.col("hex"), 2))))
-        .withColumn("token", F.filter("token", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
+        .withColumns({"assign": _matches(text, ASSIGN, 2), "access": _matches(text, ACCESS), "hex": _matches(text, HEX)})
+        .withColumn("base", F.sort_array(F.concat(F.filter(kind("assign", 0), lambda x: F.length(x["found"]) >= 6), kind("access", 1), kind("hex", 2))))
+        .withColumn("__left", _blanked(text, F.col("assign"), long_enough))
+        .drop("__text", "assign")
+        .withColumn("__left", F.when(F.col("access").isNull(), left).otherwise(_blanked(left, _matches(left, ACCESS), any_)))
+        .withColumn("__left", F.when(F.col("hex").isNull(), left).otherwise(_blanked(left, _matches(left, HEX), any_)))
+        .select("doc_id", F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))).alias("base"), _matches(left, TOKEN).alias("token"))
+        .withColumn("token", _spans(F.col("token")))
         .select("doc_id", "base", battery(F.col("token")).alias("tests"))
     )
-    found = shared_table(found, "secret-spans")
-    one = F.col("t")
-    passed = thresholds(found.select(F.explode("tests").alias("t")).select(_length_class(one["n"]).alias("class"), _bin(one["p"]).alias("bin")), rate)
-    chosen = F.filter("tests", lambda x: _bin(x["p"]) >= _limit(_length_class(x["n"]), passed))
-    return found.select("doc_id", "base", chosen.alias("random"))
+    return shared_table(found, "secret-spans")
 
 
 def _limit(cls: Column, passed: dict[int, int]) -> Column:
-    found = F.lit(BINS + 1)
+    found = F.lit(BINS)
     for c, b in passed.items():
         found = F.when(cls == c, b).otherwise(found)
     return found

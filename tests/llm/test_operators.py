@@ -132,15 +132,97 @@ def test_secrets(spark, docs, rows):
         assert [(b["start"], b["kind"], b["end"]) for b in r["base"]] == base_spans(texts[r["doc_id"]])
 
 
-def test_battery_tells_random_tokens_from_words(spark):
+def battery_by_hand(token):
+    """kind, n, chi2, z_runs, z_serial, p of a token; None for too few symbols."""
+    x = token.lower() if re.fullmatch("[0-9A-F]+", token) else token
+    x = x.replace("-", "+").replace("_", "/").replace("=", "")
+    n = len(x)
+    if n < 16:
+        return None
+    kind = 0 if re.fullmatch("[0-9a-f]+", x) else 1 if re.fullmatch("[A-Z2-7]+", x) else 2
+    alphabet = list(secrets.ENCODINGS.values())[kind][0]
+    k, v = len(alphabet), np.array([alphabet.index(c) + 1 for c in x], float)
+    chi2 = sum((v == i + 1).sum() ** 2 for i in range(k)) * k / n - n
+    high = v > k / 2
+    turns, mean = 2 * high.sum() * (n - high.sum()) / n, v.mean()
+    z_runs = 99.0 if turns <= 1 else ((high[1:] != high[:-1]).sum() - turns) / math.sqrt(turns * (turns - 1) / (n - 1))
+    spread = ((v - mean) ** 2).sum()
+    z_serial = 99.0 if spread < 1e-9 else (((v[1:] - mean) * (v[:-1] - mean)).sum() / spread + 1 / n) * math.sqrt(n)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    least = min(tail((chi2 - k + 1) / math.sqrt(2 * (k - 1) * (n - 1) / n)), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial)))
+    return kind, n, chi2, z_runs, z_serial, 1 - (1 - least) ** 3
+
+
+def blanked(text):
+    for pattern, enough in ((ASSIGN, lambda m: len(m[2]) >= 6), (re.compile("AKIA[A-Z0-9]{16,}"), bool), (re.compile("[0-9a-f]{24,}"), bool)):
+        text = pattern.sub(lambda m: " " * len(m[0]) if enough(m) else m[0], text)  # noqa: B023
+    return text
+
+
+def random_spans_by_hand(texts, rate=secrets.RATE):
+    """All of it again: tokens, battery, and the bound of each class."""
+    tests = [(i, m.start(), m.end(), found) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", blanked(t or "")) if (found := battery_by_hand(m[0]))]
+    cell = lambda f: (f[0], sum(f[1] >= x for x in secrets.LENGTHS[1:]))
+    bins = lambda f: min(secrets.BINS - 1, int(f[5] * secrets.BINS))
+    bound = {}
+    for c in {cell(f) for *_, f in tests}:
+        own = [bins(f) for *_, f in tests if cell(f) == c]
+        random_ones = 2 * sum(b >= secrets.BINS // 2 for b in own)
+        for b in sorted(set(own), reverse=True):
+            above = sum(x >= b for x in own)
+            if random_ones and above - random_ones * (1 - b / secrets.BINS) <= rate * above:
+                bound[c] = b
+    return tests, {(i, a, z) for i, a, z, f in tests if bins(f) >= bound.get(cell(f), secrets.BINS)}
+
+
+def token_texts(rng):
+    alphabets = ["0123456789abcdef"[:16].upper(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz"]
+    keys = ["key " + "".join(rng.choice(a) for _ in range(n)) + " end" for a in alphabets[:3] for n in (20, 24, 32, 40, 64, 100) for _ in range(40)]
+    plain = [f"see user_name_id_{i}_of_table_orders_{i * 3} there" for i in range(60)] + ["the-quick-brown-fox-jumps-2024-over", "é ThisIsACamelCaseIdentifierOfSomeKind", "internationalization/of/all/the/documents"] * 20
+    return keys, plain + ["1" * 50, "abababababababababab1212121212", "ab12" * 9, "x" * 25 + "==", "=" * 30, "AKIA" + "Q7" * 9 + " token=" + "Zq3" * 9]
+
+
+def test_random_spans_equal_brute_force(spark):
     rng = random.Random(3)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    texts = ["key " + "".join(rng.choice(letters) for _ in range(44)) + " end" for _ in range(60)]
-    texts += [f"see user_name_id_{i}_of_table_orders_{i * 3} there" for i in range(60)] + ["the-quick-brown-fox-jumps-2024-over"] * 20 + ["1" * 50, "abababababababababab1212121212", "ab12" * 9]
-    found = {r["doc_id"]: r for r in take(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
-    hits = [i for i, r in found.items() if r["random"]]
-    assert len([i for i in hits if i < 60]) >= 54 and not [i for i in hits if i >= 60]
-    assert all(texts[i][r["random"][0]["start"] : r["random"][0]["end"]] == texts[i][4:-4] for i, r in found.items() if i in hits)
+    keys, plain = token_texts(rng)
+    texts = keys + plain + [None, "", " ".join(rng.sample(keys + plain, 300)) + " \U0001d11e " + " ".join(rng.sample(keys, 100))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tests, want = random_spans_by_hand(texts)
+    got = {(r["doc_id"], x["start"], x["end"]): tuple(x)[2:] for r in take(secrets.tested(docs)) for x in r["tests"]}
+    assert set(got) == {t[:3] for t in tests}
+    for i, a, z, f in tests:
+        assert got[i, a, z] == pytest.approx(f, rel=1e-6, abs=1e-5)
+    assert {(r["doc_id"], x["start"], x["end"]) for r in take(secrets.find_secrets(docs)) for x in r["random"]} == want
+
+
+def test_random_tokens_are_told_from_words(spark):
+    keys, plain = token_texts(random.Random(5))
+    found = take(secrets.find_secrets(spark.createDataFrame(list(enumerate(keys + plain)), "doc_id long, text string")))
+    hits = {r["doc_id"] for r in found if r["random"]}
+    per_length = [len(hits & set(range(i, i + 40))) for i in range(0, len(keys), 40)]
+    assert min(per_length) >= 20 and sum(per_length) >= 0.85 * len(keys)
+    assert len([i for i in hits if i >= len(keys)]) <= 0.05 * len(hits)
+
+
+def test_one_long_word_and_many_matches(spark):
+    long_ones = ["z" * 500_000, "xY9" * 150_000, "token=abcdef " * 20_000]
+    found = {r["doc_id"]: r for r in take(secrets.find_secrets(spark.createDataFrame(list(enumerate(long_ones)), "doc_id long, text string")))}
+    assert not found[0]["base"] and not found[0]["random"] and not found[1]["random"]
+    assert [(b["start"], b["end"]) for b in found[2]["base"]] == [(13 * i, 13 * i + 12) for i in range(20_000)]
+
+
+def test_the_query_writes_spans(spark, tmp_path):
+    rng = random.Random(6)
+    keys, plain = token_texts(rng)
+    texts = keys + plain + ["secret: abcdefgh, 0123456789abcdef01234567", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    _, random_ones = random_spans_by_hand(texts)
+    for r in take(secrets.op3_secret_scans(spark, str(tmp_path))):
+        base = base_spans(texts[r["doc_id"]])
+        write = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(spans))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
+        assert r["base_sha256"] == hashlib.sha256(write(base).encode()).hexdigest()
+        assert r["spans"] == write(base + [(a, 3, z) for i, a, z in random_ones if i == r["doc_id"]])
 
 
 # 4
