@@ -3,16 +3,21 @@
 For each language a suffix automaton of labelled text recognises all its
 substrings.  A text is parsed by each automaton into phrases, each the longest
 match from where the one before it ended; text like the training text has long
-matches and few phrases.  The language that needs the fewest phrases, times
-the bits of a phrase over the text's length, wins.
-
-Parsing is one walk through a table: a character that the automaton cannot
-follow ends the phrase and starts the next.  Texts are cut into blocks, at
-which phrases also end, and all blocks of a batch walk together.
+matches and few phrases.  A phrase is named by its place in the training text,
+so phrases times the bits of such a place is what the text costs in a language,
+with a byte's eight more where the training text lacks it, and models of different
+sizes compare.  The cheapest language wins.
+
+Texts are lower-cased and parsed as UTF-8, with one space for each run of what
+separates words, so every script counts in full.  Parsing is one walk through a
+table: a byte that the automaton cannot follow ends the phrase and starts the
+next.  All texts of a batch walk together, each from its start to its end; the
+few longest are finished one by one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,18 +28,20 @@ from pyspark.sql import functions as F
 
 from segmill.llm.common import documents, text_of
 
-#: Training text: so many characters for all languages together at most, and so many a language.
-TRAIN_CHARS = 240_000
-TRAIN_CHARS_LANGUAGE = 40_000
-#: Rows of a language that training text is taken from, so many characters of each.
-TRAIN_ROWS = 200
-TRAIN_ROW_CHARS = 400
-#: Characters that have a place of their own; the others share one.
-ALPHABET = 62
-BLOCK = 1024
-#: Blocks that walk together.
-LANES = 16_384
-SPACE_CODE, OTHER_CODE = 1, 2
+#: The sample of labelled rows that is learned from: so many rows of a language at most, and as many of
+#: these, whole, as fit so many bytes, a language and together.
+TRAIN_ROWS, TRAIN_BYTES_LANGUAGE, TRAIN_BYTES = 200, 40_000, 240_000
+#: The sample is found in so many parts of a language first.
+PARTS = 64
+#: Texts that walk together, and the number below which the rest is finished one by one.
+LANES, FEW = 8192, 64
+#: What separates words: white space, digits, marks of ASCII and Latin-1, general, CJK and full-width punctuation.
+APART = re.compile("[\\s\\d!-/:-@\\[-`{-~\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]+")
+
+
+def plain(text: str) -> bytes:
+    """What is parsed of a text."""
+    return APART.sub(" ", text.lower()).encode("utf-8")
 
 
 class SuffixAutomaton:
@@ -80,95 +87,117 @@ class SuffixAutomaton:
         return np.where(out > 0, out * codes, ~anew[None, :]).astype(np.int32).ravel()  # the last row is empty: all starts anew
 
 
+class Parser:
+    """Counts the phrases of texts in one language, and of these the bytes that its training text lacks, which share a code."""
+
+    def __init__(self, text: bytes):
+        own = np.unique(np.frombuffer(text, np.uint8))
+        self.code = np.zeros(256, np.uint8)
+        self.code[own] = np.arange(len(own)) + 1
+        self.codes = len(own) + 1
+        self.table = SuffixAutomaton(self.code[np.frombuffer(text, np.uint8)]).table(self.codes)
+        self.start = len(self.table) - self.codes
+        self.bits = np.log2(len(text) + 1)
+
+    def strange(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        so_far = np.concatenate([[0], np.cumsum(self.code[flat] == 0)])
+        return so_far[starts + sizes] - so_far[starts]
+
+    def phrases(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of texts that lie in flat, longest first."""
+        codes, table = self.code[flat], self.table
+        state, begun = np.full(len(starts), self.start, np.int32), np.zeros(len(starts), np.int64)
+        together = int(sizes[FEW - 1]) if len(sizes) >= FEW else 0
+        live = np.searchsorted(-sizes, -np.arange(together), side="left")  # texts longer than each step
+        for step in range(together):
+            n = live[step]
+            to = table[state[:n] + codes[starts[:n] + step]]
+            again = to < 0
+            begun[:n] += again
+            state[:n] = to ^ -again.astype(np.int32)
+        walk = memoryview(table)
+        for i in range(int(np.searchsorted(-sizes, -together, side="left"))):
+            at, more = int(state[i]), 0
+            for code in codes[starts[i] + together : starts[i] + sizes[i]].tobytes():
+                at = walk[at + code]
+                if at < 0:
+                    at, more = ~at, more + 1
+            begun[i] += more
+        return begun
+
+
 class Model:
-    """languages, and a walk table for each.
+    """languages, and a parser for each.
 
     It travels as its training text, which is some thousandths of its tables;
     a Python worker makes those once.
     """
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, bytes]):
         self.texts = texts
         self.languages = sorted(texts)
-        characters, counts = np.unique(np.frombuffer("".join(texts.values()).lower().encode("utf-32-le"), np.uint32), return_counts=True)
-        letters = [(-n, c) for c, n in zip(characters.tolist(), counts.tolist(), strict=True) if chr(c).isalpha()]
-        self.own = [c for _, c in sorted(letters)[:ALPHABET]]
-        self.codes = len(self.own) + 3
-        self.tables = {name: SuffixAutomaton(self.encode(text)).table(self.codes) for name, text in texts.items()}
+        self.parsers = [Parser(texts[name]) for name in self.languages]
 
     def __reduce__(self):
         return _made, (tuple(sorted(self.texts.items())),)
 
-    def lookup(self) -> np.ndarray:
-        """uint8 by code point: letters known, other letters, and all else as one space."""
-        found = np.full(0x110000, SPACE_CODE, np.uint8)
-        found[[c for c in range(0x80, 0x30000) if chr(c).isalpha()]] = OTHER_CODE
-        found[ord("a") : ord("z") + 1] = OTHER_CODE
-        found[self.own] = np.arange(len(self.own)) + 3
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        """Codes of a text; runs of what is no letter are one space."""
-        if not hasattr(self, "_lookup"):
-            self._lookup = self.lookup()
-        codes = self._lookup[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
-        space = codes == SPACE_CODE
-        return codes[~(space & np.concatenate([[True], space[:-1]]))] if len(codes) else codes
-
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """int64[texts, languages] phrases of each text in each language, and the number of its codes."""
-        encoded = [self.encode(t) for t in texts]
-        lengths = np.array([len(e) for e in encoded])
-        blocks = -(-lengths // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        if not len(owner):
-            return counts, lengths
-        flat = np.concatenate(encoded)
-        starts = np.repeat(np.cumsum(lengths) - lengths, blocks) + (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
-        sizes = np.minimum(BLOCK, np.repeat(np.cumsum(lengths), blocks) - starts)
-        order = np.argsort(-sizes, kind="stable")
-        for at in range(0, len(order), LANES):
-            lanes = order[at : at + LANES]
-            size = sizes[lanes]
-            live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # lanes longer than each step
-            for k, name in enumerate(self.languages):
-                table = self.tables[name]
-                state, begun = np.full(len(lanes), len(table) - self.codes, np.int32), np.zeros(len(lanes), np.int32)
-                for step in range(size[0]):
-                    n = live[step]
-                    to = table[state[:n] + flat[starts[lanes[:n]] + step]]
-                    again = to < 0
-                    begun[:n] += again
-                    state[:n] = to ^ -again.astype(np.int32)
-                np.add.at(counts[:, k], owner[lanes], begun)
-        return counts, lengths
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """int64[texts, languages]: phrases of each text in each language, and of these the bytes that are strange to it."""
+        found, strange = np.zeros((2, len(texts), len(self.parsers)), np.int64)
+        for at in range(0, len(texts), LANES):
+            raw = [plain(t) for t in texts[at : at + LANES]]
+            sizes = np.array([len(r) for r in raw])
+            order = np.argsort(-sizes, kind="stable")
+            flat, starts = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(sizes) - sizes)[order]
+            for k, parser in enumerate(self.parsers):
+                found[at + order, k] = parser.phrases(flat, starts, sizes[order])
+                strange[at + order, k] = parser.strange(flat, starts, sizes[order])
+        return found, strange
+
+    def costs(self, texts: list[str]) -> np.ndarray:
+        """float[texts, languages]: bits of each text in each language."""
+        phrases, strange = self.phrases(texts)
+        return phrases * np.array([p.bits for p in self.parsers]) + 8 * strange
 
 
 @lru_cache(maxsize=2)
-def _made(texts: tuple[tuple[str, str], ...]) -> Model:
+def _made(texts: tuple[tuple[str, bytes], ...]) -> Model:
     return Model(dict(texts))
 
 
-def train(docs: DataFrame, total: int = TRAIN_CHARS, each: int = TRAIN_CHARS_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, each: int = TRAIN_BYTES_LANGUAGE, total: int = TRAIN_BYTES) -> Model | None:
     """A model of the labelled rows of docs (text, lang); None if there are none.
 
-    The sample is bounded: of each language the TRAIN_ROWS rows first in a hash
-    order of their texts, of these the first TRAIN_ROW_CHARS characters of each,
-    and as much of that as is the smallest language's share, so that no
-    automaton has more to match than another.
+    The sample is bounded: of each language the `rows` different texts first in
+    a hash order, and of these, in that order, each one that still fits into
+    `each` bytes, or into its language's part of `total` where there are many
+    languages; the shortest if none does.  Texts are taken whole.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(7)), "text")
-    labelled = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 20")
-    sample = labelled.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= TRAIN_ROWS).select("lang", "nth", F.substring("text", 1, TRAIN_ROW_CHARS).alias("text"))
+    text = F.xxhash64("text", F.lit(7))
+    labelled = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
+    keys = labelled.select("lang", text.alias("key")).distinct()  # texts are not moved to find the sample
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key"))
+    some = keys.withColumn("part", F.pmod("key", F.lit(PARTS))).withColumn("nth", first("lang", "part")).filter(F.col("nth") <= rows)
+    some = some.withColumn("nth", first("lang")).filter(F.col("nth") <= rows).select("lang", "nth", "key")
+    sample = labelled.withColumn("key", text).join(some, ["lang", "key"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+    sizes = sample.select("lang", "nth", F.octet_length("text").alias("size")).collect()  # bounded, see above
+    by_language: dict[str, list] = {}
+    for row in sorted(sizes, key=lambda r: (r.lang, r.nth)):
+        by_language.setdefault(row.lang, []).append(row)
+    if not by_language:
+        return None
+    each, chosen = min(each, total // len(by_language)), []
+    for rows_ in by_language.values():
+        left, fit = each, []
+        for row in rows_:
+            if row["size"] <= left:
+                fit, left = [*fit, row], left - row["size"]
+        chosen += [(r.lang, r.nth) for r in fit or [min(rows_, key=lambda r: r["size"])]]
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, nth int")
     texts: dict[str, list[str]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r.lang, r.nth)):  # bounded, see above
+    for row in sorted(sample.join(wanted, ["lang", "nth"]).collect(), key=lambda r: (r.lang, r.nth)):
         texts.setdefault(row.lang, []).append(row.text)
-    if not texts:
-        return None
-    joined = {name: "\n".join(parts) for name, parts in texts.items()}
-    share = min(each, total // len(joined), max(2000, min(map(len, joined.values()))))
-    return Model({name: text[:share] for name, text in joined.items()})
+    return Model({name: plain("\n".join(parts)) for name, parts in texts.items()})
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -176,28 +205,25 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     `und` with score 0 where the text is null or has no letter, and everywhere
     without a model.  Ties go to the language first in order.  The score is how
-    far the best language's phrases fall below the second's, times three, at
-    most 1; with one language it is 1.  Repeated rows are judged alike.  An
-    empty table gives an empty one.  Other columns of docs are not looked at.
+    far the best language's cost falls below the second's, times three, at most
+    1; with one language it is 1.  Repeated rows are judged alike.  An empty
+    table gives an empty one.  Other columns of docs are not looked at.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                texts = part.column("text").to_pylist()
-                names, scores = ["und"] * len(texts), [0.0] * len(texts)
-                if known is not None:
-                    counts, _ = known.phrases(texts)
-                    ranked = np.sort(counts, 1)
-                    best = counts.argmin(1)
-                    for i, text in enumerate(texts):
-                        if any(map(str.isalpha, text)):
-                            names[i] = known.languages[best[i]]
-                            scores[i] = min(1.0, 3 * (1 - ranked[i, 0] / max(1, ranked[i, 1]))) if counts.shape[1] > 1 else 1.0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            texts = batch.column("text").to_pylist()
+            names, scores = ["und"] * len(texts), [0.0] * len(texts)
+            if known is not None:
+                costs = known.costs(texts)
+                ranked, best = np.sort(costs, 1), costs.argmin(1)
+                for i, text in enumerate(texts):
+                    if any(map(str.isalpha, text)):
+                        names[i] = known.languages[best[i]]
+                        scores[i] = min(1.0, 3 * float(1 - ranked[i, 0] / max(1e-9, ranked[i, 1]))) if costs.shape[1] > 1 else 1.0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
 

@@ -309,15 +309,54 @@ def phrases_by_hand(trained, codes):
     return n
 
 
-def test_cross_parsing_counts_longest_matches():
-    texts = {"a": "the cat sat on the mat and the hat", "b": "der hund und die katze auf dem dach"}
+def test_cross_parsing_counts_longest_matches(monkeypatch):
+    texts = {"a": b"the cat sat on the mat and the hat", "b": "der hund und die kätze auf dem dach".encode()}
     model = language_id.Model(texts)
-    code = lambda t: bytes(model.encode(t).tolist())
     rng = random.Random(1)
-    tries = ["".join(rng.choice("thecadru nxyz") for _ in range(rng.randint(0, 60))) for _ in range(200)]
-    counts, _ = model.phrases(tries)
-    for t, c in zip(tries, counts.tolist()):
-        assert c == [phrases_by_hand(code(texts[k]), code(t)) for k in "ab"]
+    tries = ["".join(rng.choice("thecadru nxyzä7 ") for _ in range(rng.choice([0, 5, 60, 3000]))) for _ in range(200)]
+    for few in (2, language_id.FEW, 1000):  # walks together, both ways, one by one
+        monkeypatch.setattr(language_id, "FEW", few)
+        counts, strange = model.phrases(tries)
+        for t, c, odd in zip(tries, counts.tolist(), strange.tolist(), strict=True):
+            assert c == [phrases_by_hand(texts[k], language_id.plain(t)) for k in "ab"]
+            assert odd == [sum(b not in texts[k] for b in language_id.plain(t)) for k in "ab"]
+
+
+def test_scripts_and_rare_labels(spark):
+    """Every script counts, and a label with next to no text takes nothing from the others."""
+    rng = random.Random(2)
+    letters = {"el": "αβγδεζηθικλμνξοπ", "ru": "абвгдежзиклмнопр", "zh": "".join(map(chr, range(0x4E00, 0x4F40))), "xx": "".join(map(chr, range(0x30000, 0x30040))), "en": "etaoinshrdlu", "fi": "aitneslokuäm"}
+    vocabulary = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(150)] for k, a in letters.items()}
+    make = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    rows = [(i, make(k, 80), k) for i, k in enumerate(sorted(letters) * 12)] + [(900, "eta", "rare"), (901, "x", "xx"), (902, "", "rare")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted([*letters, "rare"])
+    asked = [(i, make(k, n), k) for i, (k, n) in enumerate((k, n) for k in letters for n in (3, 10, 40) for _ in range(10))]
+    found = {r["doc_id"]: r for r in take(language_id.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model))}
+    right = [found[i]["lang_pred"] == k for i, _, k in asked]
+    assert np.mean(right) > 0.97 and all(ok for ok, (_, t, _) in zip(right, asked, strict=True) if len(t) > 200)
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = language_id.Model({"b": b"same text", "a": b"same text"})
+    (row,) = take(language_id.identify(spark.createDataFrame([(1, "same same")], "doc_id long, text string"), model))
+    assert (row["lang_pred"], row["score"]) == ("a", 0.0)
+
+
+def test_language_query(spark, tmp_path):
+    """Held-out accuracy of the query itself; labels of the held-out fold are never learned."""
+    rng = random.Random(7)
+    vocabulary = {k: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(200)] for k in ("aa", "bb", "cc")}
+    rows = [(i, " ".join(rng.choice(vocabulary[k]) for _ in range(rng.randint(5, 60))), k) for i, k in enumerate(["aa", "bb", "cc"] * 60)] + [(999, None, "aa"), (1000, "12 34", None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = [(i, t, "wrong" if held(i) and i % 2 else k) for i, t, k in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in take(language_id.op5_language_id(spark, str(tmp_path)))}
+    assert {i: r["held_out"] for i, r in found.items()} == {i: held(i) for i, *_ in rows}
+    assert "wrong" not in {r["lang_pred"] for r in found.values()}
+    assert found[999]["lang_pred"] == found[1000]["lang_pred"] == "und" and found[999]["score"] == 0
+    truth = {i: ["aa", "bb", "cc"][i % 3] for i in range(180)}
+    assert np.mean([found[i]["lang_pred"] == truth[i] for i in truth if held(i)]) > 0.98
 
 
 def test_language_id(spark, docs, rows, empty):
