@@ -3,9 +3,10 @@
 Each document's tokens give a hashed vector: every token id adds a fixed random
 sign to each of a few dimensions.  The vector, scaled by its length, is cut
 into a grid of equal chances, and the grid cell's place on the Hilbert curve is
-the document's key.  Tokens are written once to the shared folder, sorted by
-range along the curve, and each task lays its documents end to end and cuts
-them at the sequence length, so neighbours on the curve share sequences.
+the document's key.  Tokens are written once to the shared folder.  The curve is
+cut into ranges of equal bytes, whose ends follow from the exact bytes of its
+cells, and each task lays the documents of its range end to end and cuts them at
+the sequence length, so neighbours on the curve share sequences.
 
 What is left at the end of a task's range is cut at powers of two, which need
 no padding.
@@ -39,6 +40,8 @@ KEPT_WORDS = 150_000
 TAILS = b".,!*#&%$|;:?"
 #: A partition of the packed table gets about so many token bytes.
 PARTITION_BYTES = 24 << 20
+#: The curve has 2 to the power of this cells, whose bytes are counted.
+CELL_BITS = 16
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -236,6 +239,27 @@ PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 PIECE_SCHEMA = ", ".join(f"{c} long" for c in PIECE)
 
 
+def ranged(tokens: DataFrame, partition_bytes: int) -> DataFrame:
+    """tokens, dealt out by ranges of the curve that hold equal bytes, each sorted along the curve.
+
+    A cell that lies across ends of ranges, or holds many ranges as copies do,
+    is shared out among them by a hash.  A range is larger than the others by one
+    document at most, as far as hashes are even.
+    """
+    cell = F.shiftright("curve", DIMENSIONS * BITS - CELL_BITS)
+    counted = tokens.groupBy(cell.alias("__cell")).agg(F.sum("n").alias("n")).orderBy("__cell").collect()  # a row a cell
+    ends = np.cumsum([2 * r["n"] for r in counted], dtype=np.int64).tolist()
+    total = ends[-1] if ends else 0
+    partitions = max(tokens.sparkSession.sparkContext.defaultParallelism, -(-total // partition_bytes))
+    cells = [(r["__cell"], float(end - 2 * r["n"]), float(2 * r["n"])) for r, end in zip(counted, ends, strict=True)]
+    cells = tokens.sparkSession.createDataFrame(cells, "__cell long, __from double, __size double")
+    spread = F.xxhash64("doc_id", "n")
+    inside = F.shiftrightunsigned(spread, 40) / F.lit(float(1 << 24))
+    place = F.least(F.lit(partitions - 1), F.floor((F.col("__from") + inside * F.col("__size")) * F.lit(partitions / max(1, total)))).cast("int")
+    placed = tokens.withColumn("__cell", cell).join(F.broadcast(cells), "__cell").withColumn("__range", place)
+    return placed.repartitionById(partitions, F.col("__range")).sortWithinPartitions("curve", spread).drop("__cell", "__from", "__size", "__range")
+
+
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -248,10 +272,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     empty one.  Other columns of docs are not looked at.
     """
     tokens = shared_table(tokenized(docs, path or tokenizer_path(), end_id), "pack-tokens")
-    n_bytes = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 2
-    partitions = max(tokens.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // partition_bytes))
-    spread = F.xxhash64("doc_id")
-    laid = tokens.repartitionByRange(partitions, "curve", spread).sortWithinPartitions("curve", spread).select("doc_id", "ids")
+    laid = ranged(tokens, partition_bytes).select("doc_id", "ids")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in _pack(batches, length):

@@ -618,6 +618,24 @@ def test_packing(docs, rows):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_ranges_hold_equal_bytes(spark):
+    """However the rows lie on the curve: a third on one point, and some very long ones."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(i, bytes(2 * n), n, 7 if i % 3 == 0 else rng.randrange(1 << 40)) for i in range(6000) for n in [2000 if i % 500 == 0 else rng.randint(1, 100)]]
+    laid = packing.ranged(spark.createDataFrame(rows, "doc_id long, ids binary, n long, curve long"), 20_000)
+    found = laid.withColumn("p", F.spark_partition_id()).collect()
+    held, spans = Counter(), defaultdict(list)
+    for r in found:
+        held[r["p"]] += 2 * r["n"]
+        spans[r["p"]].append(r["curve"])
+    assert sorted(r["doc_id"] for r in found) == list(range(6000))
+    assert max(held.values()) < 20_000 + 12_000 and len(held) > 25
+    assert all(s == sorted(s) for s in spans.values())
+    assert all(max(spans[p]) <= min(spans[p + 1]) + (1 << 25) for p in sorted(held)[:-1] if p + 1 in held)  # a cell may be shared
+
+
 # 10
 
 
