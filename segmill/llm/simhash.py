@@ -3,10 +3,13 @@
 A fingerprint is cut into two segments of 32 bits, so two fingerprints that
 differ in at most three bits have a segment where they differ in at most one.
 Every segment is indexed once per bit with that bit deleted: segments that
-differ in at most one bit share such a variant.  An equality join on variants
-finds the candidates, its condition compares whole fingerprints, and each pair
-is taken from one variant only.  Rows with one fingerprint are a class and
-enter once, so a hot group of copies is one row.
+differ in at most one bit share such a variant.  Variants are counted first:
+most stand alone and are dropped.  An equality join on the others finds the
+candidates, its condition compares whole fingerprints, and each pair is taken
+from one variant only.  Under a crowded variant the other segment is cut into one
+block more than bits may differ, of which one must agree, so that pairs are not
+formed among all.  Rows with one fingerprint are a class and enter once, so a hot
+group of copies is one row.
 
 Classes and links are tables; their components come from rounds of large-star
 and small-star, each round written to the shared folder.
@@ -30,6 +33,8 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 SEGMENT = 32
+#: A variant with more fingerprints than this is crowded.
+CROWD = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -76,21 +81,30 @@ def variants(print_: Column, first: int = 0) -> Column:
     return F.array(*found)
 
 
-def print_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def print_links(classes: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct longs classes.print that differ in at most max_bits (3 at most) bits.
 
     A pair is made where the deleted bit is the one that differs, or at bit 0
-    if the segment is equal; of two such segments it can come twice.
+    if the segment is equal; of two such segments, and of blocks under crowded
+    variants, it can come more than once.
     """
     if max_bits > 3:
         raise ValueError("two segments with one deletion find up to three differing bits")
-    index = classes.select("print", F.explode(variants(F.col("print"))).alias("v")).select("print", F.col("v.at").alias("at"), F.col("v.key").alias("key"))
-    left, right = index.select("at", "key", F.col("print").alias("a")), index.select("at", "key", F.col("print").alias("b"))
+    index = classes.select("print", F.explode(variants(F.col("print"))).alias("v"))
+    index = index.select("print", F.col("v.at").alias("at"), F.col("v.key").alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("at", "key")))
+    index = shared_table(index.filter("n > 1"), "simhash-index")
+    blocks = max_bits + 1
+    other = F.expr(f"shiftrightunsigned(print, {SEGMENT} - at DIV {SEGMENT} * {SEGMENT}) & {(1 << SEGMENT) - 1}")
+    width = -(-SEGMENT // blocks)
+    cut = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftright(other, width * i).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for i in range(blocks)])
+    alone = F.array(F.struct(F.lit(blocks).alias("block"), F.lit(0).cast("long").alias("bits")))
+    keyed = index.withColumn("c", F.explode(F.when(F.col("n") > crowd, cut).otherwise(alone))).select("at", "key", "c.*", "print")
+    same = ["at", "key", "block", "bits"]
     bit = F.pmod(F.col("at"), F.lit(SEGMENT))
-    apart = F.col("a").bitwiseXOR(F.col("b"))
     inside = F.expr(f"shiftright(a ^ b, at DIV {SEGMENT} * {SEGMENT}) & {(1 << SEGMENT) - 1}")
-    one = (inside != 0) | (bit == 0)
-    return left.join(right, ["at", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= max_bits) & one).select("a", "b")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    met = keyed.withColumnRenamed("print", "a").join(keyed.withColumnRenamed("print", "b").hint("merge"), same)
+    return met.filter((F.col("a") < F.col("b")) & near & ((inside != 0) | (bit == 0))).select("a", "b")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

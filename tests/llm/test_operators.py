@@ -412,7 +412,8 @@ def test_simhash(docs, rows):
     assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in found) == want
 
 
-def test_print_links_are_all_pairs(spark):
+@pytest.mark.parametrize("options", [{}, {"crowd": 1}, {"crowd": 2, "max_bits": 1}, {"crowd": 1, "max_bits": 3}, {"max_bits": 3}])
+def test_print_links_are_all_pairs(spark, options):
     rng = random.Random(6)
     prints = {rng.getrandbits(64) for _ in range(60)}
     for p in list(prints):
@@ -422,8 +423,8 @@ def test_print_links_are_all_pairs(spark):
                 q ^= 1 << rng.randrange(64)
             prints.add(q)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    links = {(r["a"] % 2**64, r["b"] % 2**64) for r in take(simhash.print_links(spark.createDataFrame([(p,) for p in signed], "print long")))}
-    assert {tuple(sorted(x)) for x in links} == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2}
+    links = {(r["a"] % 2**64, r["b"] % 2**64) for r in take(simhash.print_links(spark.createDataFrame([(p,) for p in signed], "print long"), **options))}
+    assert {tuple(sorted(x)) for x in links} == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= options.get("max_bits", 2)}
 
 
 def test_components_of_a_chain(spark):
