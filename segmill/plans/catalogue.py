@@ -18,7 +18,7 @@ from segmill.operators import scripture as sc
 from segmill.operators import sequences as sq
 from segmill.operators import statistics as st
 from segmill.operators import word_alignment as wa
-from segmill.plans.views import LINES_SQL, TURNS_SQL, lines, table, turns
+from segmill.plans.views import LINES_SQL, TURNS, TURNS_SQL, lines, table, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,6 +41,10 @@ def words_sql(text: str) -> str:
     return f"list_filter(regexp_split_to_array({text}, '{SEP}+'), lambda x: x <> '')"
 
 
+def escaped_sql(token: str) -> str:
+    return f"CASE WHEN {token} = '|||' THEN '<3bars>' ELSE {token} END"
+
+
 def joined(column):
     return F.array_join(column, " ")
 
@@ -118,8 +122,8 @@ def _ranged(corpus, start: int, width: int):
     "align_ranges",
     f"""
 WITH {LINES_SQL},
-s AS (SELECT text_id, row_ord, line % 5 >= 1 AND line % 5 < 3 AS rng, line % 5 = 1 AS beg, CASE WHEN line % 5 = 2 THEN '' ELSE line_text END AS txt FROM lines WHERE line % 7 <> 6),
-t AS (SELECT text_id, row_ord, line % 5 >= 2 AND line % 5 < 5 AS rng, line % 5 = 2 AS beg, CASE WHEN line % 5 IN (3, 4) THEN '' ELSE line_text END AS txt FROM lines WHERE line % 11 <> 9),
+s AS (SELECT text_id, row_ord, line % 5 >= 1 AND line % 5 < 3 AS rng, line % 5 = 1 AS beg, CASE WHEN line % 5 = 2 THEN '' ELSE line_text END AS txt FROM lines WHERE lang <> 'de'),
+t AS (SELECT text_id, row_ord, line % 5 >= 2 AND line % 5 < 5 AS rng, line % 5 = 2 AS beg, CASE WHEN line % 5 IN (3, 4) THEN '' ELSE line_text END AS txt FROM lines WHERE line_text <> ''),
 j AS (
   SELECT coalesce(s.text_id, t.text_id) AS text_id, coalesce(s.row_ord, t.row_ord) AS ref, s.row_ord IS NOT NULL AS hs, t.row_ord IS NOT NULL AS ht,
          coalesce(s.rng, false) AS rs, coalesce(t.rng, false) AS rt, coalesce(s.beg, false) AS bs, coalesce(t.beg, false) AS bt, coalesce(s.txt, '') AS xs, coalesce(t.txt, '') AS xt
@@ -139,22 +143,22 @@ SELECT text_id, ref::VARCHAR, ref::VARCHAR, xs, xt, true, true FROM k WHERE kind
 )
 def align_ranges(spark, sf_dir):
     rows = lines(spark, sf_dir)
-    source = _ranged(rows.filter("line % 7 <> 6"), 1, 2)
-    return parallel_columns(source.align_rows(_ranged(rows.filter("line % 11 <> 9"), 2, 3)).df)
+    source = _ranged(rows.filter("lang <> 'de'"), 1, 2)
+    return parallel_columns(source.align_rows(_ranged(rows.filter_nonempty(), 2, 3)).df)
 
 
 @query(
     "align_three_way",
     f"""
 WITH {LINES_SQL},
-a AS (SELECT * FROM lines WHERE line % 2 = 0), b AS (SELECT * FROM lines WHERE line % 3 = 0), c AS (SELECT * FROM lines WHERE line % 5 <> 1)
+a AS (SELECT * FROM lines WHERE line_text <> ''), b AS (SELECT * FROM lines WHERE lang <> 'de'), c AS (SELECT * FROM lines)
 SELECT c.text_id, c.row_ord AS ref, CASE WHEN a.row_ord IS NOT NULL AND b.row_ord IS NOT NULL THEN a.line_text ELSE '' END AS a, CASE WHEN a.row_ord IS NOT NULL AND b.row_ord IS NOT NULL THEN b.line_text ELSE '' END AS b, c.line_text AS c
 FROM c LEFT JOIN a USING (text_id, row_ord) LEFT JOIN b USING (text_id, row_ord)
 """,
 )
 def align_three_way(spark, sf_dir):
     rows = lines(spark, sf_dir)
-    found = al.align_n([rows.filter("line % 2 = 0").df, rows.filter("line % 3 = 0").df, rows.filter("line % 5 <> 1").df], [False, False, True])
+    found = al.align_n([rows.filter_nonempty().df, rows.filter("lang <> 'de'").df, rows.df], [False, False, True])
     at = lambda i, name: joined(F.get("segments", F.lit(i))).alias(name)
     return found.select("text_id", "ref", at(0, "a"), at(1, "b"), at(2, "c"))
 
@@ -173,13 +177,13 @@ DIAGONAL_SQL = "array_to_string(list_transform(range(0, least(5, len({w}))), lam
     "align_with_pairs",
     f"""
 WITH {TURNS_SQL}
-SELECT s.text_id, s.ref, CASE WHEN s.text <> '' AND t.text <> '' AND s.ref % 2 = 1 THEN {DIAGONAL_SQL.format(w=words_sql("s.text"))} END AS pairs
+SELECT s.text_id, s.ref, CASE WHEN s.text <> '' AND t.text <> '' THEN {DIAGONAL_SQL.format(w=words_sql("s.text"))} END AS pairs
 FROM src s JOIN trg t ON s.text_id = t.text_id AND s.ref = t.ref
 """,
 )
 def align_with_pairs(spark, sf_dir):
     source = turns(spark, sf_dir, "user")
-    found = source.align_rows(turns(spark, sf_dir, "assistant"), diagonal(source).filter("ref % 2 = 1"))
+    found = source.align_rows(turns(spark, sf_dir, "assistant"), diagonal(source))
     return found.df.select("text_id", "ref", ro.pairs_to_string(F.col("pairs")).alias("pairs"))
 
 
@@ -548,14 +552,22 @@ def lexicon_prune(spark, sf_dir):
 
 
 @query(
-    "ngram_filter",
-    f"""{FOLLOW_SQL}, seen AS (
-  SELECT DISTINCT a.token || ' ' || b.token AS g FROM words a JOIN words b ON a.row_ord = b.row_ord AND b.position = a.position + 1 WHERE a.text_id = 'src3')
-SELECT source || ' ' || target AS phrase FROM lex WHERE source || ' ' || target IN (SELECT g FROM seen)""",
+    "phrase_filter",
+    f"""WITH {LINES_SQL}, {TURNS_SQL},
+held AS (SELECT list_transform({words_sql("line_text")}, lambda x: {escaped_sql("x")}) AS p FROM lines WHERE text_id = 'src3'),
+seen AS (SELECT DISTINCT array_to_string(p[i:j], ' ') AS g FROM (SELECT p, i, unnest(range(i, least(len(p), i + 11) + 1)) AS j FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM held))),
+asked AS (
+  SELECT array_to_string(list_transform(p[a:b], lambda x: {escaped_sql("x")}), ' ') AS phrase
+  FROM (SELECT {words_sql("line_text")} AS p FROM lines), (VALUES (1, 1), (1, 3), (2, 8), (3, 14)) AS cut(a, b) WHERE len(p) >= b)
+SELECT phrase, count(*) AS n FROM asked WHERE phrase IN (SELECT g FROM seen) GROUP BY phrase""",
 )
-def ngram_filter(spark, sf_dir):
-    phrases = _lexicon(spark, sf_dir).select(F.concat_ws(" ", "source", "target").alias("phrase"))
-    return st.seen_phrases(phrases, words(spark, sf_dir).filter_texts(["src3"]).df, "phrase", longest=2)
+def phrase_filter(spark, sf_dir):
+    """Of phrases of 1, 3, 7 and 12 words in all lines, those that one source has."""
+    rows = words(spark, sf_dir)
+    cuts = ((1, 1), (1, 3), (2, 7), (3, 12))
+    found = F.array(*[F.when(F.size("segment") >= at + n - 1, F.array_join(F.transform(F.slice("segment", at, n), tx.escape_token), " ")) for at, n in cuts])
+    phrases = rows.df.select(F.explode(found).alias("phrase")).where("phrase IS NOT NULL")
+    return st.seen_phrases(phrases, rows.filter_texts(["src3"]).df, "phrase").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -574,7 +586,7 @@ def missing_characters(spark, sf_dir):
 def _bitext(spark, sf_dir):
     """User and assistant turns, tokenized, with a row number."""
     rows = _align(spark, sf_dir).tokenize().lowercase().filter_nonempty().df
-    return rows.withColumn("row_ord", F.col("text_id") * 100 + F.col("ref"))
+    return rows.withColumn("row_ord", F.col("text_id") * TURNS + F.col("ref"))
 
 
 def _two_ways(spark, sf_dir):
@@ -649,7 +661,7 @@ def pairs_strings(spark, sf_dir):
 IBM1_SQL = f"""
 WITH {TURNS_SQL},
 bi AS (
-  SELECT s.text_id * 100 + s.ref AS row, list_concat(['NULL'], {words_sql("lower(s.text)")}) AS sw, {words_sql("lower(t.text)")} AS tw
+  SELECT s.text_id * 1048576 + s.ref AS row, list_concat(['NULL'], {words_sql("lower(s.text)")}) AS sw, {words_sql("lower(t.text)")} AS tw
   FROM src s JOIN trg t ON s.text_id = t.text_id AND s.ref = t.ref WHERE s.text <> '' AND t.text <> ''),
 co AS (SELECT row, j, tw[j] AS target, unnest(sw) AS source, len(sw) AS m FROM (SELECT *, unnest(range(1, len(tw) + 1)) AS j FROM bi)),
 counts AS (SELECT source, target, sum(1.0::DOUBLE / m) AS c FROM co GROUP BY source, target)
@@ -732,14 +744,14 @@ def bridge_expand(spark, sf_dir):
     f"""
 WITH {LINES_SQL},
 verses AS (SELECT DISTINCT row_ord AS number FROM lines),
-held AS (SELECT row_ord, line % 4 IN (1, 2) AS rng, line % 4 = 1 AS beg, CASE WHEN line % 4 = 2 THEN '' ELSE line_text END AS txt FROM lines WHERE line % 5 <> 3)
+held AS (SELECT row_ord, line % 4 IN (1, 2) AS rng, line % 4 = 1 AS beg, CASE WHEN line % 4 = 2 THEN '' ELSE line_text END AS txt FROM lines WHERE line_text <> '')
 SELECT number, CASE WHEN rng AND NOT beg AND txt = '' THEN '<range>' ELSE coalesce(txt, '') END AS line FROM verses LEFT JOIN held ON number = row_ord
 """,
 )
 def vref_extract(spark, sf_dir):
     rows = lines(spark, sf_dir).df.select(F.col("row_ord").alias("number"), "row_ord", "line", joined("segment").alias("text"))
     place = F.col("line") % 4
-    held = rows.where("line % 5 <> 3").select("number", "row_ord", F.when(place == 2, "").otherwise(F.col("text")).alias("text"), place.isin(1, 2).alias("in_range"), (place == 1).alias("range_start"))
+    held = rows.where("text <> ''").select("number", "row_ord", F.when(place == 2, "").otherwise(F.col("text")).alias("text"), place.isin(1, 2).alias("in_range"), (place == 1).alias("range_start"))
     return sc.verse_lines(rows.select("number").distinct(), held)
 
 
@@ -747,15 +759,16 @@ def vref_extract(spark, sf_dir):
     "verse_diagnostics",
     f"""
 WITH {LINES_SQL},
-e AS (SELECT row_ord AS number FROM lines WHERE line % 6 <> 2), o AS (SELECT row_ord AS number FROM lines WHERE line % 4 <> 1),
+e AS (SELECT row_ord AS number FROM lines WHERE line_text <> ''), o AS (SELECT row_ord AS number FROM lines WHERE lang <> 'de'),
 odd AS (SELECT coalesce(e.number, o.number) AS number, CASE WHEN o.number IS NULL THEN 'missing' ELSE 'extra' END AS kind FROM e FULL JOIN o ON e.number = o.number WHERE e.number IS NULL OR o.number IS NULL),
 run AS (SELECT *, number - row_number() OVER (PARTITION BY kind, number // 1000 ORDER BY number) AS r FROM odd)
 SELECT kind, min(number) AS first, max(number) AS last FROM run GROUP BY kind, number // 1000, r
 """,
 )
 def verse_diagnostics(spark, sf_dir):
-    rows = lines(spark, sf_dir).df.select(F.col("row_ord").alias("number"), "line")
-    return sc.diagnose(rows.where("line % 6 <> 2"), rows.where("line % 4 <> 1"))
+    rows = lines(spark, sf_dir)
+    number = F.col("row_ord").alias("number")
+    return sc.diagnose(rows.filter_nonempty().df.select(number), rows.filter("lang <> 'de'").df.select(number))
 
 
 # --- quotation marks ---------------------------------------------------------------------
@@ -787,47 +800,52 @@ def quote_conventions(spark, sf_dir):
 # --- sequences -----------------------------------------------------------------------------
 
 
-@query("edit_distance", "SELECT doc_id, levenshtein(coalesce(source, ''), coalesce(lang, '')) AS distance FROM documents")
+@query(
+    "edit_distance",
+    f"""WITH {TURNS_SQL}
+SELECT s.text_id, s.ref, levenshtein(regexp_replace(lower(s.text), '[^a-z ]', '', 'g'), regexp_replace(lower(t.text), '[^a-z ]', '', 'g')) AS distance
+FROM src s JOIN trg t ON s.text_id = t.text_id AND s.ref = t.ref""",
+)
 def edit_distance(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", sq.edit_distance(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).cast("long").alias("distance"))
+    """Between the letters of a turn and of its answer."""
+    letters = lambda c: F.regexp_replace(F.lower(joined(c)), "[^a-z ]", "")
+    return _align(spark, sf_dir).df.select("text_id", "ref", sq.edit_distance(letters("source_segment"), letters("target_segment")).cast("long").alias("distance"))
 
 
 @query("edit_operations")
 def edit_operations(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    host = F.regexp_extract("url", "https?://([^/]+)", 1)
-    found = sq.edit_operations(host, F.regexp_extract("url", "https?://[^/]+/(.*)", 1))
-    return pages.withColumn("e", found).select("page_id", F.col("e.cost").alias("cost"), F.col("e.operations").alias("operations"))
+    """From the words of a turn to those of its answer."""
+    found = _bitext(spark, sf_dir).withColumn("e", sq.edit_operations(F.col("source_segment"), F.col("target_segment")))
+    return found.select("text_id", "ref", F.col("e.cost").alias("cost"), F.col("e.operations").alias("operations"))
 
 
 @query("pairwise_alignment")
 def pairwise_alignment(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    letters = lambda c: F.split(c, "")
-    found = sq.aligned(letters(F.regexp_extract("url", "https?://([^/]+)", 1)), letters(F.regexp_extract("url", "https?://[^/]+/(.*)", 1)), "local", sq.Scores(mismatch=-50))
-    return pages.withColumn("x", found).select("page_id", F.col("x.score").alias("score"), F.col("x.normalized").alias("normalized"), F.size("x.columns").alias("columns"))
+    found = _bitext(spark, sf_dir).withColumn("x", sq.aligned(F.col("source_segment"), F.col("target_segment"), "local", sq.Scores(mismatch=-50)))
+    return found.select("text_id", "ref", F.col("x.score").alias("score"), F.col("x.normalized").alias("normalized"), F.size("x.columns").alias("columns"))
 
 
 def _distances(spark, sf_dir):
-    """Between the sources of each language, how far their mean text lengths are apart."""
-    means = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.avg(F.length("text")).alias("m"))
-    other = means.select(F.col("lang").alias("l"), F.col("source").alias("b"), F.col("m").alias("o"))
-    return means.join(other, (F.col("lang") == F.col("l")) & (F.col("source") < F.col("b"))).select("lang", F.col("source").alias("a"), "b", F.abs(F.col("m") - F.col("o")).alias("distance"))
+    """Between the turns of each conversation, the edit distance over the longer length."""
+    talk = table(spark, sf_dir, "conversations").select("conv_id", F.concat("role", F.lit(" "), F.col("turn")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    other = talk.select("conv_id", F.col("name").alias("b"), F.col("text").alias("other"))
+    apart = F.levenshtein("text", "other") / F.greatest(F.length("text"), F.length("other"), F.lit(1))
+    return talk.withColumnRenamed("name", "a").join(other, "conv_id").where("a < b").select("conv_id", "a", "b", apart.alias("distance"))
 
 
 @query("cluster_upgma")
 def cluster_upgma(spark, sf_dir):
-    return rounded(sq.cluster_trees(_distances(spark, sf_dir), "lang"), "length")
+    return rounded(sq.cluster_trees(_distances(spark, sf_dir), "conv_id"), "length")
 
 
 @query("cluster_neighbor_joining")
 def cluster_neighbor_joining(spark, sf_dir):
-    return rounded(sq.cluster_trees(_distances(spark, sf_dir), "lang", "neighbor_joining"), "length")
+    return rounded(sq.cluster_trees(_distances(spark, sf_dir), "conv_id", "neighbor_joining"), "length")
 
 
 @query("cluster_flat")
 def cluster_flat(spark, sf_dir):
-    return sq.flat_clusters(_distances(spark, sf_dir), "lang", 300.0)
+    return sq.flat_clusters(_distances(spark, sf_dir), "conv_id", 0.5)
 
 
 # --- flagship ----------------------------------------------------------------------------

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from segmill.corpus import TextCorpus
 
-#: row_ord of a line is its document's id times this, plus its number.
-LINES = 1 << 16
+#: row_ord of a line is its document's id times this, plus its number: more lines than a text can have bytes here, and ids up to 2 to the 35th.
+LINES = 1 << 28
+#: The same for the turns of a conversation.
+TURNS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,13 +39,13 @@ def lines(spark: SparkSession, sf_dir: str) -> TextCorpus:
 
 LINES_SQL = """
 lines AS (
-  SELECT source AS text_id, doc_id * 65536 + i - 1 AS row_ord, doc_id, i - 1 AS line, lang, trim(p[i], ' ') AS line_text
+  SELECT source AS text_id, doc_id * 268435456 + i - 1 AS row_ord, doc_id, i - 1 AS line, lang, trim(p[i], ' ') AS line_text
   FROM (SELECT doc_id, source, lang, string_split(coalesce(text, ''), chr(10)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(i))
 """
 
 
 def turns(spark: SparkSession, sf_dir: str, role: str) -> TextCorpus:
-    """The turns of a role in conversations, numbered within each; every fourth and fifth of an even conversation's user turns is a range where asked for."""
+    """The turns of a role in conversations, numbered within each."""
     talk = table(spark, sf_dir, "conversations").where(F.col("role") == role)
     ref = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return TextCorpus(flagged(talk.select(F.col("conv_id").alias("text_id"), ref.alias("ref"), segment_of(F.col("text")).alias("segment")).withColumn("row_ord", F.col("ref"))))
