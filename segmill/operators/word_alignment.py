@@ -6,6 +6,7 @@ for no word, and such pairs take no part in matrix operations.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 
 import pandas as pd
@@ -175,7 +176,7 @@ def ibm1(bitext: DataFrame, iterations: int = 5, key: str = "row_ord", diagonal:
         whole = F.sum(F.when(F.col("i") >= 0, off).otherwise(0.0)).over(Window.partitionBy("row", "j"))
         prior = F.when(F.col("i") < 0, F.lit(null_share)).otherwise((1 - null_share) * off / whole)
     seen = cooccurrences(bitext, key).withColumn("prior", prior)
-    pairs = seen.groupBy("row", "j", "target", "source").agg(F.sum("prior").alias("prior"))
+    pairs = cut(seen.groupBy("row", "j", "target", "source").agg(F.sum("prior").alias("prior")))
     lexicon = None
     for _ in range(iterations):
         weighed = pairs.withColumn("share", F.col("prior")) if lexicon is None else pairs.join(lexicon, ["source", "target"]).withColumn("share", F.col("prior") * F.col("probability"))
@@ -227,22 +228,28 @@ def extract_phrases(rows: DataFrame, longest: int = 10) -> DataFrame:
     def consistent(source: pd.Series, target: pd.Series, pairs: pd.Series) -> pd.Series:
         def of(s, t, p):
             links = {(x["source_index"], x["target_index"]) for x in p}
-            taken, found = {j for _, j in links}, []
+            by_source, by_target = defaultdict(list), defaultdict(list)
+            for i, j in links:
+                by_source[i].append(j)
+                by_target[j].append(i)
+            spans, found = {j: (min(i), max(i)) for j, i in by_target.items()}, []
             for a in range(len(s)):
+                low, high = len(t), -1  # of what the words from a on are aligned to
                 for b in range(a, min(len(s), a + longest)):
-                    inside = [j for i, j in links if a <= i <= b]
-                    if not inside or any(min(inside) <= j <= max(inside) and not a <= i <= b for i, j in links):
+                    if b in by_source:
+                        low, high = min(low, *by_source[b]), max(high, *by_source[b])
+                    if high < 0 or any(j in spans and (spans[j][0] < a or spans[j][1] > b) for j in range(low, high + 1)):
                         continue
-                    low = min(inside)
-                    while True:
-                        high = max(inside)
-                        while high - low < longest and high < len(t):
-                            found.append({"source": " ".join(s[a : b + 1]), "target": " ".join(t[low : high + 1])})
-                            high += 1
-                            if high in taken:
+                    first = low
+                    while True:  # over free target words on either side
+                        last = high
+                        while last - first < longest and last < len(t):
+                            found.append({"source": " ".join(s[a : b + 1]), "target": " ".join(t[first : last + 1])})
+                            last += 1
+                            if last in spans:
                                 break
-                        low -= 1
-                        if low < 0 or low in taken:
+                        first -= 1
+                        if first < 0 or first in spans:
                             break
             return found
 

@@ -439,12 +439,36 @@ def conditional_frequency(spark, sf_dir):
     return st.frequency(st.tokens_of(words(spark, sf_dir).df, "text_id"), "text_id")
 
 
-@query("truecase_train")
+def _only_sql(token: str, points: str) -> str:
+    quoted = ch.of(points).replace("'", "''")
+    return f"regexp_matches({token}, '^{quoted}+$')"
+
+
+#: What starts a sentence is told by a string of flags, one more than tokens: each says whether the next token is at a start.
+TRUECASE_SQL = f"""
+WITH {LINES_SQL},
+held AS (SELECT text_id, row_ord, {words_sql('line_text')} AS p FROM lines),
+flags AS (
+  SELECT *, list_reduce(p, lambda s, t: s || CASE WHEN {_only_sql("t", ch.DELAYED_START)} THEN right(s, 1) WHEN right(s, 1) = 'f' AND {_only_sql("t", ch.SENTENCE_TERMINALS)} THEN 't' ELSE 'f' END, 't') AS f FROM held),
+forms AS (SELECT text_id, row_ord, f, unnest(p) AS token, generate_subscripts(p, 1) AS k FROM flags),
+counted AS (
+  SELECT lower(token) AS token_lower, token, count(*) AS n, max((row_ord, k)) AS last_ord FROM forms
+  WHERE regexp_matches(token, '[\\p{{Lu}}\\p{{Ll}}]') AND (substr(f, k, 1) = 'f' OR regexp_matches(token, '^\\p{{Ll}}')) GROUP BY 1, 2),
+model AS (SELECT token_lower, token FROM counted QUALIFY row_number() OVER (PARTITION BY token_lower ORDER BY n DESC, last_ord, token) = 1)
+"""
+
+
+@query("truecase_train", f"{TRUECASE_SQL} SELECT token_lower, token FROM model")
 def truecase_train(spark, sf_dir):
     return st.truecase_model(st.truecase_counts(words(spark, sf_dir).df))
 
 
-@query("truecase_apply")
+@query(
+    "truecase_apply",
+    f"""{TRUECASE_SQL},
+best AS (SELECT row_ord, string_agg(coalesce(m.token, forms.token), ' ' ORDER BY k) AS segment FROM forms LEFT JOIN model m ON m.token_lower = lower(forms.token) GROUP BY row_ord)
+SELECT text_id, row_ord, coalesce(segment, '') AS segment FROM held LEFT JOIN best USING (row_ord)""",
+)
 def truecase_apply(spark, sf_dir):
     rows = words(spark, sf_dir).df
     return st.truecase(rows, st.truecase_model(st.truecase_counts(rows))).select("text_id", "row_ord", joined("segment").alias("segment"))
@@ -639,7 +663,15 @@ def pairs_with_nulls(spark, sf_dir):
     return _two_ways(spark, sf_dir).select("text_id", "ref", ro.pairs_to_string(found).alias("pairs"))
 
 
-@query("giza_format")
+@query(
+    "giza_format",
+    f"""{TWO_WAYS_SQL},
+w AS (SELECT text_id, ref, unnest(list_concat(['NULL'], sw)) AS word, unnest(range(-1, len(sw))) AS i FROM bi),
+free AS (SELECT text_id, ref, -1 AS i, j FROM (SELECT text_id, ref, unnest(range(0, len(tw))) AS j FROM bi) x WHERE NOT EXISTS (SELECT 1 FROM fb WHERE f AND fb.text_id = x.text_id AND fb.ref = x.ref AND fb.j = x.j)),
+js AS (SELECT text_id, ref, i, string_agg((j + 1)::VARCHAR || ' ', '' ORDER BY j) AS held FROM (SELECT text_id, ref, i, j FROM fb WHERE f UNION ALL SELECT * FROM free) GROUP BY ALL),
+items AS (SELECT text_id, ref, string_agg(word || ' ({{ ' || coalesce(held, '') || '}})', ' ' ORDER BY i) AS line FROM w LEFT JOIN js USING (text_id, ref, i) GROUP BY text_id, ref)
+SELECT text_id, ref, array_to_string(tw, ' ') || chr(10) || line || chr(10) AS giza FROM bi JOIN items USING (text_id, ref)""",
+)
 def giza_format(spark, sf_dir):
     return _two_ways(spark, sf_dir).select("text_id", "ref", wa.to_giza(F.col("source_segment"), F.col("target_segment"), F.col("forward")).alias("giza"))
 
@@ -678,13 +710,31 @@ def _trained(spark, sf_dir):
     return rows, wa.ibm1(rows, iterations=3, diagonal=4.0)
 
 
+def _trained_sql(rounds: int) -> str:
+    """Three rounds of expectation maximization with a prior for the diagonal, as common table expressions."""
+    parts = [f"""
+WITH {TURNS_SQL},
+bi AS (
+  SELECT s.text_id * 1048576 + s.ref AS row, {words_sql("lower(s.text)")} AS sw, {words_sql("lower(t.text)")} AS tw
+  FROM src s JOIN trg t ON s.text_id = t.text_id AND s.ref = t.ref WHERE s.text <> '' AND t.text <> ''),
+co AS (
+  SELECT row, j, i, tw[j + 1] AS target, CASE WHEN i < 0 THEN 'NULL' ELSE sw[i + 1] END AS source, exp(-4.0::DOUBLE * abs((i + 1)::DOUBLE / len(sw) - (j + 1)::DOUBLE / len(tw))) AS near
+  FROM (SELECT *, unnest(range(-1, len(sw))) AS i FROM (SELECT *, unnest(range(0, len(tw))) AS j FROM bi))),
+pri AS (SELECT row, j, target, source, CASE WHEN i < 0 THEN 0.08::DOUBLE ELSE 0.92::DOUBLE * near / sum(near) FILTER (i >= 0) OVER (PARTITION BY row, j) END AS prior FROM co),
+pairs AS (SELECT row, j, target, source, sum(prior) AS prior FROM pri GROUP BY ALL)"""]
+    for k in range(1, rounds + 1):
+        share = "SELECT *, prior AS share FROM pairs" if k == 1 else f"SELECT pairs.*, prior * probability AS share FROM pairs JOIN lex{k - 1} USING (source, target)"
+        parts.append(f"w{k} AS ({share}), c{k} AS (SELECT source, target, sum(part) AS c FROM (SELECT source, target, share / sum(share) OVER (PARTITION BY row, j) AS part FROM w{k}) GROUP BY ALL), lex{k} AS (SELECT source, target, c / sum(c) OVER (PARTITION BY source) AS probability FROM c{k})")
+    return ",\n".join(parts)
+
+
 @query("align_corpus")
 def align_corpus(spark, sf_dir):
     rows, lexicon = _trained(spark, sf_dir)
     return wa.best_alignment(rows, lexicon).select("row_ord", ro.pairs_to_string(F.col("pairs")).alias("pairs"))
 
 
-@query("word_confidences")
+@query("word_confidences", f"{_trained_sql(3)} SELECT row AS row_ord, CAST(j AS INT) AS j, target, round(max(probability), 6) AS confidence FROM pairs JOIN lex3 USING (source, target) GROUP BY row, j, target")
 def word_confidences(spark, sf_dir):
     rows, lexicon = _trained(spark, sf_dir)
     return rounded(wa.word_confidences(rows, lexicon), "confidence")
