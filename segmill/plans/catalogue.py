@@ -12,6 +12,7 @@ from segmill.functions import characters as ch
 from segmill.functions import text as tx
 from segmill.functions import tokens as tk
 from segmill.operators import align as al
+from segmill.operators import quote_resolution as qr
 from segmill.operators import quotes as qu
 from segmill.operators import rows as ro
 from segmill.operators import scripture as sc
@@ -847,6 +848,39 @@ def quote_conventions(spark, sf_dir):
     return rounded(qu.detect(qu.similarities(qu.tabulate(placed, "doc_id"), "doc_id"), "doc_id"), "score")
 
 
+def _segments(spark, sf_dir):
+    """Lines as segments of their documents, with marks put around words of every three."""
+    text = F.regexp_replace(joined("segment"), r"([a-z]+) ([a-z]+) ([a-z]+)", "“$1 ‘$2’” $3")
+    return lines(spark, sf_dir).df.select("doc_id", F.col("line").cast("long").alias("ord"), F.col("line").cast("string").alias("verse"), F.lit(True).alias("paragraph"), F.lit(False).alias("embedded"), text.alias("text"))
+
+
+@query(
+    "quote_rewrite",
+    f"""
+WITH {LINES_SQL}, q AS (SELECT doc_id, line, regexp_replace(line_text, '([a-z]+) ([a-z]+) ([a-z]+)', '“\\1 ‘\\2’” \\3', 'g') AS t FROM lines)
+SELECT doc_id, line AS ord, translate(t, '“”‘’', '«»‹›') AS text, 'full' AS strategy FROM q""",
+)
+def quote_rewrite(spark, sf_dir):
+    return qr.rewritten(_segments(spark, sf_dir), "standard_english", "standard_french", "doc_id").drop("verse")
+
+
+@query("quote_resolution")
+def quote_resolution(spark, sf_dir):
+    own = qr.Conventions(["standard_english"])
+    found = qr.resolve(qr.placed_marks(_segments(spark, sf_dir), own, "doc_id"), own, "doc_id")
+    return found.select("doc_id", F.size("found").alias("marks"), F.array_max(F.transform("found", lambda m: m["depth"])).alias("deepest"), F.array_join("issues", ",").alias("issues"))
+
+
+@query("quote_candidates")
+def quote_candidates(spark, sf_dir):
+    """Conventions that the marks of each source fit."""
+    every, rows = qr.Conventions(), _segments(spark, sf_dir)
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("text_id"))
+    rows = rows.join(sources, "doc_id")
+    marks = qr.placed_marks(rows.drop("text_id"), every, "doc_id").join(sources, "doc_id")
+    return qr.compatible_conventions(qr.mark_statistics(rows, marks, every, "text_id", "doc_id"), every, "text_id")
+
+
 # --- sequences -----------------------------------------------------------------------------
 
 
