@@ -238,7 +238,7 @@ def zwsp_ranges(text: str) -> list[tuple[int, int]]:
     return found
 
 
-#: Opening and closing marks of a kind toggle.
+# Quotation marks by kind; opening and closing marks of a kind toggle.
 QUOTE_KINDS = {c: k for k, group in enumerate(('"“”„‟', "'‘’‚‛", "«»", "‹›")) for c in group}
 
 
@@ -299,8 +299,22 @@ def _join_udf(join: Callable[[list[str]], str]) -> Callable[[Column], Column]:
     return apart(detokenize)
 
 
+#: Letters and digits of plain words, and the one mark that may end each.
+PLAIN_LETTER, PLAIN_MARK = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", "[.,:;!?]"
+
+
 def latin(abbreviations: frozenset[str] = frozenset(), apostrophe_is_quote: bool = False) -> Callable[[Column], Column]:
-    return _tokenizer_udf(partial(latin_ranges, abbreviations=abbreviations, apostrophe_is_quote=apostrophe_is_quote))
+    """Texts of plain words, each with one mark behind it at most, are cut by the JVM; only others go to Python."""
+    scan = _tokenizer_udf(partial(latin_ranges, abbreviations=abbreviations, apostrophe_is_quote=apostrophe_is_quote))
+    if abbreviations:
+        return scan
+
+    def tokenize(text: Column) -> Column:
+        gap = ch.separators()
+        plain = text.rlike(f"^{gap}*+(?:{PLAIN_LETTER}++{PLAIN_MARK}?+(?:{gap}++|$))*+$")
+        return F.when(plain, F.regexp_extract_all(text, F.lit(f"{PLAIN_LETTER}+|{PLAIN_MARK}"), F.lit(0))).otherwise(scan(F.when(~plain, text)))
+
+    return tokenize
 
 
 def sentencepiece_joined(segment: Column) -> Column:

@@ -281,3 +281,39 @@ def parse_selection(text: str) -> dict[int, list[int]]:
                 raise ValueError(f"{piece!r} is not selected")
             del found[b]
     return dict(sorted(found.items()))
+
+
+#: What can be said of a reference.
+VALID, UNKNOWN, OUT_OF_RANGE, OUT_OF_ORDER, REPEATED = "valid", "unknown_versification", "out_of_range", "verse_out_of_order", "verse_repeated"
+
+
+def valid_status(df: DataFrame, vrs: Versification | None, book_num: str = "book_num", chapter: str = "chapter", verse: str = "verse") -> DataFrame:
+    """df with status: whether each of a reference's verses is in the versification, and they rise.
+
+    The first verse that is not, in the order of the text, decides.  Books out of
+    the canon have any verse.  The tables joined are as small as a versification.
+    """
+    if vrs is None:
+        return df.withColumn("status", F.lit(UNKNOWN))
+    spark = df.sparkSession
+    chapters = F.broadcast(spark.createDataFrame([(b * 1000 + c, v) for (b, c), v in vrs.chapters.items()], "__chapter long, __last int"))
+    gone: dict[int, list[int]] = {}
+    for n in vrs.excluded:
+        gone.setdefault(n // 1000, []).append(n % 1000)
+    excluded = F.broadcast(spark.createDataFrame(list(gone.items()), "__at long, __gone array<int>"))
+    canonical = F.broadcast(canon(spark).select(F.col("book_num").alias("__book"), "canonical"))
+    key = F.col(book_num).cast("long") * 1000 + F.col(chapter)
+    joined = df.join(chapters, key == F.col("__chapter"), "left").join(excluded, key == F.col("__at"), "left").join(canonical, F.col(book_num) == F.col("__book"), "left")
+    outside = lambda v: F.coalesce((v < 0) | (v > F.col("__last")) | F.array_contains(F.coalesce("__gone", F.expr("CAST(array() AS array<int>)")), v), F.lit(True))
+    verses = all_verses(F.col(verse))
+    before = lambda i: F.get(verses, i - 1)
+    one = lambda v, i: F.when(F.col("canonical") & outside(v), OUT_OF_RANGE).when((i > 0) & (before(i) > v), OUT_OF_ORDER).when((i > 0) & (before(i) == v), REPEATED)
+    found = F.get(F.filter(F.transform(verses, one), lambda x: x.isNotNull()), F.lit(0))
+    status = F.when(F.col("canonical").isNull(), OUT_OF_RANGE).when(F.col(verse).rlike(r"^\d"), F.coalesce(found, F.lit(VALID))).otherwise(OUT_OF_RANGE)
+    return joined.withColumn("status", status).drop("__chapter", "__last", "__at", "__gone", "__book", "canonical")
+
+
+def has_cross_book_mappings(spark: SparkSession, vrs: Versification, standard: Versification) -> bool:
+    """Whether a verse of the versification is one of another book in the standard one."""
+    moved = change_versification(verse_rows(spark, vrs).select("number"), vrs, standard)
+    return not moved.where(F.floor(F.col("number") / 1_000_000) != F.floor(F.col("new_number") / 1_000_000)).isEmpty()

@@ -20,6 +20,7 @@ from segmill.operators import sequences as sq
 from segmill.operators import statistics as st
 from segmill.operators import word_alignment as wa
 from segmill.plans.views import LINES_SQL, TURNS, TURNS_SQL, lines, table, turns
+from segmill.sources import usfm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -822,6 +823,65 @@ def verse_diagnostics(spark, sf_dir):
     return sc.diagnose(rows.filter_nonempty().df.select(number), rows.filter("lang <> 'de'").df.select(number))
 
 
+def _made_versification() -> sc.Versification:
+    """Fifty chapters a book, of lengths that follow from their numbers; the fifth verse of each seventh chapter is not there."""
+    chapters = {(b, c): (b + c) % 40 + 100 for b in range(1, 67) for c in range(1, 51)}
+    return sc.Versification("made", chapters, [], frozenset(b * 1_000_000 + 7005 for b in range(1, 67)), [])
+
+
+@query(
+    "valid_status",
+    f"""WITH {REFS_SQL}
+SELECT doc_id, v || ',' || (v + doc_id % 3) AS verse,
+       CASE WHEN c > 50 OR v > (b + c) % 40 + 100 OR (c = 7 AND v = 5) THEN 'out_of_range' WHEN doc_id % 3 > 0 AND (v + doc_id % 3 > (b + c) % 40 + 100 OR (c = 7 AND v + doc_id % 3 = 5)) THEN 'out_of_range'
+            WHEN doc_id % 3 = 0 THEN 'verse_repeated' ELSE 'valid' END AS status FROM refs""",
+)
+def valid_status(spark, sf_dir):
+    """Of two verses each, which may be one twice."""
+    rows = _refs(spark, sf_dir).select("doc_id", F.col("b").cast("int").alias("book_num"), F.col("c").cast("int").alias("chapter"), F.concat("v", F.lit(","), F.col("v") + F.col("doc_id") % 3).alias("verse"))
+    return sc.valid_status(rows, _made_versification()).select("doc_id", "verse", "status")
+
+
+# --- books -------------------------------------------------------------------------------
+
+CLEAN_SQL = "trim(regexp_replace(regexp_replace(line_text, '[^A-Za-z0-9., ]', '', 'g'), ' +', ' ', 'g'), ' ')"
+BOOK_SQL = f"""
+WITH {LINES_SQL}, v AS (SELECT doc_id, line + 1 AS n, {CLEAN_SQL} AS t FROM lines)
+"""
+
+
+def _books(spark, sf_dir):
+    """Each document as a marked-up book: a chapter whose verses are the lines."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(joined("segment"), "[^A-Za-z0-9., ]", ""), " +", " "))
+    verses = lines(spark, sf_dir).df.select("doc_id", F.struct(F.col("line").cast("int").alias("line"), F.concat(F.lit("\\v "), F.col("line") + 1, F.lit(" "), text).alias("t")).alias("v"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["t"]), "\r\n")
+    return verses.groupBy("doc_id").agg(F.concat(F.lit("\\id GEN\r\n\\c 1\r\n\\p\r\n"), body, F.lit("\r\n")).alias("content")).select(F.col("doc_id").cast("string").alias("path"), "content")
+
+
+@query("usfm_verses", f"{BOOK_SQL} SELECT doc_id::VARCHAR AS path, 'GEN' AS book, 1 AS chapter, n::VARCHAR AS verse, t AS text FROM v WHERE t <> ''")
+def usfm_verses(spark, sf_dir):
+    found = usfm.located(usfm.tokenized(_books(spark, sf_dir))).where("type = 'text' AND verse <> '0'")
+    return found.select("path", "book", "chapter", "verse", F.trim("text").alias("text"))
+
+
+@query(
+    "usfm_rewrite",
+    f"""{BOOK_SQL}
+SELECT doc_id::VARCHAR AS path, '\\id GEN' || chr(13) || chr(10) || '\\c 1' || chr(13) || chr(10) || '\\p' || chr(13) || chr(10)
+       || string_agg(rtrim('\\v ' || n || ' ' || CASE WHEN t <> '' THEN 'Verse ' || length(t) ELSE '' END), chr(13) || chr(10) ORDER BY n) || chr(13) || chr(10) AS content
+FROM v GROUP BY doc_id""",
+)
+def usfm_rewrite(spark, sf_dir):
+    """Books with a new text for each verse that has one."""
+    tokens = usfm.tokenized(_books(spark, sf_dir)).withColumn("path", F.col("path"))
+    # Books of one code: each is rewritten by its own verses, so the path stands in for the code.
+    own = tokens.withColumn("data", F.when(F.col("type") == "book", F.col("path")).otherwise(F.col("data")))
+    texts = usfm.located(own).where("type = 'text' AND verse <> '0'").select("book", "chapter", "verse", F.concat(F.lit("Verse "), F.length(F.trim("text"))).alias("text"))
+    rewritten = usfm.update_verses(own, texts)
+    named = rewritten.withColumn("data", F.when(F.col("type") == "book", F.lit("GEN")).otherwise(F.col("data")))
+    return usfm.to_text(named)
+
+
 # --- quotation marks ---------------------------------------------------------------------
 
 

@@ -67,3 +67,15 @@ def test_log_space(spark):
     a, b = F.lit(0.5), F.lit(0.25)
     row = spark.range(1).select(tx.from_log(tx.log_add(tx.to_log(a), tx.to_log(b))), tx.from_log(tx.log_add(tx.to_log(F.lit(0.0)), tx.to_log(b))), tx.from_log(tx.log_multiply(tx.to_log(a), tx.to_log(F.lit(0.0))))).first()
     assert row[0] == pytest.approx(0.75) and row[1] == pytest.approx(0.25) and row[2] == 0
+
+
+def test_plain_texts_are_cut_as_others_are(spark):
+    """The JVM's cut of plain texts equals the scanner's, which all others get."""
+    import random
+
+    rng = random.Random(4)
+    pieces = ["word", "Über", "3", "3.14", ".", ",", "!", "?", ";", ":", " ", " ", " ", "\t", "\u200b", "'", "\"", "(", "-", "www.", "http://a.b/c", "don't", "...", "\n", "ß", "\u00d7", "日本"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(600)] + [" ".join(rng.choice(["word", "Über", "x1"]) + rng.choice(["", ".", ",", "!"]) for _ in range(8)) for _ in range(100)]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", tk.latin()(F.col("text")).alias("tokens")).collect()
+    for r in found:
+        assert r.tokens == [r.text[a:b] for a, b in tk.latin_ranges(r.text)], r.text
