@@ -312,9 +312,10 @@ def _led(index: DataFrame, similarity: float) -> DataFrame:
 def _across(index: DataFrame, similarity: float) -> DataFrame:
     """a, b: all pairs of texts that share a key, are in different components and can be similar.
 
-    Components are paired first, so that no two texts of one component meet.  A
-    pair's keys up to the last shared one are all known; beyond it no more are in
-    common than the shorter rest has.
+    Components are paired first, so that no two texts of one component meet.
+    Behind the first key that two texts share, no more are in common than the
+    shorter rest has, so a pair that is similar passes that test there; keys at
+    which it fails make no row.
     """
     together = Window.partitionBy("key")
     crowded = index.withColumns({"low": F.min("root").over(together), "high": F.max("root").over(together)}).filter("low != high").drop("low", "high")
@@ -323,10 +324,9 @@ def _across(index: DataFrame, similarity: float) -> DataFrame:
     couples = roots.withColumnRenamed("root", "r").join(roots.withColumnRenamed("root", "s"), "key").filter("r < s")
     left = crowded.select("key", F.col("root").alias("r"), F.col("id").alias("i"), F.col("size").alias("x"), F.col("at").alias("p"))
     right = crowded.select("key", F.col("root").alias("s"), F.col("id").alias("j"), F.col("size").alias("y"), F.col("at").alias("q"))
-    met = couples.join(left, ["key", "r"]).join(right, ["key", "s"]).filter(_sizes_fit(F.col("x"), F.col("y"), similarity))
-    met = met.groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"), F.max("q").alias("q"))
-    able = met.filter(_enough(F.expr("n + least(x - p, y - q) - 1"), F.col("x"), F.col("y"), similarity))
-    return able.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    x, y = F.col("x"), F.col("y")
+    met = couples.join(left, ["key", "r"]).join(right, ["key", "s"]).filter(_sizes_fit(x, y, similarity) & _enough(F.least(x - F.col("p"), y - F.col("q")), x, y, similarity))
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: float, turn: int) -> DataFrame:
