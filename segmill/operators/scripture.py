@@ -90,6 +90,17 @@ def overlapping(verse1: Column, verse2: Column) -> Column:
     return F.arrays_overlap(all_verses(verse1), all_verses(verse2)) & ~(single & (a != "") & (b != "") & (a != b))
 
 
+def compared(number1: Column, verse1: Column, number2: Column, verse2: Column) -> Column:
+    """-1, 0 or 1: the order of two references by bbbcccvvv, then by their segments; those without a segment come first."""
+    one, two = F.struct(number1.cast("long").alias("n"), segment_of(verse1).alias("s")), F.struct(number2.cast("long").alias("n"), segment_of(verse2).alias("s"))
+    return F.when(one < two, -1).when(one == two, 0).otherwise(1)
+
+
+def exactly_equal(number1: Column, verse1: Column, versification1: Column, number2: Column, verse2: Column, versification2: Column) -> Column:
+    """Whether book, chapter, the whole text of the verse and the versification (by name) are the same."""
+    return number1.eqNullSafe(number2) & verse1.eqNullSafe(verse2) & versification1.eqNullSafe(versification2)
+
+
 def merged_verses(verse1: Column, verse2: Column) -> Column:
     """The text of all verses of two texts, runs as ranges."""
     both = F.array_sort(F.array_distinct(F.concat(all_verses(verse1), all_verses(verse2))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -133,6 +134,45 @@ def align_pair(x: list, y: list, mode: str, scores: Scores) -> tuple[int, list[t
     return total, columns[::-1], i, end1, j, end2
 
 
+def best_alignments(x: list, y: list, mode: str, scores: Scores, most: int) -> tuple[int, list[list[tuple[str, str]]]]:
+    """(score, alignments as columns): all that have the best score, the first `most` of them in the order of their moves."""
+    n, m = len(x), len(y)
+    low, free = np.iinfo(np.int64).min // 2, mode in ("local", "semi_global")
+    best, came = np.full((n + 1, m + 1), low), defaultdict(list)
+    for i in range(n + 1):
+        for j in range(m + 1):
+            moves = [(int(best[i - a, j - b]) + score, a, b) for a, b, score in scores.moves(x, y, i, j)] if i or j else []
+            best[i, j] = max([0, *(v for v, *_ in moves)] if mode == "local" or not (i or j) or (free and not (i and j)) else [v for v, *_ in moves])
+            if mode != "semi_global" or (i and j):
+                came[i, j] = [(a, b) for v, a, b in moves if v == best[i, j]]
+    ends = {"global": [(n, m)], "semi_global": sorted({*((i, m) for i in range(n + 1)), *((n, j) for j in range(m + 1))})}.get(mode) or [(i, j) for i in range(n + 1) for j in range(m + 1)]
+    total = int(max(best[e] for e in ends))
+    found: list[list[tuple[str, str]]] = []
+    open_ = [(*e, ()) for e in reversed(ends) if best[e] == total]
+    while open_ and len(found) < most:
+        i, j, columns = open_.pop()
+        stops = (i, j) == (0, 0) or (free and best[i, j] == 0 and (mode == "local" or not (i and j)))
+        if stops:
+            found.append(list(columns))
+        else:
+            for a, b in reversed(came[i, j]):
+                open_.append((i - a, j - b, ((" ".join(map(str, x[i - a : i])), " ".join(map(str, y[j - b : j]))), *columns)))
+    return total, found
+
+
+def all_aligned(a: Column, b: Column, mode: str = "global", scores: Scores = Scores(), most: int = 100) -> Column:
+    """struct<score, alignments array<array<struct<a, b>>>> of two arrays: every best alignment, `most` at most, as their number grows without bound."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+
+    @pandas_udf("struct<score:long,alignments:array<array<struct<a:string,b:string>>>>")
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        found = [best_alignments(list(x), list(y), mode, scores, most) for x, y in zip(xs, ys, strict=True)]
+        return pd.DataFrame({"score": [f[0] for f in found], "alignments": [[[{"a": p, "b": q} for p, q in one] for one in f[1]] for f in found]})
+
+    return apart(run)(a, b)
+
+
 def aligned(a: Column, b: Column, mode: str = "global", scores: Scores = Scores()) -> Column:
     """struct<score, normalized, columns array<struct<a, b>>, start1, end1, start2, end2> of two arrays.
 
