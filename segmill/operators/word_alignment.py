@@ -6,9 +6,11 @@ for no word, and such pairs take no part in matrix operations.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from segmill.checkpoints import cut
 from segmill.functions.tokens import apart
+from segmill.operators.sequences import best_alignments
 
 HEURISTICS = ("none", "union", "intersection", "och", "priority", "grow", "grow_diag", "grow_diag_final", "grow_diag_final_and")
 CELL = "array<struct<source_index:int,target_index:int>>"
@@ -258,3 +261,84 @@ def extract_phrases(rows: DataFrame, longest: int = 10) -> DataFrame:
     phrases = rows.select(F.explode(apart(consistent)("source_segment", "target_segment", cells(F.col("pairs")))).alias("x")).groupBy("x.source", "x.target").agg(F.count(F.lit(1)).alias("n"))
     sums = phrases.groupBy("source").agg(F.sum("n").alias("__all"))
     return phrases.join(sums, "source").withColumn("probability", F.col("n") / F.col("__all")).drop("__all")
+
+
+# --- alignment by edit distance ----------------------------------------------------------
+
+# The scale of scores, the share that probability has in a choice, and how far it looks.
+SCALE, ALPHA, REACH = 100_000, 0.2, 3
+
+
+class _WordScores:
+    """Moves of an alignment of two segments by the probabilities of their words; row and column 0 stand for no word."""
+
+    def __init__(self, same: np.ndarray, p: np.ndarray):
+        self.words, self.p = np.where(same, 1.0, p[1:, 1:]), p
+
+    def moves(self, x: list, y: list, i: int, j: int):
+        one = lambda a, b: int(self.words[a, b] * SCALE)
+        if i and j:
+            yield 1, 1, one(i - 1, j - 1)
+        if j:
+            yield 0, 1, int(self.p[0, j] * SCALE) - SCALE // 10
+        if i and j > 1:
+            yield 1, 2, (one(i - 1, j - 2) + one(i - 1, j - 1)) // 2
+        if i:
+            yield 1, 0, int(self.p[i, 0] * SCALE) - SCALE // 10
+        if i > 1 and j:
+            yield 2, 1, (one(i - 2, j - 1) + one(i - 1, j - 1)) // 2
+        if i > 1 and j > 1:
+            yield 2, 2, (one(i - 2, j - 1) + one(i - 1, j - 2)) // 2
+
+
+def fuzzy_pairs(source: list[str], target: list[str], p: np.ndarray) -> set[tuple[int, int]]:
+    """(i, j) of words that belong together: where the best alignment has them, unless a near word is likelier.
+
+    p has the probability of each pair, with a row and a column 0 for no word.
+    What is chosen is the best of probability and nearness to the alignment.
+    """
+    n, m = len(source), len(target)
+    same = np.array(source, object)[:, None] == np.array(target, object)[None, :]
+    log = lambda v: math.log(v) if v > 0 else -999999999.0
+    rate = lambda v, far: log(v) * ALPHA + log(1 - far) * (1 - ALPHA)
+    apart = lambda a, b: 0.1 if n == 1 else min(1.0, abs(a - b) / (n - 1))
+    found, at = set(), 0
+    _, (columns, *_) = best_alignments(list(range(n)), list(range(m)), "global", _WordScores(same, p), 1)
+    for left, right in columns:
+        own, words = ([int(v) for v in side.split()] for side in (left, right))
+        for j in words:
+            if own:
+                best, low, high = rate(np.mean([p[i + 1, j + 1] for i in own]), 0), own[0] - 1, own[-1] + 1
+            else:
+                best, low, high = rate(p[0, j + 1], 0), at, at + 1
+            chosen = -1
+            near = [(i, low + 1) for i in range(low, max(0, low - REACH) - 1, -1)] + [(i, high - 1) for i in range(high, min(n, high + REACH))]
+            for i, middle in near:
+                if 0 <= i < n and (value := rate(p[i + 1, j + 1], apart(i, middle))) > best:
+                    best, chosen = value, i
+            if chosen >= 0:
+                found.add((chosen, j))
+            elif own:
+                found |= {(low + 1, j), (high - 1, j)}
+        at = own[-1] if own else at
+    return found
+
+
+def fuzzy_alignment(bitext: DataFrame, lexicon: DataFrame, key: str = "row_ord") -> DataFrame:
+    """key, pairs of each row whose segments both have words, by edit distance over a lexicon (source, target, probability)."""
+    full = bitext.where((F.size("source_segment") > 0) & (F.size("target_segment") > 0)).select(F.col(key).alias("row"), "source_segment", "target_segment")
+    known = cooccurrences(bitext, key).join(lexicon, ["source", "target"])
+    cells_ = known.groupBy("row").agg(F.collect_list(F.struct("i", "j", "probability")).alias("known"))
+
+    @pandas_udf(CELL)
+    def align(sources: pd.Series, targets: pd.Series, known: pd.Series) -> pd.Series:
+        out = []
+        for s, t, cells in zip(sources, targets, known, strict=True):
+            p = np.zeros((len(s) + 1, len(t) + 1))
+            for c in cells if cells is not None else ():
+                p[c["i"] + 1, c["j"] + 1] = c["probability"]
+            out.append([{"source_index": i, "target_index": j} for i, j in sorted(fuzzy_pairs(list(s), list(t), p))])
+        return pd.Series(out)
+
+    joined = full.join(cells_, "row", "left")
+    return joined.select(F.col("row").alias(key), apart(align)("source_segment", "target_segment", "known").alias("pairs"))

@@ -41,3 +41,31 @@ def test_best_alignments_score_alike_in_every_mode(mode):
         x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 6))] for _ in range(2))
         total, found = sq.best_alignments(x, y, mode, sq.Scores(), 50)
         assert total == sq.align_pair(x, y, mode, sq.Scores())[0] and found
+
+
+def test_fuzzy_alignment(spark):
+    from segmill.operators import word_alignment as wa
+
+    rows = [(1, "the house is small".split(), "das haus ist klein".split()), (2, "small is the house".split(), "das haus ist klein".split()), (3, "the big house".split(), "das haus".split()), (4, [], ["x"]), (5, ["x"], ["x"])]
+    lexicon = [("the", "das", 0.8), ("house", "haus", 0.9), ("is", "ist", 0.9), ("small", "klein", 0.7), ("NULL", "ist", 0.05), ("big", "haus", 0.05)]
+    bitext = spark.createDataFrame(rows, "row_ord long, source_segment array<string>, target_segment array<string>")
+    table = spark.createDataFrame(lexicon, "source string, target string, probability double")
+    found = {r.row_ord: {(p.source_index, p.target_index) for p in r.pairs} for r in wa.fuzzy_alignment(bitext, table).collect()}
+    assert found[1] == {(i, i) for i in range(4)} and found[5] == {(0, 0)} and 4 not in found
+    assert {(0, 0), (2, 1)} <= found[3] and {(2, 0), (3, 1)} <= found[2]
+
+
+def test_fuzzy_pairs_take_likelier_neighbours():
+    import numpy as np
+
+    from segmill.operators import word_alignment as wa
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, m = rng.integers(1, 7, 2)
+        p = rng.random((n + 1, m + 1)) * (rng.random((n + 1, m + 1)) < 0.5)
+        found = wa.fuzzy_pairs([f"s{i}" for i in range(n)], [f"t{j}" for j in range(m)], p)
+        assert all(0 <= i < n and 0 <= j < m for i, j in found)
+        certain = np.zeros((n + 1, m + 1))
+        certain[1:, 1:] = np.eye(n, m)
+        assert wa.fuzzy_pairs([f"s{i}" for i in range(n)], [f"t{j}" for j in range(m)], certain) >= {(i, i) for i in range(min(n, m))}
