@@ -31,13 +31,27 @@ NOTICES = {
     "eclipse public license": "epl",
     "creative commons": "cc",
     "isc license": "isc",
+    "permission to use copy modify and distribute this software": "isc",
+    "permission to use copy modify and or distribute this software": "isc",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "zlib license": "zlib",
+    "python software foundation license": "psf",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "server side public license": "sspl",
+    "open software license": "osl",
+    "academic free license": "afl",
+    "this is free and unencumbered software": "unlicense",
+    "do what the fuck you want to public license": "wtfpl",
+    "dedicated to the public domain": "public-domain",
     "released into the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
 TAG = "spdx license identifier"
 #: Families of identifiers, by their first part.
-FAMILIES = ("mit", "apache", "gpl", "lgpl", "agpl", "bsd", "mpl", "epl", "cc", "cc0", "isc", "unlicense", "zlib")
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "zlib", "unlicense", "cc0"}
+FAMILIES = ("mit", "apache", "gpl", "lgpl", "agpl", "bsd", "mpl", "epl", "cc", "cc0", "isc", "unlicense", "zlib", "bsl", "artistic", "psf", "cddl", "eupl", "sspl", "osl", "afl", "wtfpl")
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "zlib", "unlicense", "cc0", "bsl", "artistic", "psf", "afl", "wtfpl"}
 #: Bytes of words as they are, A-Z lower-cased, all others as a space.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 BINDING = {"or": 1, "and": 2, "with": 3}
