@@ -11,7 +11,7 @@ from segmill.llm.quality import OP8_SQL, op8_quality_rules
 from segmill.llm.secrets import op3_secret_scans
 from segmill.llm.sharding import op2_sharding
 from segmill.llm.simhash import op6_simhash_near_dedup
-from segmill.llm.substring_dedup import op4_substring_dedup
+from segmill.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mixing": OP1_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
 }

@@ -386,3 +386,16 @@ def _keep(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (
+  SELECT rid, doc_id, i, array_to_string(ws[i:i + 19], ' ') AS w FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+rep AS (SELECT rid, i FROM win QUALIFY rank() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, i) > 1),
+cov AS (SELECT DISTINCT rid, i + k AS j FROM rep, (SELECT unnest(range(20)) AS k)),
+word AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS j FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t FROM word ANTI JOIN cov USING (rid, j) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
