@@ -164,6 +164,8 @@ SIMILAR_BITS = 3
 COMMON_SHARE, COMMON = 16, 300_000
 #: Orders of leaders by key.
 VEILS = 4
+#: Classes of sizes differ by this factor.
+SIZE_STEP = 1.05
 #: Against rounding in bounds.
 SLACK = 1e-9
 
@@ -312,20 +314,25 @@ def _led(index: DataFrame, similarity: float) -> DataFrame:
 def _across(index: DataFrame, similarity: float) -> DataFrame:
     """a, b: all pairs of texts that share a key, are in different components and can be similar.
 
-    Components are paired first, so that no two texts of one component meet.
     Behind the first key that two texts share, no more are in common than the
     shorter rest has, so a pair that is similar passes that test there; keys at
-    which it fails make no row.
+    which it fails make no row.  For the larger text of a pair the test leaves
+    sizes from `similarity` times its own up to some bound, which falls the
+    further behind the key stands.  Texts meet by key and class of sizes, so those
+    of a crowded key that are too unlike never do.
     """
     together = Window.partitionBy("key")
     crowded = index.withColumns({"low": F.min("root").over(together), "high": F.max("root").over(together)}).filter("low != high").drop("low", "high")
     crowded = shared_table(crowded, "similar-crowded")
-    roots = crowded.select("key", "root").distinct()
-    couples = roots.withColumnRenamed("root", "r").join(roots.withColumnRenamed("root", "s"), "key").filter("r < s")
-    left = crowded.select("key", F.col("root").alias("r"), F.col("id").alias("i"), F.col("size").alias("x"), F.col("at").alias("p"))
-    right = crowded.select("key", F.col("root").alias("s"), F.col("id").alias("j"), F.col("size").alias("y"), F.col("at").alias("q"))
     x, y = F.col("x"), F.col("y")
-    met = couples.join(left, ["key", "r"]).join(right, ["key", "s"]).filter(_sizes_fit(x, y, similarity) & _enough(F.least(x - F.col("p"), y - F.col("q")), x, y, similarity))
+    of_size = lambda z: F.floor(F.log(F.greatest(z, F.lit(1.0))) / F.log(F.lit(SIZE_STEP))).cast("int")
+    larger = crowded.select("key", F.col("root").alias("r"), F.col("id").alias("i"), F.col("size").alias("x"), F.col("at").alias("p"))
+    most = F.least(x.cast("double"), (x - F.col("p")) * ((1 + similarity) / similarity) - x + SLACK)
+    larger = larger.withColumn("class", F.explode(F.sequence(of_size(x * similarity - SLACK), F.greatest(of_size(most), of_size(x * similarity - SLACK)))))
+    other = crowded.select("key", F.col("root").alias("s"), F.col("id").alias("j"), F.col("size").alias("y"), F.col("at").alias("q"), of_size(F.col("size")).alias("class"))
+    first = (y < x) | ((y == x) & (F.col("i") < F.col("j")))
+    fits = _sizes_fit(x, y, similarity) & _enough(F.least(x - F.col("p"), y - F.col("q")), x, y, similarity)
+    met = larger.join(other.hint("merge"), ["key", "class"]).filter((F.col("r") != F.col("s")) & first & fits)
     return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
