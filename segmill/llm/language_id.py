@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segmill.llm.common import documents, text_of
+from segmill.llm.common import documents, shared_table, text_of
 
 #: The sample of labelled rows that is learned from: so many rows of a language at most, and as many of
 #: these, whole, as fit so many bytes, a language and together.
 TRAIN_ROWS, TRAIN_BYTES_LANGUAGE, TRAIN_BYTES = 200, 40_000, 240_000
 #: The sample is found in so many parts of a language first.
 PARTS = 64
+#: Up to so many rows the sample's keys go to every task; with more, of some hundred languages, texts are joined by sorting.
+SAMPLE_ROWS = 100_000
 #: Texts that walk together, and the number below which the rest is finished one by one.
 LANES, FEW = 8192, 64
 #: What separates words: white space, digits, marks of ASCII and Latin-1, general, CJK and full-width punctuation.
@@ -179,7 +181,10 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, each: int = TRAIN_BYTES_LANGU
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key"))
     some = keys.withColumn("part", F.pmod("key", F.lit(PARTS))).withColumn("nth", first("lang", "part")).filter(F.col("nth") <= rows)
     some = some.withColumn("nth", first("lang")).filter(F.col("nth") <= rows).select("lang", "nth", "key")
+    some = shared_table(some, "language-keys")
+    some = some.hint("broadcast" if some.count() <= SAMPLE_ROWS else "merge")
     sample = labelled.withColumn("key", text).join(some, ["lang", "key"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+    sample = shared_table(sample, "language-sample")
     sizes = sample.select("lang", "nth", F.octet_length("text").alias("size")).collect()  # bounded, see above
     by_language: dict[str, list] = {}
     for row in sorted(sizes, key=lambda r: (r.lang, r.nth)):
