@@ -36,7 +36,7 @@ PARTS = 64
 #: Up to so many rows the sample's keys go to every task; with more, of some hundred languages, texts are joined by sorting.
 SAMPLE_ROWS = 100_000
 #: Texts that walk together, and the number below which the rest is finished one by one.
-LANES, FEW = 8192, 64
+LANES, FEW = 4096, 64
 #: What separates words: white space, digits, marks of ASCII and Latin-1, general, CJK and full-width punctuation.
 APART = re.compile("[\\s\\d!-/:-@\\[-`{-~\xa1-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]+")
 
@@ -102,7 +102,8 @@ class Parser:
         self.bits = np.log2(len(text) + 1)
 
     def strange(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        so_far = np.concatenate([[0], np.cumsum(self.code[flat] == 0)])
+        so_far = np.zeros(len(flat) + 1, np.int32)
+        np.cumsum(self.code[flat] == 0, dtype=np.int32, out=so_far[1:])
         return so_far[starts + sizes] - so_far[starts]
 
     def phrases(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
