@@ -5,6 +5,7 @@ from __future__ import annotations
 from segmill.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from segmill.llm.language_id import op5_language_id
 from segmill.llm.licenses import op10_license_scans
+from segmill.llm.merkle import OP11_SQL, op11_merkle_manifest
 from segmill.llm.mixing import OP1_SQL, op1_mixing
 from segmill.llm.packing import op9_packing
 from segmill.llm.quality import OP8_SQL, op8_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_license_scans": op10_license_scans,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op4_substring_dedup": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
