@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from segmill.llm.byte_bpe import op12_bpe_coding
 from segmill.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from segmill.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from segmill.llm.language_id import op5_language_id
 from segmill.llm.licenses import op10_license_scans
 from segmill.llm.merkle import OP11_SQL, op11_merkle_manifest
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_license_scans": op10_license_scans,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bpe_coding": op12_bpe_coding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -34,4 +38,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
