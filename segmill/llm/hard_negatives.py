@@ -264,7 +264,7 @@ def chunks_of(blocks: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 at = np.frombuffer(r["anchors"], "<i8")
                 if len(at):
-                    cells = np.frombuffer(r["vectors"], "<i8" if r["wide"] else "<i4").reshape(-1, r["dim"])[at]
+                    cells = np.frombuffer(r["vectors"], "<i8" if r["wide"] else "<i4").reshape(len(r["ids"]) // 8, r["dim"])[at]
                     n = len(at)
                     row = {"chunk": r["block"], "dim": r["dim"], "most": r["most"], "n": n, "windows": 1, "places": r["anchors"], "ids": np.frombuffer(r["ids"], "<i8")[at].tobytes(), "labels": np.frombuffer(r["labels"], "<i8")[at].tobytes(), "vectors": cells.astype("<i8").tobytes()}
                     yield pa.RecordBatch.from_pylist([row | {"least": np.full(n, -np.inf).tobytes(), "greatest": np.full(n, np.inf).tobytes(), "positives": b""}], CHUNK)

@@ -176,24 +176,24 @@ def roots(logs: Sequence[DataFrame], fanout: int = FANOUT, levels: int = LEVELS)
 
 def log_nodes(logs: Sequence[DataFrame], fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """Every node of the forest once: tree, position (in the tree's one postorder log), level, index, digest."""
-    width, schema, out = fanout**levels, "tree string, position long, level int, index long, digest string", None
+    schema, out = "tree string, position long, level int, index long, digest string", None
+    kinds = pa.schema([("tree", pa.string()), ("position", pa.int64()), ("level", pa.int32()), ("index", pa.int64()), ("digest", pa.string())])
 
     for turn, log in enumerate(logs):
 
         def nodes(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    digests, below = _unpacked(r["log"]), turn * levels
+                    digests, below, tall = _unpacked(r["log"]), turn * levels, height(r["total"], fanout)
                     rows = []
                     for level in range(1 if turn else 0, r["levels"] + 1):  # a leaf above the lowest builders is a root there
                         for k in range(-(-r["leaves"] // fanout**level)):
                             index = r["block"] * fanout ** (levels - level) + k
-                            rows.append((r["tree"], position(below + level, index, r["total"], r["tall"], fanout), below + level, index, digests[position(level, k, r["leaves"], r["levels"], fanout)]))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["tree", "position", "level", "index", "digest"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("tree", pa.string()), ("position", pa.int64()), ("level", pa.int32()), ("index", pa.int64()), ("digest", pa.string())]))
+                            rows.append((r["tree"], position(below + level, index, r["total"], tall, fanout), below + level, index, digests[position(level, k, r["leaves"], r["levels"], fanout)]))
+                    yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, x, strict=True)) for x in rows], kinds)
 
         counted = logs[0].groupBy("tree").agg(F.max("n").alias("total"))
-        tall = F.udf(lambda n: height(n, fanout), "int")
-        part = log.select("tree", "block", "leaves", "levels", "log").join(counted.withColumn("tall", tall("total")), "tree").mapInArrow(nodes, schema)
+        part = log.select("tree", "block", "leaves", "levels", "log").join(counted, "tree").mapInArrow(nodes, schema)
         out = part if out is None else out.unionAll(part)
     return out
 
