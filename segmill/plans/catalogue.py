@@ -20,7 +20,7 @@ from segmill.operators import sequences as sq
 from segmill.operators import statistics as st
 from segmill.operators import word_alignment as wa
 from segmill.plans.views import LINES_SQL, TURNS, TURNS_SQL, lines, table, turns
-from segmill.sources import usfm
+from segmill.sources import usfm, usfm_events, usfm_update
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -873,15 +873,57 @@ FROM v GROUP BY doc_id""",
 )
 def usfm_rewrite(spark, sf_dir):
     """Books with a new text for each verse that has one."""
-    tokens = usfm.tokenized(_books(spark, sf_dir)).withColumn("path", F.col("path"))
+    tokens = usfm.tokenized(_books(spark, sf_dir))
     # Books of one code: each is rewritten by its own verses, so the path stands in for the code.
     own = tokens.withColumn("data", F.when(F.col("type") == "book", F.col("path")).otherwise(F.col("data")))
     texts = usfm.located(own).where("type = 'text' AND verse <> '0'").select("book", "chapter", "verse", F.concat(F.lit("Verse "), F.length(F.trim("text"))).alias("text"))
-    rewritten = usfm.update_verses(own, texts)
+    rewritten = usfm_update.update_text(own, texts, text="new")
     named = rewritten.withColumn("data", F.when(F.col("type") == "book", F.lit("GEN")).otherwise(F.col("data")))
     return usfm.to_text(named)
 
 
+def _headed_books(spark, sf_dir):
+    """Each document as a book with a heading and a paragraph before every third line's verse, and a note in each; the path is the book's code."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(joined("segment"), "[^A-Za-z0-9., ]", ""), " +", " "))
+    n = F.col("line") + 1
+    line = F.concat(F.when(n % 3 == 1, F.concat(F.lit("\\s Part "), n, F.lit("\r\n\\p\r\n"))).otherwise(""), F.lit("\\v "), n, F.lit(" "), text, F.lit(" \\f + \\ft N "), n, F.lit("\\f*"))
+    verses = lines(spark, sf_dir).df.select("doc_id", F.struct(F.col("line").cast("int").alias("line"), line.alias("t")).alias("v"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["t"]), "\r\n")
+    code = F.col("doc_id").cast("string")
+    return verses.groupBy("doc_id").agg(body.alias("body")).select(code.alias("path"), F.concat(F.lit("\\id "), code, F.lit("\r\n\\c 1\r\n"), "body", F.lit("\r\n")).alias("content"))
+
+
+@query(
+    "usfm_rows",
+    f"""{BOOK_SQL}
+SELECT doc_id::VARCHAR AS path, n::VARCHAR AS verse, '' AS part, 'verse' AS kind, t AS text FROM v
+UNION ALL SELECT doc_id::VARCHAR, (n - 1)::VARCHAR, CASE WHEN n = 1 THEN '1:s' ELSE '2:s' END, 'other', 'Part ' || n FROM v WHERE n % 3 = 1
+UNION ALL SELECT doc_id::VARCHAR, '0', '2:p', 'other', '' FROM v WHERE n = 1""",
+)
+def usfm_rows(spark, sf_dir):
+    """Verses and headings of books, by the events of their marks; notes are in neither, but count as elements of a verse."""
+    rows = usfm_events.text_rows(usfm_events.placed(usfm.tokenized(_headed_books(spark, sf_dir))))
+    return rows.select("path", "verse", "part", "kind", "text")
+
+
+@query(
+    "usfm_blocks",
+    f"""{BOOK_SQL}
+SELECT doc_id::VARCHAR AS path, '\\id ' || doc_id || chr(13) || chr(10) || '\\c 1' || chr(13) || chr(10)
+       || string_agg(CASE WHEN n % 3 = 1 THEN '\\s ' || CASE WHEN n % 6 = 1 THEN 'New part ' ELSE 'Part ' END || n || chr(13) || chr(10) || '\\p' || chr(13) || chr(10) ELSE '' END
+                     || '\\v ' || n || ' ' || CASE WHEN n % 2 = 0 THEN 'New ' || n || ' ' WHEN t <> '' THEN t || ' ' ELSE '' END || '\\f + \\ft N ' || n || '\\f*', chr(13) || chr(10) ORDER BY n) || chr(13) || chr(10) AS content
+FROM v GROUP BY doc_id""",
+)
+def usfm_blocks(spark, sf_dir):
+    """Books with new texts in some verses and headings, block by block; notes stay."""
+    tokens = usfm.tokenized(_headed_books(spark, sf_dir))
+    n = F.col("line") + 1
+    made = lines(spark, sf_dir).df.select(F.col("doc_id").cast("string").alias("book"), F.lit(1).alias("chapter"), n.alias("n"))
+    verses = made.where("n % 2 = 0").select("book", "chapter", F.col("n").cast("string").alias("verse"), F.lit("").alias("part"), F.concat(F.lit("New "), "n").alias("text"))
+    headings = made.where("n % 6 = 1").select("book", "chapter", (F.col("n") - 1).cast("string").alias("verse"), F.when(F.col("n") == 1, "1:s").otherwise("2:s").alias("part"), F.concat(F.lit("New part "), "n").alias("text"))
+    return usfm.to_text(usfm_update.update_text(tokens, verses.unionByName(headings), text="new"))
+
+
 # --- quotation marks ---------------------------------------------------------------------
 
 

@@ -104,10 +104,11 @@ def test_rewriting(spark, source, target, text, want, how):
 
 
 def test_segments_of_books(spark):
-    from segmill.sources.markup import usfm_rows
+    from segmill.sources import usfm as tokens_of
+    from segmill.sources.usfm_events import placed, text_rows
 
     usfm = "\\id MAT\r\n\\c 1\r\n\\s Head “x\r\n\\p\r\n\\v 1 He said, “Go\r\n\\v 2 and stay.”\r\n\\p\r\n\\v 3 “New”\r\n"
-    books = spark.createDataFrame(usfm_rows(usfm), "book string, chapter int, verse string, position int, style string, text string")
+    books = text_rows(placed(tokens_of.tokenized(spark.createDataFrame([("x", usfm)], "path string, content string")))).where("kind = 'verse'")
     rows = qr.segments(books)
     assert [(r["verse"], r["text"]) for r in rows.orderBy("ord").collect()] == [("1", "He said, “Go"), ("2", "and stay.”"), ("3", "“New”")]
     own = qr.Conventions(["standard_english"])

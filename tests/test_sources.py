@@ -10,6 +10,7 @@ from segmill.operators import sequences as sq
 from segmill.operators import statistics as st
 from segmill.operators import word_alignment as wa
 from segmill.sources import files, markup
+from segmill.sources import books as books_of
 
 USFM = r"""\id MAT a test
 \h Matthew
@@ -55,7 +56,7 @@ def test_records(spark, tmp_path):
 
 def test_usfm_usx_and_zip(spark, tmp_path):
     (tmp_path / "41MAT.SFM").write_text(USFM, encoding="utf-8")
-    corpus = markup.verse_corpus(markup.read_books(spark, str(tmp_path)))
+    corpus = markup.verse_corpus(books_of.read_books(spark, str(tmp_path)))
     rows = sorted(corpus.df.collect(), key=lambda r: r.row_ord)
     assert [(r.ref, r.segment, r.in_range, r.range_start) for r in rows] == [
         (40001001, ["First verse, with a style."], False, False), (40001002, ["A bridge goes on"], True, True), (40001003, [], True, False), (40002001, ["Next chapter"], False, False), (40002002, [], False, False),
@@ -68,13 +69,13 @@ def test_usfm_usx_and_zip(spark, tmp_path):
         z.writestr("metadata.xml", "<x/>")
     (tmp_path / "zips").mkdir()
     (tmp_path / "zips" / "b.zip").write_bytes(held.getvalue())
-    found = markup.verse_corpus(markup.read_books(spark, str(tmp_path / "zips"))).df.orderBy("ref").collect()
+    found = markup.verse_corpus(books_of.read_books(spark, str(tmp_path / "zips"))).df.orderBy("ref").collect()
     assert [(r.ref, r.segment) for r in found] == [(41001001, ["One two"]), (41001002, ["Three"])]
 
 
 def test_rewrite_and_write_usfm(spark, tmp_path):
     (tmp_path / "41MAT.SFM").write_text(USFM, encoding="utf-8")
-    books = markup.read_books(spark, str(tmp_path)).cache()
+    books = books_of.read_books(spark, str(tmp_path)).cache()
     updates = spark.createDataFrame([("MAT", 1, "1", "New one."), ("MAT", 2, "2", "Filled.")], "book string, chapter int, verse string, text string")
     text = markup.to_usfm(markup.rewrite_verses(books, updates)).first().usfm
     assert text == "\\id MAT\r\n\\c 1\r\n\\p\r\n\\v 1 New one.\r\n\\v 2-3 A bridge goes on\r\n\\c 2\r\n\\p\r\n\\v 1 Next chapter\r\n\\v 2 Filled.\r\n"
