@@ -12,6 +12,7 @@ from segmill.functions import characters as ch
 from segmill.functions import text as tx
 from segmill.functions import tokens as tk
 from segmill.operators import align as al
+from segmill.operators import boundaries
 from segmill.operators import quote_resolution as qr
 from segmill.operators import quotes as qu
 from segmill.operators import rows as ro
@@ -21,6 +22,7 @@ from segmill.operators import statistics as st
 from segmill.operators import word_alignment as wa
 from segmill.plans.views import LINES_SQL, TURNS, TURNS_SQL, lines, table, turns
 from segmill.sources import usfm, usfm_events, usfm_update
+from segmill.sources import usfm_markers as markers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -924,6 +926,45 @@ def usfm_blocks(spark, sf_dir):
     return usfm.to_text(usfm_update.update_text(tokens, verses.unionByName(headings), text="new"))
 
 
+@query(
+    "usfm_markers",
+    f"""{BOOK_SQL}, w AS (SELECT doc_id, n, list_filter(string_split(t, ' '), lambda x: x <> '') AS ws FROM v), k AS (SELECT *, (len(ws) + 1) // 2 AS h FROM w),
+m AS (SELECT doc_id, n, rtrim('\\v ' || n || ' ' || array_to_string(list_transform(ws[:h], lambda x: 'w' || length(x)), ' ')
+       || CASE WHEN len(ws) > h THEN ' \\nd ' || array_to_string(list_transform(ws[h + 1:], lambda x: 'w' || length(x)), ' ') || '\\nd*' ELSE '' END) AS verse FROM k)
+SELECT doc_id::VARCHAR AS path, '\\id ' || doc_id || chr(13) || chr(10) || '\\c 1' || chr(13) || chr(10) || string_agg(verse, chr(13) || chr(10) ORDER BY n) || chr(13) || chr(10) AS content FROM m GROUP BY doc_id""",
+)
+def usfm_markers(spark, sf_dir):
+    """Books of a verse for each line, whose second half has a style; each new text has a word for a word, and the style goes along."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(joined("segment"), "[^A-Za-z0-9., ]", ""), " +", " "))
+    words = F.filter(F.split(text, " "), lambda x: x != "")
+    made = lines(spark, sf_dir).df.select(F.col("doc_id").cast("string").alias("book"), (F.col("line") + 1).cast("int").alias("n"), words.alias("ws")).withColumn("h", F.floor((F.size("ws") + 1) / 2).cast("int"))
+    rest = F.slice("ws", F.col("h") + 1, F.size("ws"))
+    body = F.concat(F.lit("\\v "), "n", F.lit(" "), F.array_join(F.slice("ws", F.lit(1), F.col("h")), " "), F.when(F.size(rest) > 0, F.concat(F.lit(" \\nd "), F.array_join(rest, " "), F.lit("\\nd*"))).otherwise(""))
+    verses = made.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", body.alias("t")))), lambda v: v["t"]), "\r\n").alias("body"))
+    books = verses.select(F.col("book").alias("path"), F.concat(F.lit("\\id "), "book", F.lit("\r\n\\c 1\r\n"), "body", F.lit("\r\n")).alias("content"))
+    new = F.transform("ws", lambda x: F.concat(F.lit("w"), F.length(x)))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.struct(i.alias("source"), i.alias("target")))
+    updates = made.where(F.size("ws") > 0).select("book", F.lit(1).alias("chapter"), F.col("n").cast("string").alias("verse"), F.array_join(new, " ").alias("text"), F.struct(F.col("ws").alias("source"), new.alias("target"), pairs.alias("pairs")).alias("info"))
+    return usfm.to_text(usfm_update.update_text(usfm.tokenized(books), updates, text="new", characters="preserve", handlers=[markers.place_markers]))
+
+
+@query(
+    "segment_boundaries",
+    f"""WITH RECURSIVE {LINES_SQL}, s AS (SELECT doc_id, list(lower(regexp_replace(line_text, '[^A-Za-z0-9., ]', '', 'g')) ORDER BY line) AS a FROM lines GROUP BY doc_id),
+r AS (SELECT doc_id, a, 1 AS i, a[1] AS cur, []::VARCHAR[] AS done FROM s
+      UNION ALL SELECT doc_id, a, i + 1,
+          a[i + 1][length(regexp_extract(a[i + 1], '^[ ,.]*')) + length(regexp_extract(a[i + 1][length(regexp_extract(a[i + 1], '^[ ,.]*')) + 1:], '^[a-z][A-Za-z0-9_]+(\\s+[A-Za-z0-9_]+)?(\\s+[A-Za-z0-9_]+)?[.,]\\s*')) + 1:],
+          list_append(done, cur || regexp_extract(a[i + 1], '^[ ,.]*') || regexp_extract(a[i + 1][length(regexp_extract(a[i + 1], '^[ ,.]*')) + 1:], '^[a-z][A-Za-z0-9_]+(\\s+[A-Za-z0-9_]+)?(\\s+[A-Za-z0-9_]+)?[.,]\\s*'))
+      FROM r WHERE i < len(a))
+SELECT doc_id, array_to_string(list_append(done, cur), '|') AS segments FROM r WHERE i = len(a)""",
+)
+def segment_boundaries(spark, sf_dir):
+    """The lines of a document as segments in a row whose boundaries move to the end of a clause; capital letters are made small first."""
+    text = F.lower(F.regexp_replace(joined("segment"), "[^A-Za-z0-9., ]", ""))
+    held = lines(spark, sf_dir).df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", text.alias("t")))), lambda x: x["t"]).alias("a"))
+    return held.select("doc_id", F.array_join(boundaries.moved_all(F.col("a")), "|").alias("segments"))
+
+
 # --- quotation marks ---------------------------------------------------------------------
 
 
