@@ -269,59 +269,62 @@ def extract_phrases(rows: DataFrame, longest: int = 10) -> DataFrame:
 SCALE, ALPHA, REACH = 100_000, 0.2, 3
 
 
-class _WordScores:
-    """Moves of an alignment of two segments by the probabilities of their words; row and column 0 stand for no word."""
+class _StepTables:
+    """Scores of every step (source words, target words) of an alignment by its end, as one table a step."""
 
     def __init__(self, same: np.ndarray, p: np.ndarray):
-        self.words, self.p = np.where(same, 1.0, p[1:, 1:]), p
+        pair = np.pad(np.trunc(np.where(same, 1.0, p[1:, 1:]) * SCALE), ((1, 0), (1, 0)))
+        alone = np.trunc(p * SCALE) - SCALE // 10
+        beside = lambda rows, columns: (np.roll(pair, (rows[0], columns[0]), (0, 1)) + np.roll(pair, (rows[1], columns[1]), (0, 1))) // 2
+        shape = pair.shape
+        self.tables = {
+            (1, 1): pair,
+            (0, 1): np.broadcast_to(alone[:1, :], shape),
+            (1, 2): beside((0, 0), (1, 0)),
+            (1, 0): np.broadcast_to(alone[:, :1], shape),
+            (2, 1): beside((1, 0), (0, 0)),
+            (2, 2): beside((1, 0), (0, 1)),
+        }
 
     def moves(self, x: list, y: list, i: int, j: int):
-        one = lambda a, b: int(self.words[a, b] * SCALE)
-        if i and j:
-            yield 1, 1, one(i - 1, j - 1)
-        if j:
-            yield 0, 1, int(self.p[0, j] * SCALE) - SCALE // 10
-        if i and j > 1:
-            yield 1, 2, (one(i - 1, j - 2) + one(i - 1, j - 1)) // 2
-        if i:
-            yield 1, 0, int(self.p[i, 0] * SCALE) - SCALE // 10
-        if i > 1 and j:
-            yield 2, 1, (one(i - 2, j - 1) + one(i - 1, j - 1)) // 2
-        if i > 1 and j > 1:
-            yield 2, 2, (one(i - 2, j - 1) + one(i - 1, j - 2)) // 2
+        for (rows, columns), table in self.tables.items():
+            if i >= rows and j >= columns:
+                yield rows, columns, int(table[i, j])
 
 
 def fuzzy_pairs(source: list[str], target: list[str], p: np.ndarray) -> set[tuple[int, int]]:
     """(i, j) of words that belong together: where the best alignment has them, unless a near word is likelier.
 
-    p has the probability of each pair, with a row and a column 0 for no word.
-    What is chosen is the best of probability and nearness to the alignment.
+    p has the probability of each pair, with a row and a column 0 for no word.  An
+    alignment gives each target word a gap or a span of source words; all scores of words
+    around them, of probability and nearness, are one matrix, of which each column's greatest counts if it beats
+    the span's own.  Among equals the nearest before the span wins, then the nearest behind it.
     """
     n, m = len(source), len(target)
     same = np.array(source, object)[:, None] == np.array(target, object)[None, :]
-    log = lambda v: math.log(v) if v > 0 else -999999999.0
-    rate = lambda v, far: log(v) * ALPHA + log(1 - far) * (1 - ALPHA)
-    apart = lambda a, b: 0.1 if n == 1 else min(1.0, abs(a - b) / (n - 1))
-    found, at = set(), 0
-    _, (columns, *_) = best_alignments(list(range(n)), list(range(m)), "global", _WordScores(same, p), 1)
-    for left, right in columns:
-        own, words = ([int(v) for v in side.split()] for side in (left, right))
-        for j in words:
-            if own:
-                best, low, high = rate(np.mean([p[i + 1, j + 1] for i in own]), 0), own[0] - 1, own[-1] + 1
-            else:
-                best, low, high = rate(p[0, j + 1], 0), at, at + 1
-            chosen = -1
-            near = [(i, low + 1) for i in range(low, max(0, low - REACH) - 1, -1)] + [(i, high - 1) for i in range(high, min(n, high + REACH))]
-            for i, middle in near:
-                if 0 <= i < n and (value := rate(p[i + 1, j + 1], apart(i, middle))) > best:
-                    best, chosen = value, i
-            if chosen >= 0:
-                found.add((chosen, j))
-            elif own:
-                found |= {(low + 1, j), (high - 1, j)}
-        at = own[-1] if own else at
-    return found
+    _, (columns, *_) = best_alignments(list(range(n)), list(range(m)), "global", _StepTables(same, p), 1)
+    spans = [tuple([int(v) for v in side.split()] for side in (left, right)) for left, right in columns]
+    first, last, own = np.zeros(m, int), np.zeros(m, int), np.zeros(m)
+    gap = np.zeros(m, bool)
+    at = 0
+    for words, targets in spans:
+        for j in targets:  # a gap lies between the last word and the next
+            first[j], last[j], gap[j] = (words[0], words[-1], False) if words else (at + 1, at, True)
+            own[j] = p[[i + 1 for i in words], j + 1].mean() if words else p[0, j + 1]
+        at = words[-1] if words else at
+    log = lambda v: np.where(v > 0, np.log(np.maximum(v, 1e-300)), -999999999.0)
+    i = np.arange(n)[:, None]
+    before, behind = first - i, i - last  # steps from the span
+    band = ((before >= 1) & (before <= REACH + 1)) | ((behind >= 1) & (behind <= REACH))
+    far = np.full((n, m), 0.1) if n == 1 else np.minimum(1.0, np.where(before >= 1, before, behind) / (n - 1))
+    score = np.where(band, ALPHA * log(p[1:, 1:]) + (1 - ALPHA) * log(1 - far), -np.inf)
+    rank = np.where(before >= 1, before, REACH + 1 + behind)
+    best = score.max(0)
+    chosen = np.where(score == best, rank, n + 3 * REACH).argmin(0)
+    better = best > ALPHA * log(own)
+    found = {(int(chosen[j]), int(j)) for j in np.flatnonzero(better)}
+    rest = np.flatnonzero(~better & ~gap)
+    return found | {(int(k), int(j)) for j in rest for k in (first[j], last[j])}
 
 
 def fuzzy_alignment(bitext: DataFrame, lexicon: DataFrame, key: str = "row_ord") -> DataFrame:
