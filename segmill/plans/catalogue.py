@@ -20,6 +20,7 @@ from segmill.operators import scripture as sc
 from segmill.operators import sequences as sq
 from segmill.operators import statistics as st
 from segmill.operators import word_alignment as wa
+from segmill.operators import word_graphs as wg
 from segmill.plans.views import LINES_SQL, TURNS, TURNS_SQL, lines, table, turns
 from segmill.sources import usfm, usfm_events, usfm_update
 from segmill.sources import usfm_markers as markers
@@ -965,6 +966,25 @@ def segment_boundaries(spark, sf_dir):
     return held.select("doc_id", F.array_join(boundaries.moved_all(F.col("a")), "|").alias("segments"))
 
 
+@query(
+    "prefix_completions",
+    f"""WITH {LINES_SQL}, w AS (SELECT doc_id, line, list_filter(string_split(line_text, ' '), lambda x: x <> '') AS ws FROM lines),
+p AS (SELECT *, least(len(ws), 8) AS k, list_transform(ws, lambda x, i: CASE WHEN i <= 8 AND i % 4 = 0 THEN 'x' || x ELSE x END) AS t FROM w)
+SELECT doc_id, line, array_to_string(t, ' ') AS text, k AS n_both, round(-(len(ws) + k // 4) + k * ln(0.8), 3) AS score FROM p""",
+)
+def prefix_completions(spark, sf_dir):
+    """Each line as a graph with a dearer word beside every one, completed behind a prefix that has every fourth of those."""
+    words = F.filter(F.split("segment_text", " "), lambda x: x != "")
+    made = lines(spark, sf_dir).df.select("doc_id", F.col("line").cast("int").alias("line"), joined("segment").alias("segment_text")).withColumn("ws", words)
+    arc = lambda i, word, score: F.struct(i.cast("int").alias("prev"), (i + 1).cast("int").alias("next"), F.lit(score).alias("score"), F.array(word).alias("words"), F.array(F.lit(0.5)).alias("confidences"), i.cast("int").alias("source_start"), (i + 1).cast("int").alias("source_end"))
+    arcs = F.flatten(F.transform("ws", lambda x, i: F.array(arc(i, x, -1.0), arc(i, F.concat(F.lit("x"), x), -2.0)))).cast(wg.ARCS)
+    prefix = F.transform(F.slice("ws", 1, 8), lambda x, i: F.when(i % 4 == 3, F.concat(F.lit("x"), x)).otherwise(x))
+    graphs = made.select("doc_id", "line", arcs.alias("arcs"), F.array(F.size("ws")).alias("finals"), prefix.alias("prefix"), F.lit(True).alias("complete"))
+    best = wg.completions(graphs).select("doc_id", "line", F.get("completions", 0).alias("c"))
+    both = F.size(F.filter("c.tokens", lambda t: t["origin"] == "both"))
+    return best.select("doc_id", "line", F.array_join(F.transform("c.tokens", lambda t: t["token"]), " ").alias("text"), both.alias("n_both"), F.round("c.score", 3).alias("score"))
+
+
 # --- quotation marks ---------------------------------------------------------------------
 
 
