@@ -22,7 +22,7 @@ from segmill.operators import statistics as st
 from segmill.operators import word_alignment as wa
 from segmill.operators import word_graphs as wg
 from segmill.plans.views import LINES_SQL, TURNS, TURNS_SQL, lines, table, turns
-from segmill.sources import usfm, usfm_events, usfm_update
+from segmill.sources import usfm, usfm_analysis, usfm_events, usfm_update
 from segmill.sources import usfm_markers as markers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -985,6 +985,22 @@ def prefix_completions(spark, sf_dir):
     return best.select("doc_id", "line", F.array_join(F.transform("c.tokens", lambda t: t["token"]), " ").alias("text"), both.alias("n_both"), F.round("c.score", 3).alias("score"))
 
 
+@query(
+    "usfm_diagnostics",
+    f"""{BOOK_SQL}, c AS (SELECT doc_id, max(n) AS n FROM v GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS path, 'missing' AS kind, CASE WHEN n < 4 THEN 'GEN 1:4-5' ELSE 'GEN 1:5' END AS reference, (n + 3)::VARCHAR AS lines, CASE WHEN n < 4 THEN 2 ELSE 1 END AS affected FROM c WHERE n < 5
+UNION ALL SELECT doc_id::VARCHAR, 'missing', 'GEN 1:2', '4', 1 FROM c WHERE n < 2
+UNION ALL SELECT doc_id::VARCHAR, 'extra', 'GEN 1:3', '6', 1 FROM c WHERE n >= 3
+UNION ALL SELECT doc_id::VARCHAR, 'extra', CASE WHEN n = 6 THEN 'GEN 1:6' ELSE 'GEN 1:6-' || n END, array_to_string(range(9, n + 4), ','), (n - 5)::INTEGER FROM c WHERE n >= 6
+UNION ALL SELECT doc_id::VARCHAR, 'incorrect_segment', 'GEN 1:2', '5', 1 FROM c WHERE n >= 2""",
+)
+def usfm_diagnostics(spark, sf_dir):
+    """Books of a verse for each line, by a versification of five verses of which one is excluded and one has segments."""
+    vrs = sc.parse_versification("GEN 1:5\n-GEN 1:3\n*GEN 1:2,-,a,b\n", "made")
+    found = usfm_analysis.analyse(usfm.tokenized(_books(spark, sf_dir)), vrs)
+    return found.withColumn("lines", F.array_join(F.transform("lines", lambda n: n.cast("string")), ","))
+
+
 # --- quotation marks ---------------------------------------------------------------------
 
 
