@@ -4,12 +4,15 @@ Base spans come from three patterns.  The method looks at every other token
 that could be encoded bytes: its alphabet is inferred (hex, base32, base64),
 and its symbols are tested against what random bytes would give: chi-squared
 for uniform use of the alphabet, runs above and below its middle, and serial
-correlation.  The least of the three p-values, corrected for being that, is the
-token's.  Random tokens have every p alike often, structured ones small ones.
+correlation.  The least of the three nominal p-values is the token's score.  In
+short tokens it is far from evenly spread, as counts are whole numbers and the
+three depend on each other, so it is ranked among the scores of random tokens of
+the same encoding and length, which are drawn from a hash for each length met.
+Random tokens have every rank alike often, structured ones small ones.
 
 Short tokens tell less, so a bound for all would let words through or lose keys.
 Tokens are therefore judged among those of their encoding and class of lengths,
-over all documents: p-values are counted in fixed bins, those above a half give
+over all documents: ranks are counted in fixed bins, those above a half give
 the number of random tokens in a class, and the bound is the least that keeps
 the share of others among the reported within the rate.
 
@@ -19,6 +22,8 @@ once and only spans and test results go on.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +40,13 @@ KINDS = ("assign", "access", "hex", "random")
 RATE = 0.05
 #: Classes of lengths start here.
 LENGTHS = (20, 32, 64)
-#: p-values are counted in so many bins; from the middle one on they are taken for random tokens.
+#: Ranks are counted in so many bins; from the middle one on they are taken for random tokens.
 BINS = 100
+#: Random tokens drawn for each encoding and length met; shares near a half then err by 0.005.
+DRAWS = 10_000
+#: Lengths are told apart one by one from SHORTEST to EACH_LENGTH, then in eighths of a doubling to LAST_LENGTH, beyond
+#: which scores hardly change any more.
+SHORTEST, EACH_LENGTH, LAST_LENGTH = 16, 64, 256
 #: Alphabet and pattern of each encoding, the first that fits is inferred.  Hex in capitals is lower-cased first.
 ENCODINGS = {
     "hex": ("0123456789abcdef", r"^([0-9a-f]+|[0-9A-F]+)$"),
@@ -99,7 +109,7 @@ def battery(tokens: Column) -> Column:
     """Adds the tests' results to an array of struct<start, end, found>.
 
     Gives struct<start, end, kind (number of the encoding), n, chi2, z_runs,
-    z_serial, p>.  Padding (=) is no symbol; - and _ stand for + and /.  Means and
+    z_serial, p (nominal: of the least of three normal tails)>.  Padding (=) is no symbol; - and _ stand for + and /.  Means and
     variances are those of n symbols drawn alike: of chi-squared k - 1 and
     2 (k - 1) (n - 1) / n, of the runs given how many symbols are high, of the
     serial correlation -1 / n and 1 / n.  Chi-squared counts where it is too
@@ -114,7 +124,7 @@ def battery(tokens: Column) -> Column:
     kind = lambda x: F.when(x.rlike(ENCODINGS["hex"][1]), 0).when(x.rlike(ENCODINGS["base32"][1]), 1).otherwise(2)
     plain = lambda x: F.translate(F.when(x.rlike("^[0-9A-F]+$"), F.lower(x)).otherwise(x), "-_=", "+/")
     first = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), plain(x["found"]).alias("found")))
-    first = F.transform(F.filter(first, lambda x: F.length(x["found"]) >= LENGTHS[0] - 4), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), kind(x["found"]).alias("kind")))
+    first = F.transform(F.filter(first, lambda x: F.length(x["found"]) >= SHORTEST), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), kind(x["found"]).alias("kind")))
     second = F.transform(
         first,
         lambda x: F.struct(
@@ -165,8 +175,66 @@ def _class(x: Column) -> Column:
     return x["kind"] * len(LENGTHS) + sum((F.when(x["n"] >= at, 1).otherwise(0) for at in LENGTHS[1:]), F.lit(0))
 
 
-def _bin(p: Column) -> Column:
-    return F.least(F.lit(BINS - 1), F.floor(p * BINS)).cast("int")
+def cell_of(kind: Column, n: Column) -> Column:
+    """The number of an encoding and a length; n is a count of symbols from SHORTEST on."""
+    length = F.when(n <= EACH_LENGTH, n - SHORTEST)
+    at, cells = EACH_LENGTH, EACH_LENGTH - SHORTEST
+    while at < LAST_LENGTH:
+        length = length.when(n < 2 * at, cells + F.floor((n - at) * 8 / at))
+        at, cells = 2 * at, cells + 8
+    return (kind * (cells + 1) + length.otherwise(cells)).cast("int")
+
+
+def lengths_of_cells() -> list[int]:
+    """The length that random tokens of each cell are drawn with, the same for all encodings."""
+    found, at = list(range(SHORTEST, EACH_LENGTH)), EACH_LENGTH
+    while at < LAST_LENGTH:
+        found += [at + i * at // 8 for i in range(8)]
+        at *= 2
+    return [*found, LAST_LENGTH]
+
+
+def level(p: Column, *ties: Column) -> Column:
+    """A nominal p, told apart from equal ones by a hash: a test of few outcomes then has even ranks, too."""
+    return F.round(p, 9) + F.pmod(F.xxhash64(*ties), F.lit(1 << 20)) * (1e-9 / (1 << 20))
+
+
+def null_edges(cells: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """cell, edges: of random tokens of each of the given cells (cell, distinct), the levels between bins.
+
+    A hash of the draw's number gives 64 even symbols at a time; as alphabets have
+    a power of two of them, folding 64 into fewer keeps them even.
+    """
+    lengths, wide = lengths_of_cells(), ENCODINGS["base64"][0]
+    part = 100
+    spread = cells.select("cell", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // part) - 1))).alias("part")).repartition(cells.sparkSession.sparkContext.defaultParallelism, "cell", "part")
+    each = spread.select("cell", F.explode(F.sequence(F.col("part") * part, F.least(F.lit(draws), (F.col("part") + 1) * part) - 1)).alias("draw"))
+    symbols = F.concat(*[F.base64(F.unhex(F.sha2(F.concat_ws(" ", "cell", "draw", F.lit(i)), 384))) for i in range(LAST_LENGTH // 64)])
+    kind = F.floor(F.col("cell") / len(lengths))
+    narrow = F.lit(wide)
+    for i, (alphabet, _) in enumerate(ENCODINGS.values()):
+        narrow = F.when(kind == i, F.lit(alphabet * (len(wide) // len(alphabet)))).otherwise(narrow)
+    length = F.element_at(F.array(*map(F.lit, lengths)), F.pmod("cell", F.lit(len(lengths))).cast("int") + 1)
+    drawn = each.withColumn("token", F.left(F.call_function("translate", symbols, F.lit(wide), narrow), length))
+    one = F.get(battery(F.array(F.struct(F.lit(0).alias("start"), length.alias("end"), F.col("token").alias("found")))), 0)
+    # A token may by chance look like one of a smaller alphabet; it is then no token of this cell.
+    scored = drawn.withColumn("t", one).where(cell_of(F.col("t.kind"), F.col("t.n")) == F.col("cell")).select("cell", level(F.col("t.p"), F.col("cell"), F.col("draw")).alias("level"))
+    return scored.groupBy("cell").agg(F.percentile("level", [i / BINS for i in range(1, BINS)]).alias("edges"))
+
+
+def edges_of(found: DataFrame) -> Column:
+    """array by cell of the edges of bins, a constant: cells are less than 200."""
+    cells = found.select(F.explode("tests").alias("t")).select(cell_of(F.col("t.kind"), F.col("t.n")).alias("cell")).distinct()
+    got = {r["cell"]: r["edges"] for r in null_edges(cells).collect()}  # a row a cell
+    return F.from_json(F.lit(json.dumps([got.get(i, []) for i in range(len(ENCODINGS) * len(lengths_of_cells()))])), "array<array<double>>")
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """tested() with class and bin of each token in place of its tests' results."""
+    edges = edges_of(found)
+    own = lambda x: level(x["p"], F.col("doc_id"), x["start"], x["end"])
+    place = lambda x: F.aggregate(F.get(edges, cell_of(x["kind"], x["n"])), F.struct(F.lit(0).alias("bin"), own(x).alias("at")), lambda s, e: F.struct((s["bin"] + (e < s["at"]).cast("int")).alias("bin"), s["at"].alias("at")))["bin"]
+    return found.withColumn("tests", F.transform("tests", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _class(x).alias("class"), place(x).alias("bin"))))
 
 
 def thresholds(tests: DataFrame, rate: float = RATE) -> dict[int, int]:
@@ -174,6 +242,7 @@ def thresholds(tests: DataFrame, rate: float = RATE) -> dict[int, int]:
 
     tests: class, bin.  Random tokens fill bins evenly, so twice those above a
     half are random; what else stands above a bound should be within the rate.
+    That holds for the expected numbers: the fewer tokens, the wider chance strays.
     """
     above = Window.partitionBy("class").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = tests.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))  # classes times bins rows at most
@@ -194,10 +263,9 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     each of their tokens counts as a test.  An empty table gives an empty one.
     Other columns of docs are not looked at.
     """
-    found = tested(docs)
-    one = F.col("t")
-    passed = thresholds(found.select(F.explode("tests").alias("t")).select(_class(one).alias("class"), _bin(one["p"]).alias("bin")), rate)
-    chosen = F.filter("tests", lambda x: _bin(x["p"]) >= _limit(_class(x), passed))
+    found = ranked(tested(docs))
+    passed = thresholds(found.select(F.explode("tests").alias("t")).select("t.class", "t.bin"), rate)
+    chosen = F.filter("tests", lambda x: x["bin"] >= _limit(x["class"], passed))
     return found.select("doc_id", "base", chosen.alias("random"))
 
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from segmill.llm import exact_dedup, language_id, licenses, mixing, packing, quality, secrets, sharding, simhash, substring_dedup
 from segmill.llm.common import n_words_of, text_of
@@ -174,20 +175,60 @@ def blanked(text):
     return text
 
 
-def random_spans_by_hand(texts, rate=secrets.RATE):
-    """All of it again: tokens, battery, and the bound of each class."""
-    tests = [(i, m.start(), m.end(), found) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", blanked(t or "")) if (found := battery_by_hand(m[0]))]
-    cell = lambda f: (f[0], sum(f[1] >= x for x in secrets.LENGTHS[1:]))
-    bins = lambda f: min(secrets.BINS - 1, int(f[5] * secrets.BINS))
+def bins_by_hand(spark, docs):
+    """(doc_id, start, end): (class, bin) from the nominal p of tested(), the edges of its cells and the hash of ties."""
+    found = secrets.tested(docs)
+    edges = take(found.select(secrets.edges_of(found).alias("e")).limit(1))[0]["e"]
+    lengths, out = secrets.lengths_of_cells(), {}
+    for r in take(found):
+        for x in r["tests"]:
+            h = 42
+            for v, width in ((r["doc_id"], 8), (x["start"], 4), (x["end"], 4)):
+                h = xxhash.xxh64_intdigest(v.to_bytes(width, "little"), h)
+            at = round(x["p"], 9) + h % (1 << 20) * (1e-9 / (1 << 20))
+            cell = x["kind"] * len(lengths) + max(i for i, n in enumerate(lengths) if n <= x["n"])
+            out[r["doc_id"], x["start"], x["end"]] = (x["kind"], sum(x["n"] >= n for n in secrets.LENGTHS[1:])), sum(e < at for e in edges[cell])
+    return out
+
+
+def random_spans_by_hand(spark, docs, rate=secrets.RATE):
+    """The bound of each class, and what passes it."""
+    found = bins_by_hand(spark, docs)
     bound = {}
-    for c in {cell(f) for *_, f in tests}:
-        own = [bins(f) for *_, f in tests if cell(f) == c]
+    for c in {c for c, _ in found.values()}:
+        own = [b for k, b in found.values() if k == c]
         random_ones = 2 * sum(b >= secrets.BINS // 2 for b in own)
         for b in sorted(set(own), reverse=True):
             above = sum(x >= b for x in own)
             if random_ones and above - random_ones * (1 - b / secrets.BINS) <= rate * above:
                 bound[c] = b
-    return tests, {(i, a, z) for i, a, z, f in tests if bins(f) >= bound.get(cell(f), secrets.BINS)}
+    return {at for at, (c, b) in found.items() if b >= bound.get(c, secrets.BINS)}
+
+
+@pytest.mark.parametrize(("kind", "n"), [(0, 20), (0, 24), (0, 40), (1, 20), (1, 33), (2, 20), (2, 24), (2, 40), (2, 100), (1, 300), (0, 700)])
+def test_ranks_of_random_tokens_are_even(spark, kind, n):
+    """Drawn by another generator, so that the hash's draws are tested, too."""
+    alphabet, many = list(secrets.ENCODINGS.values())[kind][0], 3000
+    draws = np.random.default_rng([kind, n]).integers(0, len(alphabet), (many, n))
+    texts = ["".join(alphabet[c] for c in row) for row in draws]
+    tokens = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").select("doc_id", secrets.battery(F.array(F.struct(F.lit(0).alias("start"), F.lit(n).alias("end"), F.col("t").alias("found")))).alias("tests"))
+    bins = np.array([r["bin"] for r in take(secrets.ranked(tokens).select(F.col("tests")[0]["bin"].alias("bin")))])
+    for share in (0.02, 0.1, 0.25, 0.5, 0.75, 0.9):
+        off = abs((bins < share * secrets.BINS).mean() - share) / math.sqrt(share * (1 - share) * (1 / many + 1 / secrets.DRAWS))
+        assert off < 3.7, (share, off)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_share_of_others_among_reported(spark, share):
+    """Words joined to tokens beside random ones, at several shares: the reported others stay within the rate."""
+    rng, many = random.Random(int(share * 10)), 4000
+    alphabet, syllables = secrets.ENCODINGS["base64"][0], ["get", "User", "Name", "By", "Id", "order", "Table", "sum", "Of", "all", "The", "index", "2024", "Key", "list", "Value", "is", "Not", "Null", "Map"]
+    made = [(True, "".join(rng.choice(alphabet) for _ in range(24))) if rng.random() < share else (False, "".join(rng.choice(syllables) for _ in range(12))[:24]) for _ in range(many)]
+    found = take(secrets.find_secrets(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(made)], "doc_id long, text string")))
+    hits = [made[r["doc_id"]][0] for r in found if r["random"]]
+    assert hits.count(False) <= secrets.RATE * len(hits) + 3 * math.sqrt(secrets.RATE * max(len(hits), 1))
+    if share >= 0.5:
+        assert hits.count(True) >= 0.8 * sum(r for r, _ in made)
 
 
 def token_texts(rng):
@@ -202,7 +243,8 @@ def test_random_spans_equal_brute_force(spark):
     keys, plain = token_texts(rng)
     texts = keys + plain + [None, "", " ".join(rng.sample(keys + plain, 300)) + " \U0001d11e " + " ".join(rng.sample(keys, 100))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    tests, want = random_spans_by_hand(texts)
+    tests = [(i, m.start(), m.end(), found) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", blanked(t or "")) if (found := battery_by_hand(m[0]))]
+    want = random_spans_by_hand(spark, docs)
     got = {(r["doc_id"], x["start"], x["end"]): tuple(x)[2:] for r in take(secrets.tested(docs)) for x in r["tests"]}
     assert set(got) == {t[:3] for t in tests}
     for i, a, z, f in tests:
@@ -230,8 +272,9 @@ def test_the_query_writes_spans(spark, tmp_path):
     rng = random.Random(6)
     keys, plain = token_texts(rng)
     texts = keys + plain + ["secret: abcdefgh, 0123456789abcdef01234567", None]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    _, random_ones = random_spans_by_hand(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    random_ones = random_spans_by_hand(spark, docs)
     for r in take(secrets.op3_secret_scans(spark, str(tmp_path))):
         base = base_spans(texts[r["doc_id"]])
         write = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, k, z in sorted(spans))
