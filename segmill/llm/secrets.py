@@ -242,7 +242,9 @@ def thresholds(tests: DataFrame, rate: float = RATE) -> dict[int, int]:
 
     tests: class, bin.  Random tokens fill bins evenly, so twice those above a
     half are random; what else stands above a bound should be within the rate.
-    That holds for the expected numbers: the fewer tokens, the wider chance strays.
+    That holds for expected numbers: the fewer tokens, the wider chance strays.  And
+    others that rank above a half count as random ones, so where random tokens are
+    a small part of their class the share of others can be over the rate.
     """
     above = Window.partitionBy("class").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = tests.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))  # classes times bins rows at most
