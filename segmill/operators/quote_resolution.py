@@ -24,9 +24,11 @@ UNPAIRED, DEEP, INCOMPATIBLE, AMBIGUOUS, UNEXPECTED = "unpaired", "too_deep", "i
 #: Marks are open in no more than so many levels.
 DEEPEST = 4
 
-# Punctuation that may follow a closing mark, and what introduces a quotation.
+#: Marks found are gathered in blocks, so that none is copied more than a block's times.
+BLOCK = 128
+
+# Punctuation that may follow a closing mark.
 AFTER = r"^[.,;?!)\]\-—۔،؛]$"
-INTRODUCER = r"[:,]\s*$"
 APOSTROPHES = ("'", "’", "‘")
 
 
@@ -82,26 +84,26 @@ def placed_marks(rows: DataFrame, conventions: Conventions, *keys: str) -> DataF
         "__last": F.when(~F.col("paragraph"), F.right(F.lag("text").over(in_verse), F.lit(1))),
         "__first": F.when(~F.lead("paragraph").over(in_verse), F.left(F.lead("text").over(in_verse), F.lit(1))),
     }
-    held = rows.where("text <> ''").withColumns(beside)
-    found = qu.find_marks(held, F.col("text"), *keys, "ord").withColumnRenamed("nth", "__nth")
+    # One exchange for all windows: they part rows by the keys and more.
+    held = rows.where("text <> ''").repartition(*keys).withColumns({**beside, "__length": F.length("text")})
+    found = qu.find_marks(held, F.col("text"), *keys, "ord", carry=("verse", "paragraph", "embedded", "__last", "__first", "__length")).withColumnRenamed("nth", "__nth")
     known = found.where(conventions.opens(F.col("mark")) | conventions.closes(F.col("mark")))
-    known = known.join(held, [*keys, "ord"])
     order = Window.partitionBy(*keys).orderBy("ord", "__nth")
     end = F.col("position") + F.length("mark")
     previous = F.when(F.col("position") == 0, F.nullif("__last", F.lit(""))).otherwise(F.col("before"))
-    following = F.when(end == F.length("text"), F.nullif("__first", F.lit(""))).otherwise(F.col("after"))
+    following = F.when(end == F.col("__length"), F.nullif("__first", F.lit(""))).otherwise(F.col("after"))
     has = lambda c, pattern: F.coalesce(c.rlike(pattern), F.lit(False))
     white, latin = rf"^(?:{ch.white()}|~)$", r"^\p{IsLatin}$"
     marks = known.withColumns({"start": F.col("position"), "end": end, "previous": previous, "following": following, "nth": F.row_number().over(order)})
     return marks.select(
-        *keys, "ord", "verse", "nth", "start", "end", "mark", "paragraph", F.col("previous").alias("previous"), F.length("text").alias("length"),
+        *keys, "ord", "verse", "nth", "start", "end", "mark", "paragraph", F.col("previous").alias("previous"), F.col("__length").alias("length"),
         conventions.opens(F.col("mark")).alias("opens"), conventions.closes(F.col("mark")).alias("closes"),
         F.when(F.col("previous").isNull(), F.col("paragraph") | F.col("embedded")).otherwise(has(F.col("previous"), white)).alias("white_before"),
         has(F.col("following"), white).alias("white_after"), has(F.col("following"), AFTER).alias("mark_after"),
         F.coalesce(conventions.closes(F.col("following")), F.lit(False)).alias("closing_after"),
-        has(F.expr("substring(text, 1, position)"), INTRODUCER).alias("introduced"),
+        "introduced",
         (has(F.col("previous"), latin) & has(F.col("following"), latin)).alias("in_word"), has(F.col("previous"), "^s$").alias("after_s"),
-        (F.col("start") == 0).alias("at_start"), (F.col("end") == F.length("text")).alias("at_end"),
+        (F.col("start") == 0).alias("at_start"), (F.col("end") == F.col("__length")).alias("at_end"),
         F.coalesce(F.lead("start").over(order) == F.col("end"), F.lit(False)).alias("joined_to_next"), F.lead("mark").over(order).alias("next_mark"),
     )
 
@@ -119,6 +121,22 @@ def _one(m: Column, depth: Column, direction: str) -> Column:
     return F.array(F.struct(m["nth"].cast("int").alias("nth"), m["ord"].cast("long").alias("ord"), m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), m["mark"].alias("mark"), depth.cast("int").alias("depth"), F.lit(direction).alias("direction")))
 
 
+NO_MARKS = f"CAST(array() AS {FOUND})"
+
+
+def _none_found() -> Column:
+    return F.struct(F.expr(f"CAST(array() AS array<{FOUND}>)").alias("full"), F.expr(NO_MARKS).alias("last"))
+
+
+def _more(found: Column, out: Column) -> Column:
+    whole = F.size(found["last"]) >= BLOCK
+    return F.struct(F.when(whole, F.concat(found["full"], F.array(found["last"]))).otherwise(found["full"]).alias("full"), F.when(whole, out).otherwise(F.concat(found["last"], out)).alias("last"))
+
+
+def _all_found(found: Column) -> Column:
+    return F.concat(F.flatten(found["full"]), found["last"])
+
+
 def resolve(marks: DataFrame, conventions: Conventions, *keys: str, paragraphs: bool = True) -> DataFrame:
     """keys, found (marks with depth and direction), issues of each chapter, by a stack of open marks.
 
@@ -126,8 +144,13 @@ def resolve(marks: DataFrame, conventions: Conventions, *keys: str, paragraphs:
     the start of a paragraph: it repeats the opening marks (English) or has
     closing ones (Spanish), one for each level.  With paragraphs, only there.
     """
+    return _chapters(marks, keys).select(*keys, _by_stack(conventions, paragraphs).alias("r")).select(*keys, "r.found", "r.issues")
+
+
+def _by_stack(conventions: Conventions, paragraphs: bool) -> Column:
+    """struct<found, issues> of an array of marks."""
     yes = lambda c: F.coalesce(c, F.lit(False))
-    empty = F.struct(F.expr("CAST(array() AS array<string>)").alias("stack"), F.lit(0).alias("again"), F.lit("").alias("style"), F.expr(f"CAST(array() AS {FOUND})").alias("found"), F.expr("CAST(array() AS array<string>)").alias("issues"))
+    empty = F.struct(F.expr("CAST(array() AS array<string>)").alias("stack"), F.lit(0).alias("again"), F.lit("").alias("style"), _none_found().alias("found"), F.expr("CAST(array() AS array<string>)").alias("issues"))
 
     def action(s: Column, m: Column) -> Column:
         depth, top, mark = F.size(s["stack"]), F.try_element_at(s["stack"], F.lit(-1)), m["mark"]
@@ -161,19 +184,24 @@ def resolve(marks: DataFrame, conventions: Conventions, *keys: str, paragraphs:
         odd = ((done == "open") & ~conventions.stands_at(m["mark"], depth + 1, OPENING)) | ((done == "close") & ~conventions.stands_at(m["mark"], depth, CLOSING))
         issue = F.when(done.isin(DEEP, UNPAIRED, AMBIGUOUS), done).when(odd, INCOMPATIBLE)
         issues = F.when(issue.isNotNull(), F.array_union(s["issues"], F.array(issue))).otherwise(s["issues"])
-        return F.struct(stack.alias("stack"), again.alias("again"), F.when(repeats, done).otherwise(s["style"]).alias("style"), F.concat(s["found"], out).alias("found"), issues.alias("issues"))
+        return F.struct(stack.alias("stack"), again.alias("again"), F.when(repeats, done).otherwise(s["style"]).alias("style"), _more(s["found"], out).alias("found"), issues.alias("issues"))
 
     def finish(s: Column) -> Column:
-        return F.struct(s["found"].alias("found"), F.array_sort(F.when(F.size(s["stack"]) > 0, F.array_union(s["issues"], F.array(F.lit(UNPAIRED)))).otherwise(s["issues"])).alias("issues"))
+        return F.struct(_all_found(s["found"]).alias("found"), F.array_sort(F.when(F.size(s["stack"]) > 0, F.array_union(s["issues"], F.array(F.lit(UNPAIRED)))).otherwise(s["issues"])).alias("issues"))
 
     # The action is worked out once a mark, in a state of its own, as lambdas share no subexpressions.
     acted = lambda s, m: step(s, F.struct(*[m[c].alias(c) for c in ("nth", "ord", "start", "end", "mark")], action(s, m).alias("action")))
-    return _chapters(marks, keys).select(*keys, F.aggregate("marks", empty, acted, finish).alias("r")).select(*keys, "r.found", "r.issues")
+    return F.aggregate("marks", empty, acted, finish)
 
 
 def resolve_singly(marks: DataFrame, conventions: Conventions, *keys: str) -> DataFrame:
     """keys, found, issues of each chapter without a stack: each mark by its surroundings, at the outermost level that has it."""
-    empty = F.struct(F.lit("").alias("last"), F.lit(-1).cast("long").alias("ord"), F.lit(-1).alias("end"), F.expr(f"CAST(array() AS {FOUND})").alias("found"), F.expr("CAST(array() AS array<string>)").alias("issues"))
+    return _chapters(marks, keys).select(*keys, _one_by_one(conventions).alias("r")).select(*keys, "r.found", "r.issues")
+
+
+def _one_by_one(conventions: Conventions) -> Column:
+    """struct<found, issues> of an array of marks."""
+    empty = F.struct(F.lit("").alias("last"), F.lit(-1).cast("long").alias("ord"), F.lit(-1).alias("end"), _none_found().alias("found"), F.expr("CAST(array() AS array<string>)").alias("issues"))
 
     def step(s: Column, m: Column) -> Column:
         both = m["opens"] & m["closes"]
@@ -182,18 +210,17 @@ def resolve_singly(marks: DataFrame, conventions: Conventions, *keys: str) -> Da
         closing = (m["closes"] & ~m["opens"]) | (both & (m["white_after"] | m["mark_after"] | m["at_end"]) & ~m["white_before"])
         clear = opening | closing
         opens = F.when(opening, True).when(closing, False).otherwise(s["last"] != OPENING)
-        depth = F.when(opens, m["open_depth"]).otherwise(m["close_depth"])
+        depth = F.when(opens, conventions.least_depth(m["mark"], OPENING)).otherwise(conventions.least_depth(m["mark"], CLOSING))
         out = F.when(depth.isNull(), F.expr(f"CAST(array() AS {FOUND})")).when(opens, _one(m, depth, OPENING)).otherwise(_one(m, depth, CLOSING))
         issue = F.when(~clear, AMBIGUOUS).when(depth.isNull(), UNEXPECTED)
         return F.struct(
             F.when(depth.isNull(), s["last"]).when(opens, OPENING).otherwise(CLOSING).alias("last"),
             F.when(depth.isNull(), s["ord"]).otherwise(m["ord"].cast("long")).alias("ord"), F.when(depth.isNull(), s["end"]).otherwise(m["end"].cast("int")).alias("end"),
-            F.concat(s["found"], out).alias("found"), F.when(issue.isNotNull(), F.array_union(s["issues"], F.array(issue))).otherwise(s["issues"]).alias("issues"),
+            _more(s["found"], out).alias("found"), F.when(issue.isNotNull(), F.array_union(s["issues"], F.array(issue))).otherwise(s["issues"]).alias("issues"),
         )
 
-    placed = marks.withColumns({"open_depth": conventions.least_depth(F.col("mark"), OPENING), "close_depth": conventions.least_depth(F.col("mark"), CLOSING)})
-    finish = lambda s: F.struct(s["found"].alias("found"), F.array_sort(s["issues"]).alias("issues"))
-    return _chapters(placed, keys).select(*keys, F.aggregate("marks", empty, step, finish).alias("r")).select(*keys, "r.found", "r.issues")
+    finish = lambda s: F.struct(_all_found(s["found"]).alias("found"), F.array_sort(s["issues"]).alias("issues"))
+    return F.aggregate("marks", empty, step, finish)
 
 
 # --- which conventions can be meant --------------------------------------------------
@@ -280,20 +307,20 @@ def rewritten(rows: DataFrame, source: str, target: str, *keys: str) -> DataFram
     Marks deeper than the target's levels, and apostrophes, stay.
     """
     own = Conventions([source])
-    marks = placed_marks(rows, own, *keys)
-    full = resolve(marks, own, *keys, paragraphs=False).withColumn("strategy", strategy(F.col("issues"), works_singly(source, target)))
-    single = resolve_singly(marks, own, *keys).select(*keys, F.col("found").alias("singly"))
-    chosen = full.join(single, list(keys), "left").withColumn("m", F.explode_outer(F.when(F.col("strategy") == "full", F.col("found")).when(F.col("strategy") == "singly", F.col("singly"))))
+    chapters = _chapters(placed_marks(rows, own, *keys), keys).select(*keys, F.get("marks", F.lit(0))["ord"].alias("first"), "marks", _by_stack(own, False).alias("r"))
+    planned = chapters.withColumn("strategy", strategy(F.col("r.issues"), works_singly(source, target)))
+    # Chapters are resolved singly only where that is asked for.
+    chosen = planned.select(*keys, "first", "strategy", F.explode_outer(F.when(F.col("strategy") == "full", F.col("r.found")).when(F.col("strategy") == "singly", _one_by_one(own)["found"])).alias("m"))
     new = F.lit(None).cast("string")
     for depth, pair in enumerate(qu.levels(qu.CONVENTIONS[target]), 1):
         for direction, mark in zip((OPENING, CLOSING), pair, strict=True):
             new = F.when((F.col("m.depth") == depth) & (F.col("m.direction") == direction), mark).otherwise(new)
-    changes = chosen.where("m IS NOT NULL").select(*keys, F.col("m.ord").alias("ord"), F.struct("m.start", "m.end", F.coalesce(new, "m.mark").alias("mark")).alias("c"))
-    changes = changes.groupBy(*keys, "ord").agg(F.sort_array(F.collect_list("c")).alias("changes"))
-    plans = full.select(*keys, "strategy")
-    joined = rows.join(changes, [*keys, "ord"], "left").join(plans, list(keys), "left")
+    change = F.when(F.col("m").isNotNull(), F.struct("m.start", "m.end", F.coalesce(new, "m.mark").alias("mark")))
+    # A chapter without changes still says its strategy, at its first mark's segment; from there all others learn it.
+    changes = chosen.groupBy(*keys, F.coalesce("m.ord", "first").alias("ord")).agg(F.sort_array(F.collect_list(change)).alias("changes"), F.first("strategy").alias("__strategy"))
+    joined = rows.join(changes, [*keys, "ord"], "left").withColumn("strategy", F.max("__strategy").over(Window.partitionBy(*keys)))
     # Pieces between changes, each followed by its new mark.
     kept = F.expr("transform(changes, (c, i) -> concat(substring(text, if(i = 0, 0, changes[i - 1].end) + 1, c.start - if(i = 0, 0, changes[i - 1].end)), c.mark))")
     rest = F.expr("substring(text, element_at(changes, -1).end + 1)")
-    text = F.when(F.col("changes").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), rest))
+    text = F.when(F.coalesce(F.size("changes"), F.lit(0)) < 1, F.col("text")).otherwise(F.concat(F.array_join(kept, ""), rest))
     return joined.select(*keys, "ord", "verse", text.alias("text"), F.coalesce("strategy", F.lit("full")).alias("strategy"))

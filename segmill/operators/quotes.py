@@ -53,15 +53,30 @@ def conventions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, depth int, direction string, mark string")
 
 
-def find_marks(df: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """The mark table of a column's texts: keys, position, mark, before, after."""
-    gaps, marks = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    cut = df.select(*keys, text.alias("__text"), F.posexplode(F.arrays_zip(marks.alias("mark"), gaps.alias("gap"))).alias("nth", "x")).where(F.col("x.mark").isNotNull())
-    so_far = Window.partitionBy(*keys).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    position = F.coalesce(F.sum(F.length("x.gap") + F.length("x.mark")).over(so_far), F.lit(0)) + F.length("x.gap")
-    placed = cut.withColumn("position", position).withColumn("mark", F.col("x.mark"))
-    before = F.when(F.col("position") > 0, F.expr("substring(__text, position, 1)")).otherwise(F.lit(""))
-    return placed.select(*keys, "nth", "position", "mark", before.alias("before"), F.expr("substring(__text, position + length(mark) + 1, 1)").alias("after"))
+#: What stands before a mark that begins a quotation.
+INTRODUCER = r"[:,]\s*$"
+
+
+def find_marks(df: DataFrame, text: Column, *keys: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The mark table of a column's texts: keys, nth, position, mark, before, after, introduced, and the columns to carry.
+
+    What is beside a mark is read off the text between marks before rows are made of them, so no row holds a text.
+    """
+    cut = df.select(*keys, *carry, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("__marks"), F.split(text, PATTERN, -1).alias("__gaps"))
+    held = cut.where(F.size("__marks") > 0)
+    gap, mark = lambda i: F.get("__gaps", i), lambda i: F.get("__marks", i)
+    beside = lambda g, m, end: F.when(g != "", end(g, F.lit(1))).otherwise(F.coalesce(end(m, F.lit(1)), F.lit("")))
+    found = F.transform(
+        "__marks",
+        lambda m, i: F.struct(
+            m.alias("mark"), F.length(gap(i)).alias("ahead"),
+            beside(gap(i), mark(i - 1), F.right).alias("before"), beside(gap(i + 1), mark(i + 1), F.left).alias("after"),
+            gap(i).rlike(INTRODUCER).alias("introduced"),
+        ),
+    )
+    each = held.select(*keys, *carry, F.posexplode(found).alias("nth", "x"))
+    so_far = Window.partitionBy(*keys).orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return each.select(*keys, *carry, "nth", (F.sum(F.col("x.ahead") + F.length("x.mark")).over(so_far) - F.length("x.mark")).alias("position"), "x.mark", "x.before", "x.after", "x.introduced")
 
 
 def marked_context(marks: DataFrame) -> DataFrame:
