@@ -166,6 +166,8 @@ COMMON_SHARE, COMMON = 16, 300_000
 VEILS = 4
 #: Classes of sizes differ by this factor.
 SIZE_STEP = 1.05
+#: Bits of the map of a set, which is compared under keys with more texts than this.
+MAP_BITS, MAP_CROWD = 1024, 32
 #: Against rounding in bounds.
 SLACK = 1e-9
 
@@ -174,6 +176,16 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size, SEED))
 
 
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits, each the parity of how many hashes fall on it.
+
+    A hash that only one of two sets has turns one bit, so sets differ in as
+    many hashes at least as their maps do in bits.
+    """
+    counts = np.bincount((hashes % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS)
+    return np.packbits(counts & 1, bitorder="little").view(np.int64)
+
+
 def common_shingles(texts: DataFrame, size: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and ranks of shingles that several of the sampled texts have.
 
@@ -195,30 +207,30 @@ def common_shingles(texts: DataFrame, size: int = SIMILAR_SHINGLE) -> tuple[np.n
 
 
 def signatures(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id, size (of the set of shingles), print (their fingerprint), prefix array<long> of every row.
+    """id, size (of the set of shingles), print (their fingerprint), bits (their parity map), prefix array<long> of every row.
 
     The prefix has the first shingles in one order for all texts (by rank, then
     hash), so many that sets of that similarity have one in common there.
     """
     keys, ranks = common
 
-    def sign(text: str) -> tuple[int, int, np.ndarray]:
+    def sign(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
         found = shingle_set(text, size)
-        n, mark = len(found), fingerprint(found)
+        n, mark, bits = len(found), fingerprint(found), parity_map(found)
         if n and len(keys):
             at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
             found = found[np.argsort(np.where(keys[at] == found, ranks[at], 0), kind="stable")]
-        return n, mark, found[: n - int(np.ceil(similarity * n - SLACK)) + 1].view(np.int64)
+        return n, mark, bits, found[: n - int(np.ceil(similarity * n - SLACK)) + 1].view(np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [sign(t) for t in part.column("text").to_pylist()]
-                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "size", "print", "prefix"])
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "size", "print", "bits", "prefix"])
 
-    return texts.mapInArrow(rows, "id long, size int, print long, prefix array<long>")
+    return texts.mapInArrow(rows, "id long, size int, print long, bits array<long>, prefix array<long>")
 
 
 def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -232,8 +244,9 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     common, so the texts under one shingle are candidates.  The second turn
     compares a leader of each shingle with one text of each component found so
     far, which links most of a hot group in rows that grow with its size.  Then
-    every pair under a shingle that is in different components is compared;
-    pairs within one can't change it.
+    every pair under a shingle that is in different components and can be similar
+    by its sizes and maps is compared; pairs within one can't change it.  Links are
+    between components found before, so that a turn has one link of two of them.
     """
     texts = docs.select(F.xxhash64(text_of()).alias("id"), text_of().alias("text"))
     signed = shared_table(signatures(texts, common_shingles(texts, shingle), shingle, similarity).dropDuplicates(["id"]), "similar-signatures")
@@ -244,13 +257,13 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     _release(docs)
     members = index.select("id").unionAll(alike.select(F.explode(F.array("a", "b")))).distinct()
     bodies = shared_table(_squeezed(texts.join(members.hint("merge"), "id", "left_semi")).dropDuplicates(["id"]), "similar-bodies")
-    pairs, links = alike, _verified(alike, bodies, shingle, similarity, 0)
-    for turn, candidates in ((1, _led), (2, _across)):
+    pairs, links = alike, _verified(alike.withColumns({"r": F.col("a"), "s": F.col("b")}), bodies, shingle, similarity, 0)
+    for turn, candidates in ((1, _led), (2, lambda *x: _across(*x, signed.select("id", "bits")))):
         roots = shared_table(components(links, "similar-components"), "similar-roots")
         rooted = index.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         found = shared_table(candidates(rooted, similarity).join(pairs, ["a", "b"], "left_anti"), f"similar-pairs-{turn}")
-        links = links.unionByName(_verified(found, bodies, shingle, similarity, turn))
-        pairs = pairs.unionByName(found)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(found, bodies, shingle, similarity, turn))
+        pairs = pairs.unionByName(found.select("a", "b"))
     return shared_table(components(links, "similar-components"), "similar-roots")
 
 
@@ -295,49 +308,57 @@ def _printed(signed: DataFrame, similarity: float) -> DataFrame:
 
 
 def _led(index: DataFrame, similarity: float) -> DataFrame:
-    """a, b: under every key its leader and one text of each other component (root).
+    """a, b, and their roots r, s: under every key its leader and one text of each other component (root).
 
-    The leader has the smallest id after an exclusive or that differs by some
+    The leader has the fewest shingles before the key, which are rarer ones: among
+    copies with edits it is the one with the fewest, to which most are similar.
+    Of several it has the smallest id after an exclusive or that differs by some
     bits of the key.  Of the keys that two texts share, after the first no more
     are in common than the shorter rest has: pairs without such a key go.
     """
     veil = F.xxhash64(F.pmod("key", F.lit(VEILS)), F.lit(0))
-    veiled = index.select("key", "root", F.struct(F.col("id").bitwiseXOR(veil).alias("m"), "size", "at").alias("x"))
+    veiled = index.select("key", "root", F.struct("at", F.col("id").bitwiseXOR(veil).alias("m"), "size", "root").alias("x"))
     veiled = veiled.groupBy("key", "root").agg(F.min("x").alias("x"))
     led = veiled.select("key", "x", F.min("x").over(Window.partitionBy("key")).alias("y")).filter("x.m != y.m")
     x, y = F.col("x.size"), F.col("y.size")
     led = led.filter(_sizes_fit(x, y, similarity) & _enough(F.least(x - F.col("x.at"), y - F.col("y.at")), x, y, similarity))
     one, two = F.col("x.m").bitwiseXOR(veil), F.col("y.m").bitwiseXOR(veil)
-    return led.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    return led.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"), F.col("x.root").alias("r"), F.col("y.root").alias("s")).dropDuplicates(["a", "b"])
 
 
-def _across(index: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all pairs of texts that share a key, are in different components and can be similar.
+def _across(index: DataFrame, similarity: float, maps: DataFrame) -> DataFrame:
+    """a, b, and their roots r, s: all pairs of texts that share a key, are in different components and can be similar.
 
     Behind the first key that two texts share, no more are in common than the
     shorter rest has, so a pair that is similar passes that test there; keys at
     which it fails make no row.  For the larger text of a pair the test leaves
     sizes from `similarity` times its own up to some bound, which falls the
     further behind the key stands.  Texts meet by key and class of sizes, so those
-    of a crowded key that are too unlike never do.
+    of a crowded key that are too unlike never do.  Under crowded keys their parity
+    maps are compared, too: sets whose maps differ in more bits than similar sets
+    have shingles that only one of them has make no row.
     """
     together = Window.partitionBy("key")
-    crowded = index.withColumns({"low": F.min("root").over(together), "high": F.max("root").over(together)}).filter("low != high").drop("low", "high")
-    crowded = shared_table(crowded, "similar-crowded")
+    crowded = index.withColumns({"low": F.min("root").over(together), "high": F.max("root").over(together), "n": F.count(F.lit(1)).over(together)})
+    crowded = crowded.filter("low != high").drop("low", "high")
+    mapped = maps.withColumnRenamed("id", "of").hint("merge")
+    crowded = shared_table(crowded.join(mapped, (F.col("id") == F.col("of")) & (F.col("n") > MAP_CROWD), "left").drop("of", "n"), "similar-crowded")
     x, y = F.col("x"), F.col("y")
     of_size = lambda z: F.floor(F.log(F.greatest(z, F.lit(1.0))) / F.log(F.lit(SIZE_STEP))).cast("int")
-    larger = crowded.select("key", F.col("root").alias("r"), F.col("id").alias("i"), F.col("size").alias("x"), F.col("at").alias("p"))
+    larger = crowded.select("key", F.col("root").alias("r"), F.col("id").alias("i"), F.col("size").alias("x"), F.col("at").alias("p"), F.col("bits").alias("c"))
     most = F.least(x.cast("double"), (x - F.col("p")) * ((1 + similarity) / similarity) - x + SLACK)
     larger = larger.withColumn("class", F.explode(F.sequence(of_size(x * similarity - SLACK), F.greatest(of_size(most), of_size(x * similarity - SLACK)))))
-    other = crowded.select("key", F.col("root").alias("s"), F.col("id").alias("j"), F.col("size").alias("y"), F.col("at").alias("q"), of_size(F.col("size")).alias("class"))
+    other = crowded.select("key", F.col("root").alias("s"), F.col("id").alias("j"), F.col("size").alias("y"), F.col("at").alias("q"), F.col("bits").alias("d"), of_size(F.col("size")).alias("class"))
     first = (y < x) | ((y == x) & (F.col("i") < F.col("j")))
     fits = _sizes_fit(x, y, similarity) & _enough(F.least(x - F.col("p"), y - F.col("q")), x, y, similarity)
-    met = larger.join(other.hint("merge"), ["key", "class"]).filter((F.col("r") != F.col("s")) & first & fits)
-    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    turned = sum((F.bit_count(F.col("c")[k].bitwiseXOR(F.col("d")[k])) for k in range(MAP_BITS // 64)), F.lit(0))
+    near = F.col("c").isNull() | F.col("d").isNull() | _enough((x + y - turned) / 2, x, y, similarity)
+    met = larger.join(other.hint("merge"), ["key", "class"]).filter((F.col("r") != F.col("s")) & first & fits & near)
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "r", "s").distinct()
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: float, turn: int) -> DataFrame:
-    """The pairs whose texts' sets have at least that Jaccard similarity."""
+    """a, b: the roots r, s of the pairs whose texts' sets have at least that Jaccard similarity."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -353,12 +374,12 @@ def _verified(pairs: DataFrame, bodies: DataFrame, shingle: int, similarity: flo
                 other = of(y.as_py())
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 keep[i] = both >= similarity * (len(mine) + len(other) - both) - SLACK
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["r", "s"]).rename_columns(["a", "b"]).filter(pa.array(keep))
 
     _release(pairs)
     met = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")).hint("merge"), "b")
     met = met.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")).hint("merge"), "a")
-    return shared_table(met.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long"), f"similar-links-{turn}")
+    return shared_table(met.select("a", "b", "r", "s", "x", "y").mapInArrow(rows, "a long, b long").distinct(), f"similar-links-{turn}")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

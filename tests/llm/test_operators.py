@@ -535,6 +535,49 @@ def test_near_copies_are_found_for_every_kind_of_edit(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_parity_maps_differ_in_no_more_bits_than_sets(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 900, 5000):
+        one, two = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(2))
+        two = np.unique(np.concatenate([one[: n // 2], two[n // 2 :]]))
+        maps = simhash.parity_map(one), simhash.parity_map(two)
+        assert len(maps[0]) * 64 == simhash.MAP_BITS
+        assert sum((int(x) ^ int(y)).bit_count() for x, y in zip(*(m.view(np.uint64) for m in maps), strict=True)) <= len(np.setxor1d(one, two))
+
+
+def test_pairs_of_a_hot_group_are_few_and_none_is_lost(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(240):  # copies of one text, most of them similar to a part of the others only
+        w = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5, 6, 7])):
+            w[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in map(str.split, texts)]
+    group = list(range(len(texts)))
+    find = lambda x: x if group[x] == x else find(group[x])
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                group[max(find(i), find(j))] = min(find(i), find(j))
+    stay = sorted({find(i) for i in range(len(texts))})
+    assert len(stay) > 20
+    counts, table = {}, simhash.shared_table
+
+    def counted(df, name, *args):
+        made = table(df, name, *args)
+        if name.startswith(("similar-pairs", "similar-links")):
+            counts[name] = made.count()
+        return made
+
+    monkeypatch.setattr(simhash, "shared_table", counted)
+    kept = take(simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert sorted(r["doc_id"] for r in kept) == stay
+    assert sum(n for name, n in counts.items() if "pairs" in name) < 8 * len(texts) and sum(n for name, n in counts.items() if "links" in name) < 2 * len(texts), counts
+
+
 # 7
 
 
