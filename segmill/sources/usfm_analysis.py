@@ -10,6 +10,12 @@ from segmill.sources.usfm import located
 
 MISSING, EXTRA, INVALID, SEGMENT, RANGE = "missing", "extra", "invalid", "incorrect_segment", "unsupported_range"
 _VERSE = r"^\d+[a-z]?([,-]\d+[a-z]?)*$"
+#: A chapter's verses are numbered by this times the chapter, plus the verse; books may have more verses in a chapter than a bbbcccvvv number can tell.
+WIDE = 1 << 31
+
+
+def _place(chapter: Column, verse: Column) -> Column:
+    return chapter.cast("long") * WIDE + verse
 
 
 def _name(book: Column, chapter: Column, verse: Column) -> Column:
@@ -18,12 +24,12 @@ def _name(book: Column, chapter: Column, verse: Column) -> Column:
 
 def _runs(verses: DataFrame, kind: str, lines: Column) -> DataFrame:
     """Verses (path, book, number, line, rank) as runs within chapters."""
-    chapter = F.floor(F.col("number") / 1000)
+    chapter = F.expr(f"number div {WIDE}")
     grouped = verses.withColumn("__chapter", chapter).withColumn("__run", F.col("number") - F.row_number().over(Window.partitionBy("path", "book", "__chapter").orderBy("number")))
     runs = grouped.groupBy("path", "book", "__chapter", "__run").agg(F.min("number").alias("first"), F.max("number").alias("last"), lines.alias("lines"), F.count("*").cast("int").alias("affected"))
-    number = lambda c: F.pmod(F.col(c), F.lit(1000)).cast("string")
+    number = lambda c: F.pmod(F.col(c), F.lit(WIDE)).cast("string")
     text = F.when(F.col("first") == F.col("last"), number("first")).otherwise(F.concat(number("first"), F.lit("-"), number("last")))
-    return runs.select("path", F.lit(kind).alias("kind"), _name(F.col("book"), F.pmod("__chapter", F.lit(1000)), text).alias("reference"), "lines", "affected")
+    return runs.select("path", F.lit(kind).alias("kind"), _name(F.col("book"), F.col("__chapter"), text).alias("reference"), "lines", "affected")
 
 
 def analyse(tokens: DataFrame, vrs: sc.Versification, original: sc.Versification | None = None, chapters: dict[int, list[int]] | None = None) -> DataFrame:
@@ -54,22 +60,23 @@ def analyse(tokens: DataFrame, vrs: sc.Versification, original: sc.Versification
     bad = one(verses.where(~F.col("verse").rlike(_VERSE)), INVALID, named, F.lit(1)).unionByName(one(status.where(F.col("status").isin(sc.OUT_OF_ORDER, sc.REPEATED) | falls), INVALID, named, F.size(sc.all_verses(F.col("verse")))))
     unnumbered = here.where(r"type = 'chapter' and not coalesce(data, '') rlike '^\\d+$'")
     bad = bad.unionByName(one(unnumbered, INVALID, F.concat_ws(" ", "book", F.coalesce("data", F.lit(""))), F.lit(1)))
-    number = sc.pack(F.col("book_num"), F.col("chapter"), F.regexp_extract("verse", r"^\d+", 0).cast("int")).cast("long")
-    cut = spark.createDataFrame([(n,) for n in sorted({n for n, _ in vrs.segments})], "number long").withColumn("has", F.lit(True))
-    segments = good.withColumn("number", number).join(cut, "number", "left")
+    cut = spark.createDataFrame([(n // 1_000_000, n // 1000 % 1000, n % 1000) for n in sorted({n for n, _ in vrs.segments})], "book_num int, chapter int, first int").withColumn("has", F.lit(True))
+    segments = good.withColumn("first", F.regexp_extract("verse", r"^\d+", 0).cast("int")).join(cut, ["book_num", "chapter", "first"], "left")
     wrong = one(segments.where((sc.segment_of(F.col("verse")) == "") == F.col("has").isNotNull()), SEGMENT, named, F.size(sc.all_verses(F.col("verse"))))
     each = good.select("path", "book", "book_num", "chapter", "line", "verse", F.explode(F.array_distinct(sc.all_verses(F.col("verse")))).alias("v"))
-    each = each.withColumn("number", sc.pack(F.col("book_num"), F.col("chapter"), F.col("v")).cast("long"))
+    each = each.withColumn("number", _place(F.col("chapter"), F.col("v")))
     found = bad.unionByName(wrong)
     if original is not None:
-        mapped = sc.change_versification(each.where(F.col("verse").rlike("[,-]")), vrs, original)
-        split = mapped.groupBy("path", "book", "chapter", "verse", "line").agg(F.countDistinct(F.floor(F.col("new_number") / 1000)).alias("n")).where("n > 1")
+        packed = F.when((F.col("chapter") < 1000) & (F.col("v") < 1000), sc.pack(F.col("book_num"), F.col("chapter"), F.col("v")).cast("long"))  # others are as they are
+        mapped = sc.change_versification(each.where(F.col("verse").rlike("[,-]")).withColumn("number", packed), vrs, original)
+        to = F.coalesce(F.floor(F.col("new_number") / 1000), F.col("book_num") * 1000 + F.col("chapter"))
+        split = mapped.groupBy("path", "book", "chapter", "verse", "line").agg(F.countDistinct(to).alias("n")).where("n > 1")
         found = found.unionByName(one(split, RANGE, named, F.size(sc.all_verses(F.col("verse")))))
     books = here.select("path", "book", "book_num").distinct()
     expected = sc.verse_rows(spark, vrs)
     if chapters is not None:
         expected = expected.where(picked)
-    expected = expected.join(books, "book_num").select("path", "book", "number")
+    expected = expected.join(books, "book_num").select("path", "book", _place(F.col("chapter"), F.col("verse")).alias("number"))
     seen = each.where("v > 0").groupBy("path", "book", "number").agg(F.min("line").alias("line"))
     both = expected.withColumn("e", F.lit(True)).join(seen.withColumn("o", F.lit(True)), ["path", "book", "number"], "full")
     before = F.coalesce(F.last("line", ignorenulls=True).over(Window.partitionBy("path", "book").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1))

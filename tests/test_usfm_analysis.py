@@ -32,3 +32,11 @@ def test_kinds(spark):
     some = usfm_analysis.analyse(tokens, vrs, None, {40: [2]}).where("path = '1'").collect()
     spark.conf.unset("spark.sql.codegen.wholeStage")
     assert [(r.kind, r.reference) for r in some] == [("missing", "MAT 2:3")]
+
+
+def test_chapters_of_over_a_thousand_verses(spark):
+    vrs = sc.parse_versification("GEN 1:5\n-GEN 1:3\n*GEN 1:2,-,a,b\n", "made")
+    verses = "".join(f"\\v {n} a\n" for n in range(1, 1006))
+    tokens = usfm.tokenized(spark.createDataFrame([("x", f"\\id GEN\n\\c 1\n{verses}")], "path string, content string"))
+    found = {(r.kind, r.reference): (r.lines, r.affected) for r in usfm_analysis.analyse(tokens, vrs).collect()}
+    assert found == {("incorrect_segment", "GEN 1:2"): ([4], 1), ("extra", "GEN 1:3"): ([5], 1), ("extra", "GEN 1:6-1005"): (list(range(8, 1008)), 1000)}
