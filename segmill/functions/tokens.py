@@ -13,9 +13,11 @@ from collections.abc import Callable, Iterator
 from functools import cache, partial
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from segmill.functions import characters as ch
 
@@ -83,16 +85,56 @@ def null_tokens(text: Column) -> Column:
 def token_ranges(text: Column, tokens: Column) -> Column:
     """array<struct<start, end>>: where each token stands, found one after the other; null if one is missing."""
 
-    def step(done: Column, token: Column) -> Column:
-        after = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))
-        at = F.call_function("locate", token, text, after + 1)
-        return F.when(at > 0, F.concat(done, F.array(F.struct((at - 1).alias("start"), (at - 1 + F.length(token)).alias("end")))))
-
-    return F.aggregate(tokens, F.expr("CAST(array() AS array<struct<start:int,end:int>>)"), step)
+    @arrow_udf("array<struct<start:int,end:int>>")
+    def found(texts: pa.Array, held: pa.Array) -> pa.Array:
+        starts, ends, offsets, missing = [], [], [0], []
+        for whole, own in zip(texts.to_pylist(), held.to_pylist(), strict=True):
+            at, begun = 0, len(starts)
+            lacks = whole is None or own is None
+            for token in () if lacks else own:
+                at = -1 if token is None else whole.find(token, at)
+                if at < 0:
+                    lacks = True
+                    del starts[begun:], ends[begun:]
+                    break
+                starts.append(at)
+                at += len(token)
+                ends.append(at)
+            offsets.append(len(starts))
+            missing.append(lacks)
+        places = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), places, mask=pa.array(missing, pa.bool_()))
+
+    return apart(found)(text, tokens)
 
 
 def split_by_ranges(text: Column, ranges: Column) -> Column:
-    return F.transform(ranges, lambda r: F.substring(text, r["start"] + 1, r["end"] - r["start"]))
+    """array<string>: the text of each range, null where there are none."""
+
+    @arrow_udf("array<string>")
+    def split(texts: pa.Array, held: pa.Array) -> pa.Array:
+        places = held.flatten()
+        starts, ends = (places.field(k).to_pylist() for k in (0, 1))
+        parts, offsets, missing, at = [], [0], [], 0
+        for whole, n in zip(texts.to_pylist(), pc.list_value_length(held).to_pylist(), strict=True):
+            stop = at + (n or 0)
+            parts += [None if whole is None else whole[a:b] for a, b in zip(starts[at:stop], ends[at:stop], strict=True)]
+            at = stop
+            offsets.append(at)
+            missing.append(n is None)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(parts, pa.string()), mask=pa.array(missing, pa.bool_()))
+
+    return apart(split)(text, ranges)
+
+
+def packed(segment: Column) -> Column:
+    """Tokens as one string, which is shorter in an exchange than their array; there must be one at least."""
+    return F.array_join(F.transform(segment, lambda t: F.replace(F.replace(t, F.lit("\x02"), F.lit("\x02b")), F.lit("\x01"), F.lit("\x02a"))), "\x01")
+
+
+def unpacked(text: Column) -> Column:
+    """The tokens that packed() made one string of."""
+    return F.transform(F.split(text, "\x01", -1), lambda t: F.replace(F.replace(t, F.lit("\x02a"), F.lit("\x01")), F.lit("\x02b"), F.lit("\x02")))
 
 
 def whitespace_joined(segment: Column) -> Column:

@@ -79,3 +79,12 @@ def test_plain_texts_are_cut_as_others_are(spark):
     found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", tk.latin()(F.col("text")).alias("tokens")).collect()
     for r in found:
         assert r.tokens == [r.text[a:b] for a, b in tk.latin_ranges(r.text)], r.text
+
+
+def test_ranges_of_long_texts_and_odd_tokens(spark):
+    words = [f"w{k % 7}\u00e9\U0001f600" for k in range(60_000)]
+    rows = [(" ".join(words), words), ("ab", ["a", "", "b"]), (None, ["a"]), ("a", None), ("a", []), ("ab", ["b", "a"])]
+    df = spark.createDataFrame(rows, "s string, t array<string>").withColumn("r", tk.token_ranges(F.col("s"), F.col("t")))
+    long, *odd = df.select("r", tk.split_by_ranges(F.col("s"), F.col("r")).alias("p")).collect()
+    assert long.p == words and long.r[-1].end == len(rows[0][0])
+    assert [x.p for x in odd] == [["a", "", "b"], None, None, [], None]
