@@ -710,9 +710,10 @@ def ibm1_one_iteration(spark, sf_dir):
     return wa.ibm1(_bitext(spark, sf_dir), iterations=1).select("source", "target", F.round(F.log("probability"), 6).alias("log_probability"))
 
 
-def _trained(spark, sf_dir):
+def _best(spark, sf_dir):
+    """Rows and the best source word for each of their target words, after three rounds with a prior for the diagonal."""
     rows = _bitext(spark, sf_dir)
-    return rows, wa.ibm1(rows, iterations=3, diagonal=4.0)
+    return rows, wa.best_words(rows, iterations=3, diagonal=4.0)
 
 
 def _trained_sql(rounds: int) -> str:
@@ -735,21 +736,20 @@ pairs AS (SELECT row, j, target, source, sum(prior) AS prior FROM pri GROUP BY A
 
 @query("align_corpus")
 def align_corpus(spark, sf_dir):
-    rows, lexicon = _trained(spark, sf_dir)
-    return wa.best_alignment(rows, lexicon).select("row_ord", ro.pairs_to_string(F.col("pairs")).alias("pairs"))
+    return _best(spark, sf_dir)[1].select("row_ord", ro.pairs_to_string(wa.best_pairs(F.col("best"))).alias("pairs"))
 
 
 @query("word_confidences", f"{_trained_sql(3)} SELECT row AS row_ord, CAST(j AS INT) AS j, target, round(max(probability), 6) AS confidence FROM pairs JOIN lex3 USING (source, target) GROUP BY row, j, target")
 def word_confidences(spark, sf_dir):
-    rows, lexicon = _trained(spark, sf_dir)
-    return rounded(wa.word_confidences(rows, lexicon), "confidence")
+    rows, best = _best(spark, sf_dir)
+    each = rows.select("row_ord", "target_segment").join(best, "row_ord").select("row_ord", F.posexplode(F.arrays_zip("target_segment", "best")).alias("j", "x"))
+    return rounded(each.select("row_ord", "j", F.col("x.target_segment").alias("target"), F.col("x.best.probability").alias("confidence")), "confidence")
 
 
 @query("average_translation_score")
 def average_translation_score(spark, sf_dir):
-    rows, lexicon = _trained(spark, sf_dir)
-    aligned = rows.drop("pairs").join(wa.best_alignment(rows, lexicon), "row_ord")
-    return rounded(wa.average_score(wa.pair_scores(aligned, lexicon)), "score")
+    pairs = _best(spark, sf_dir)[1].select("row_ord", F.explode(F.filter("best", lambda x: x["i"] >= 0)).alias("x"))
+    return rounded(wa.average_score(pairs.select("row_ord", F.col("x.probability").alias("translation_score"))), "score")
 
 
 @query("phrase_table")
