@@ -114,3 +114,15 @@ def test_segments_of_books(spark):
     own = qr.Conventions(["standard_english"])
     (r,) = qr.resolve(qr.placed_marks(rows, own, "book", "chapter"), own, "book", "chapter").collect()
     assert [(m["depth"], m["direction"]) for m in r["found"]] == [(1, "opening"), (1, "closing")] * 2 and r["issues"] == []
+
+
+def test_one_pass_over_many_long_chapters(spark):
+    texts = {k: " ".join(["“a ‘b’ c”"] * (k * 300)) + (" “d" if k % 2 else "") for k in range(1, 6)}
+    rows = spark.createDataFrame([(k, 0, "1", True, False, t) for k, t in texts.items()], "chapter int, ord long, verse string, paragraph boolean, embedded boolean, text string")
+    own = qr.Conventions(["standard_english"])
+    df = qr.resolve(qr.placed_marks(rows, own, "chapter"), own, "chapter").coalesce(1)
+    assert "ArrowEvalPython" in df._jdf.queryExecution().toString()
+    for r in df.collect():
+        four = [("“", 1, "opening"), ("‘", 2, "opening"), ("’", 2, "closing"), ("”", 1, "closing")]
+        assert [(m.mark, m.depth, m.direction) for m in r.found] == four * (r.chapter * 300) + four[: r.chapter % 2]
+        assert all(texts[r.chapter][m.start : m.end] == m.mark for m in r.found) and r.issues == ["unpaired"] * (r.chapter % 2)
